@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.media import encode_media, read_media
 
@@ -46,7 +58,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_media, op6_urls, op7_vafile, op8_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_substring, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
