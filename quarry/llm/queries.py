@@ -14,6 +14,15 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarry.llm.tokens import sentencepieces
+
+    found = sentencepieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash import near_duplicates
 
@@ -48,6 +57,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(found)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.chat import events, format_digests
 
@@ -58,7 +73,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
