@@ -23,6 +23,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash import near_duplicates
 
@@ -73,7 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op3_licenses, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
