@@ -18,29 +18,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import settle
-from quarry.llm.tokens import ByteBPE
+from quarry.llm.tokens import ByteBPE, groups
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def pieces(df: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of every document: its ids, then `end`, cut from the back, so that only the first piece may be shorter."""
+    """The pieces of every document (tokenizer: the path of a tokenizer.json on the driver): its ids, then `end`, cut from the back, so that only the first piece may be shorter."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = df.sparkSession.sparkContext.broadcast(f.read())
     one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = ByteBPE.of(tokenizer), end.to_bytes(4, "little")
+        encoder, last = ByteBPE.of(spec.value), end.to_bytes(4, "little")
         for b in batches:
-            rows = []
-            for doc, said in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.ids(said.as_py()) + last
-                n = len(ids) // 4
-                at, k = 0, 0
-                while at < n:
-                    stop = at + ((n - at - 1) % size + 1 if not at else size)
-                    rows.append((doc, k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
-                    at, k = stop, k + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECE, strict=True)], [t.name for t in _PIECE]) if rows else pa.RecordBatch.from_arrays([pa.array([], t.type) for t in _PIECE], [t.name for t in _PIECE])
+            docs = iter(b.column(0).to_pylist())
+            for texts in groups(b.column(1)):
+                rows = []
+                for ids, doc in zip(encoder.ids(texts), docs):  # noqa: B905
+                    ids += last
+                    n, at, k = len(ids) // 4, 0, 0
+                    while at < n:
+                        stop = at + ((n - at - 1) % size + 1 if not at else size)
+                        rows.append((doc, k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
+                        at, k = stop, k + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECE, strict=True)], [t.name for t in _PIECE])
 
     return one.mapInArrow(cut, PIECE)
 
