@@ -33,8 +33,7 @@ def greedy_fold(blocks: Column, least: int, most: int, overlap: int = 0) -> Colu
     none, no_pages = F.array().cast("array<string>"), F.array().cast("array<int>")
 
     def step(acc: Column, b: Column) -> Column:
-        said = F.regexp_replace(tx.text(b.text), r"^\s+|\s+$", "")
-        n, page = tx.word_count(said), b.page.cast("int")
+        said, n, page = b.text, b.n, b.page
         sliced = F.transform(tx.slices(said, most, overlap), lambda t: F.struct(t.alias("text"), page.alias("first"), page.alias("last")))
         full = (acc.n > 0) & (acc.n + n > most)
         parts = F.when(full, F.array(said)).otherwise(F.concat(acc.parts, F.array(said)))
@@ -43,7 +42,9 @@ def greedy_fold(blocks: Column, least: int, most: int, overlap: int = 0) -> Colu
         kept = buffer(done, parts, pages, total)
         return F.when(said == "", acc).when(n > most, buffer(F.concat(flushed(acc), sliced), none, no_pages, F.lit(0))).when(total >= least, buffer(flushed(kept), none, no_pages, F.lit(0))).otherwise(kept)
 
-    return F.aggregate(blocks, zero, step, flushed)
+    clean = F.transform(blocks, lambda b: F.struct(b.page.cast("int").alias("page"), F.regexp_replace(tx.text(b.text), r"^\s+|\s+$", "").alias("text")))
+    counted = F.transform(clean, lambda b: F.struct(b.page.alias("page"), b.text.alias("text"), tx.word_count(b.text).alias("n")))
+    return F.aggregate(counted, zero, step, flushed)
 
 
 def greedy_chunks(df: DataFrame, key: Sequence[str], order: str, page: Column, text: str, least: int = 800, most: int = 1200, overlap: int = 0) -> DataFrame:
@@ -77,15 +78,17 @@ def split_table(table: Column | str, most: int) -> Column:
     head = F.array_join(F.slice(lines, F.lit(1), F.coalesce(at, F.lit(0)) + 1), "\n")
     rows = F.filter(F.transform(F.slice(lines, F.coalesce(at, F.lit(0)) + 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.trim(x)), lambda x: x != "")
     budget = F.greatest(F.lit(1), F.lit(most) - tx.word_count(head))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("rows"), F.lit(0).alias("n"))
-    out = lambda acc: F.when(F.size(acc.rows) > 0, F.concat(acc.done, F.array(F.concat_ws("\n", head, F.array_join(acc.rows, "\n"))))).otherwise(acc.done)
+    # header and budget ride in the accumulator: in the lambda they would be computed anew for every row
+    none = F.array().cast("array<string>")
+    zero = F.struct(none.alias("done"), none.alias("rows"), F.lit(0).alias("n"), head.alias("head"), budget.alias("budget"))
+    out = lambda acc: F.when(F.size(acc.rows) > 0, F.concat(acc.done, F.array(F.concat_ws("\n", acc.head, F.array_join(acc.rows, "\n"))))).otherwise(acc.done)
+    counted = F.transform(rows, lambda r: F.struct(r.alias("r"), tx.word_count(r).alias("n")))
 
-    def step(acc: Column, r: Column) -> Column:
-        n = tx.word_count(r)
-        full = (acc.n + n > budget) & (F.size(acc.rows) > 0)
-        return F.struct(F.when(full, out(acc)).otherwise(acc.done).alias("done"), F.when(full, F.array(r)).otherwise(F.concat(acc.rows, F.array(r))).alias("rows"), F.when(full, n).otherwise(acc.n + n).alias("n"))
+    def step(acc: Column, x: Column) -> Column:
+        full = (acc.n + x.n > acc.budget) & (F.size(acc.rows) > 0)
+        return F.struct(F.when(full, out(acc)).otherwise(acc.done).alias("done"), F.when(full, F.array(x.r)).otherwise(F.concat(acc.rows, F.array(x.r))).alias("rows"), F.when(full, x.n).otherwise(acc.n + x.n).alias("n"), acc.head.alias("head"), acc.budget.alias("budget"))
 
-    return F.when(at.isNull() | (F.size(rows) == 0), F.array(tx.text(table))).otherwise(F.aggregate(rows, zero, step, out))
+    return F.when(at.isNull() | (F.size(rows) == 0), F.array(tx.text(table))).otherwise(F.aggregate(counted, zero, step, out))
 
 
 def chunk_records(df: DataFrame, doc: str, section: str, kind: Column, index: str, text: str = "text", confidence: Column | None = None, context: Column | None = None) -> DataFrame:
@@ -93,7 +96,7 @@ def chunk_records(df: DataFrame, doc: str, section: str, kind: Column, index: st
     digest = F.substring(F.sha1(F.encode(tx.text(text), "UTF-8")), 1, 12)
     head = F.substring(F.col(doc).cast("string"), 1, 8)
     quality = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(confidence, F.lit(0.6)) * 100))
-    return df.withColumns({"chunk_id": F.concat_ws("-", head, F.col(section).cast("string"), kind, F.col(index).cast("string"), digest), "parent_id": F.concat_ws("-", head, F.col(section).cast("string")), "quality": quality, "parent_context": F.coalesce(context, F.lit(None).cast("string"))})
+    return df.withColumns({"chunk_id": F.concat_ws("-", head, F.col(section).cast("string"), kind, F.col(index).cast("string"), digest), "parent_id": F.concat_ws("-", head, F.col(section).cast("string")), "quality": quality, "parent_context": F.lit(None).cast("string") if context is None else context})
 
 
 def fallback_chunks(blocks: DataFrame, text: str = "content", least: int = 200) -> DataFrame:

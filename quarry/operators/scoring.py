@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,18 +148,17 @@ def assign(slots: list[int], options: dict[int, list[tuple[float, int]]]) -> dic
 
 def team(found: DataFrame, roles: DataFrame, project: str = "project_id") -> DataFrame:
     """(project, slot, role, asset_id, score), asset_id null for roles that stay open. A project's slots and people are few; projects are the parallelism."""
-    import pandas as pd
+    options = found.groupBy(project, "slot").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("asset_id").cast("long").alias("asset_id")))).alias("options"))
+    asked = roles.select(project, "slot", "role").join(options, [project, "slot"], "left")
 
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        options: dict[int, list[tuple[float, int]]] = {}
-        for r in a.sort_values(["slot", "score", "asset_id"], ascending=[True, False, True]).itertuples():
-            options.setdefault(int(r.slot), []).append((float(r.score), int(r.asset_id)))
+    def solve(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("slot")
-        got = assign([int(s) for s in b["slot"]], options)
+        given = {int(s): [(-o["o"], o["asset_id"]) for o in x] if x is not None else [] for s, x in zip(b["slot"], b["options"], strict=True)}
+        got = assign([int(s) for s in b["slot"]], given)
         return pd.DataFrame({project: b[project], "slot": b["slot"], "role": b["role"], "asset_id": pd.array([got.get(int(s), (None,))[0] for s in b["slot"]], dtype="Int64"), "score": [got[int(s)][1] if int(s) in got else 0.0 for s in b["slot"]]})
 
     kinds = dict(roles.dtypes)
-    return found.groupBy(project).cogroup(roles.select(project, "slot", "role").groupBy(project)).applyInPandas(solve, f"{project} {kinds[project]}, slot {kinds['slot']}, role string, asset_id long, score double")
+    return asked.groupBy(project).applyInPandas(solve, f"{project} {kinds[project]}, slot {kinds['slot']}, role string, asset_id long, score double")
 
 
 def staff_checks(pool: DataFrame, subjects: DataFrame, key: str, least_months: int = 6) -> DataFrame:
@@ -199,7 +199,6 @@ def partial_ratio(needle: str, text: str) -> float:
 
 def unsupported(said: DataFrame, evidence: DataFrame, key: str, sentence: str = "content", text: str = "text", threshold: float = 88.0, least: int = 8) -> DataFrame:
     """sentences of at least `least` characters that no evidence text of their key contains, or nearly (partial_ratio)."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -338,10 +337,3 @@ def content_or(generated: Column, blocks: Column, fallback: Column) -> Column:
     """the generated text, else the blocks' texts, else the fallback."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.coalesce(blank(generated), blank(F.array_join(F.filter(blocks, lambda b: F.trim(b) != ""), "\n\n")), fallback)
-
-
-def permutations(rows: Sequence) -> Iterator[tuple]:
-    """All orders of a few rows; used by tests of assign()."""
-    from itertools import permutations as each
-
-    return each(rows)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A folder of events as a stream; ts becomes a timestamp so that it can carry a watermark."""
-    schema = spark.read.parquet(path).schema
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_events(spark: SparkSession, folder: str, pattern: str = "*.parquet", files: int = 1) -> DataFrame:
+    """A folder's files as a stream of events; ts becomes a timestamp so that it can carry a watermark."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(folder)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
