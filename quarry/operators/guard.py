@@ -102,8 +102,11 @@ def strategy(c: Column, kind: str = "mask", allowed: Sequence[str] = ()) -> Colu
     """Technical parameters: their numbers masked, kept where they hold an allowed word, or left to be filled in."""
     if kind == "local_fill":
         return F.regexp_replace(c, PARAMETER, "[LOCAL_FILL_REQUIRED]")
-    keep = f"(?![A-Za-z一-鿿\\s:：]{{0,14}}(?:{'|'.join(allowed)}))" if kind == "allowlist" and allowed else ""
-    return F.regexp_replace(c, rf"{keep}([A-Za-z一-鿿]{{1,12}}\s*[:：]?\s*)\d+(?:\.\d+)?", r"$1***")
+    head = r"[A-Za-z一-鿿]{1,12}\s*[:：]?\s*"
+    if kind == "allowlist" and allowed:
+        # a mark parts the number of an allowed segment from its name, so that the mask does not see it
+        c = F.regexp_replace(c, rf"([A-Za-z一-鿿]*(?:{'|'.join(map(re.escape, allowed))})[A-Za-z一-鿿]*\s*[:：]?\s*)(?=\d)", "$1\u0001")
+    return F.replace(F.regexp_replace(c, rf"({head})\d+(?:\.\d+)?", "$1***"), F.lit("\u0001"), F.lit(""))
 
 
 def sanitize(df: DataFrame, text: str = "text", outbound: bool = True, kind: str = "mask", allowed: Sequence[str] = ()) -> DataFrame:
