@@ -83,4 +83,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quarry.llm import sql
+
+    return {"op1_substring": sql.op1(), "op3_licenses": sql.op3(), "op6_urls": sql.op6(), "op7_vafile": sql.OP7, "op10_chat": sql.OP10}
