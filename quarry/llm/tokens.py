@@ -11,12 +11,16 @@ the sentencepiece library is verified for each such word, and for texts that are
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,10 +49,12 @@ class Cache(dict):
         """The keys that are not kept."""
         return {k for k in keys if k not in self and k not in self.old}
 
-    def turn(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
+    def turn(self) -> bool:
+        if len(self) <= self.size:
+            return False
+        self.old = dict(self)
+        self.clear()
+        return True
 
 
 def groups(texts: pa.Array, size: int = TOGETHER) -> Iterator[list[str]]:
@@ -226,16 +232,17 @@ class Pieces:
     def __init__(self, data: bytes, threads: int = 2):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        import numpy as np
         import sentencepiece
 
         self.model = parse_model(data)
         self.tokenizer = rebuild(self.model)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self._np, self._threads = np, threads
+        self._threads = threads
         # texts can be cut before single spaces if the normaliser does nothing across them and every word starts alike
         self._cut = separable(self.model) and not self.model["charsmap"] and self.model["prefix"] and not any(k == OWN for *_, k in self.model["pieces"])
         self._known = Cache()
+        self._changed: dict[str, str] = {}
+        self._differ: set[str] = set()
 
     @classmethod
     def of(cls, data: bytes, threads: int = 2) -> Pieces:
@@ -244,31 +251,48 @@ class Pieces:
             own[key] = cls(data, threads)
         return own[key]
 
-    def _each(self, parts: list[str]) -> Iterator[tuple[bytes, str, bool]]:
+    def _each(self, parts: list[str]) -> tuple[list[bytes], list[str], list[bool]]:
         found = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
         back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-        theirs = self.original.encode(parts, num_threads=self._threads)
-        return ((self._np.array(i, "<u4").tobytes(), b, i == t) for i, b, t in zip(found, back, theirs, strict=True))
+        same = list(map(eq, found, self.original.encode(parts, num_threads=self._threads)))
+        return [_little(i) for i in found], back, same
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
         """Each text's ids as little-endian unsigned 32-bit integers, what they decode to, and whether the library that the model was made for gives the same."""
         plain = [self._cut and bool(t) and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
-        whole = iter(list(self._each([t for t, p in zip(texts, plain, strict=True) if not p])))
+        whole = zip(*self._each([t for t, p in zip(texts, plain, strict=True) if not p]), strict=True)
         words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         new = list(self._known.knows(set(chain.from_iterable(words))))
-        self._known.update(zip(new, self._each(new), strict=True))
+        gc.disable()  # these lists hold no cycles, and are many
+        try:
+            ids, back, same = self._each(new)
+        finally:
+            gc.enable()
+        self._known.update(zip(new, ids, strict=True))
+        # most words decode to themselves and agree; the others are few and kept apart
+        self._changed.update((w, b) for w, b in zip(new, back, strict=True) if b != w)
+        self._differ.update(w for w, x in zip(new, same, strict=True) if not x)
         out = []
-        for p, own in zip(plain, words, strict=True):
+        for t, p, own in zip(texts, plain, words, strict=True):
             if p:
-                got = list(map(self._known.__getitem__, own))
-                ids, back, same = zip(*got, strict=True)
-                out.append((b"".join(ids), " ".join(back), all(same)))
+                text = t if not self._changed or self._changed.keys().isdisjoint(own) else " ".join([self._changed.get(w, w) for w in own])
+                out.append((b"".join(map(self._known.__getitem__, own)), text, not self._differ or self._differ.isdisjoint(own)))
             else:
                 out.append(next(whole))
-        self._known.turn()
+        if self._known.turn():
+            kept = self._known.old
+            self._changed = {w: b for w, b in self._changed.items() if w in kept}
+            self._differ.intersection_update(kept)
         return out
 
 
+def _little(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def sentencepieces(df: DataFrame, model: str, threads: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32 (of little-endian unsigned 32-bit ids), decoded and parity of every row.
 
