@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from quarry.operators import analytics as an
 from quarry.operators import relational as rl
 from quarry.operators import state as st
-from quarry.plans.views import AS_OF, CALLS, QUALITY, calls, quality, table
+from quarry.plans.views import AS_OF, CALLS, QUALITY, calls, quality, table, typed
 
 Q: dict = {}
 SQL: dict[str, str] = {}
+#: Columns whose type in SQL differs from the query's.
+TYPES: dict[str, dict[str, str]] = {"threshold_recommendation": {"current": "DOUBLE", "suggested": "DOUBLE", "go_live": "DOUBLE"}, "rate_limit_windows": {"n": "INTEGER"}, "routing_order": {"place": "INTEGER"}}
 
 
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = typed(sql, TYPES.get(f.__name__, {}))
         return f
 
     return add

@@ -14,17 +14,19 @@ from quarry.operators import guard as gd
 from quarry.operators import retrieval as rt
 from quarry.operators import scoring as sc
 from quarry.operators import structure as sx
-from quarry.plans.views import table
+from quarry.plans.views import table, typed
 
 Q: dict = {}
 SQL: dict[str, str] = {}
+#: Columns whose type in SQL differs from the query's.
+TYPES: dict[str, dict[str, str]] = {"paragraph_blocks": {"block_no": "INTEGER", "chars": "INTEGER", "char_start": "BIGINT"}, "anchor_carry": {"block_no": "INTEGER"}, "section_assembly": {"first_block": "INTEGER"}, "table_islands": {"table_no": "INTEGER", "first_line": "INTEGER"}, "token_counts": {"tokens": "INTEGER"}, "token_slices": {"slice_no": "INTEGER"}, "top_keywords": {"rank": "INTEGER"}, "sparse_topk": {"rank": "INTEGER"}, "dense_topk": {"rank": "INTEGER"}, "hybrid_rrf": {"rank": "INTEGER"}, "lexical_rerank": {"rank": "INTEGER"}, "merge_coverage": {"position": "INTEGER"}, "risk_scan": {"start": "INTEGER"}, "digit_density": {"numbers": "INTEGER", "tokens": "INTEGER"}}
 
 
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = typed(sql, TYPES.get(f.__name__, {}))
         return f
 
     return add

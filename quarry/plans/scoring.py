@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import scoring as sc
-from quarry.plans.views import table
+from quarry.plans.views import table, typed
 
 Q: dict = {}
 SQL: dict[str, str] = {}
+#: Columns whose type in SQL differs from the query's.
+TYPES: dict[str, dict[str, str]] = {"full_review": {"codes": "INTEGER"}}
 
 
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = typed(sql, TYPES.get(f.__name__, {}))
         return f
 
     return add

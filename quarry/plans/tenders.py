@@ -13,19 +13,21 @@ from quarry.operators import retrieval as rt
 from quarry.operators import scoring as sc
 from quarry.operators import state as st
 from quarry.operators import structure as sx
-from quarry.plans.views import table
+from quarry.plans.views import table, typed
 from quarry.sources import readers as rd
 from quarry.sources import sinks as sk
 
 Q: dict = {}
 SQL: dict[str, str] = {}
+#: Columns whose type in SQL differs from the query's.
+TYPES: dict[str, dict[str, str]] = {"tender_sentences": {"n": "BIGINT"}, "tender_review": {"quotes": "INTEGER", "review_confidence": "DOUBLE"}, "blueprint": {"task_no": "INTEGER"}, "form_chunks": {"quality": "DOUBLE"}}
 
 
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = typed(sql, TYPES.get(f.__name__, {}))
         return f
 
     return add

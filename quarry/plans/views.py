@@ -43,4 +43,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUALITY = "chunks AS (SELECT doc_id, quality * 60 + doc_id % 41 AS quality, CASE WHEN toxic = 1 THEN ['PRICING_RELATED', 'X'] ELSE ['X'] END AS tags FROM labels)"
-WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+
+
+def typed(sql: str, types: dict[str, str]) -> str:
+    """SQL whose columns have the given types."""
+    if not types:
+        return sql
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql}) typed"
