@@ -14,10 +14,19 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Rows in a batch that goes to Python: texts may be long, and a batch is held in both processes.
+BATCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)
@@ -41,16 +50,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def process_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across its tasks; it holds only what can be rebuilt."""
+    """A dict that lives as long as the Python worker, across its tasks; it holds only what can be rebuilt. Asking for another name drops it."""
     m = sys.modules.setdefault("_quarry_process_cache", types.ModuleType("_quarry_process_cache"))
-    return m.__dict__.setdefault(name, {})
+    held = m.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = {}
+    return held[name]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges: pairs (a, b), in any order, repeats and loops allowed. Returns (node, root), root the smallest node of the
-    component, for every node with an edge to another one. Each round is two aggregations with map-side combining; the
+    component, for every node but the roots. Each round is two aggregations with map-side combining; the
     rounds grow with the logarithm of the component size, and each round's edges are written to the shared folder.
     """
     low, high = F.least(a, b), F.greatest(a, b)

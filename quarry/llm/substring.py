@@ -13,10 +13,11 @@ earlier in the same one). Windows are judged on the input. Words are runs of cha
    reference grows with the input; stretches meet only the shard of their minimizer, where all equal windows are.
 4. Places and their repeated windows are gathered by document, and the covered words removed.
 
-A minimizer with over HOT contents is cut up: each window is then a stretch of its own, routed by its own hash.
+A minimizer with over HOT stretches is cut up, as one task could not hold its shard: the windows of its contents are named by 128 bits
+of hash each, and all but the first of a name repeat it. This, too, is counted by map-side minima, so no hot passage meets in one task.
 
-Defined results: null text has no words; rows without id lose nothing and count for nothing; repeated rows of one id are the same
-document and don't repeat each other; texts shorter than the window lose nothing; other columns may be carried along (keep).
+Defined results: null text has no words; rows without id lose nothing and count for nothing; rows of one id are one document and do
+not repeat each other at equal places (if their texts differ, what is removed at a place of one is removed at it of all); texts shorter than the window lose nothing; other columns may be carried along (keep).
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import process_cache, settle
@@ -44,20 +44,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
 
 
-def stretches(docs: list[int], words: list[list[bytes]], window: int) -> list[np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of _Q modulo 2^64, from 1 on, and of its inverse."""
+    known = process_cache("powers")
+    if len(known.get("up", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("up", _Q), ("down", pow(_Q, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            known[name] = np.cumprod(p)
+    return known["up"], known["down"]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of some bytes starts, and its hash: a polynomial of its bytes, freed of its place, and its length."""
+    edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * up[: len(data)], dtype=np.uint64)])
+    return starts, _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def stretches(docs: list[int], texts: list[bytes], window: int) -> list[np.ndarray]:
     """h, c, doc, start, n of every stretch of some documents; all uint64 or int64."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    known = process_cache("words")
-    hashes = known.setdefault("hashes", _Hashes())
-    if len(hashes) > 500_000:
-        hashes.clear()
-    x = np.fromiter((hashes[w] for own in words for w in own), np.uint64, int(sizes.sum()))
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    at_byte, x = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    sizes = np.diff(np.searchsorted(at_byte, begins))
     ends = np.cumsum(sizes)
     wide = len(x) - window + 1
     if wide <= 0:
@@ -72,7 +88,7 @@ def stretches(docs: list[int], words: list[list[bytes]], window: int) -> list[np
         s = min(have, want - have)
         less = least[s:] < least[:-s]
         least, at, have = np.where(less, least[s:], least[:-s]), np.where(less, at[s:], at[:-s]), have + s
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
     inside = np.flatnonzero(np.arange(wide) + window <= ends[owner[:wide]])
     if not len(inside):
         return [np.zeros(0, np.int64)] * 5
@@ -80,9 +96,8 @@ def stretches(docs: list[int], words: list[list[bytes]], window: int) -> list[np
     new = np.flatnonzero((np.diff(at[inside], prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
     first, n = inside[new], np.diff(new, append=len(inside))
     # the content: a polynomial of its words' hashes, freed of its place
-    up = np.cumprod(np.full(len(x), _Q, np.uint64))
-    down = np.cumprod(np.full(len(x) + 1, pow(_Q, -1, 1 << 64), np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64)])
+    up, down = _powers(len(x) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)], dtype=np.uint64)])
     c = _mix((total[first + n + window - 1] - total[first]) * down[first] + n.astype(np.uint64))
     own = owner[first]
     return [least[first].view(np.int64), c.view(np.int64), np.asarray(docs, np.int64)[own], first - (ends - sizes)[own], n]
@@ -92,25 +107,20 @@ def _stretch_rows(df: DataFrame, window: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         docs: list[int] = []
-        words: list[list[bytes]] = []
+        texts: list[bytes] = []
         n = 0
-
-        def flush() -> None:
-            nonlocal docs, words, n
-            held.append(stretches(docs, words, window))
-            docs, words, n = [], [], 0
-
         for b in batches:
             for doc, said in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = (said.as_py() or "").encode().split()
-                if len(own) >= window:
+                t = (said.as_py() or "").encode()
+                if len(t) >= 2 * window - 1:
                     docs.append(doc)
-                    words.append(own)
-                    n += len(own)
-                    if n > 300_000:
-                        flush()
+                    texts.append(t)
+                    n += len(t)
+                    if n > 1_000_000:
+                        held.append(stretches(docs, texts, window))
+                        docs, texts, n = [], [], 0
         if docs:
-            flush()
+            held.append(stretches(docs, texts, window))
         if not held:
             return
         h, c, doc, start, many = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -180,8 +190,8 @@ class Automaton:
 
 
 def _texts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
-    """The reference: route, h, c, doc, start, lo (the first window's bit) and the words of each stretch asked for."""
-    kinds = [("route", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("lo", pa.int32()), ("said", pa.string())]
+    """The reference: route, h, c, doc, start, lo (the first window's bit), the words of each stretch asked for, and hot. Of hot ones, each window by itself: c, its hash and lo tell all that is needed."""
+    kinds = [("route", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("lo", pa.int32()), ("said", pa.string()), ("hot", pa.bool_()), ("check", pa.int64())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,9 +203,9 @@ def _texts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
                     if w["hot"]:
                         for j in range(n):
                             part = b" ".join(own[s + j : s + j + window])
-                            rows.append((xxhash.xxh64_intdigest(part) - 2**63, w["h"], w["c"], doc, s + j, j, part.decode()))
+                            rows.append((xxhash.xxh64_intdigest(part) - 2**63, w["h"], w["c"], doc, s + j, j, None, True, xxhash.xxh64_intdigest(part, 1) - 2**63))
                     else:
-                        rows.append((w["h"], w["h"], w["c"], doc, s, 0, b" ".join(own[s : s + n + window - 1]).decode()))
+                        rows.append((w["h"], w["h"], w["c"], doc, s, 0, b" ".join(own[s : s + n + window - 1]).decode(), False, 0))
                     size += n + window
                 if size > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
@@ -203,7 +213,7 @@ def _texts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
-    return docs.join(need, "doc").select("doc", "__text", "want").mapInArrow(read, "route long, h long, c long, doc long, start int, lo int, said string")
+    return docs.join(need, "doc").select("doc", "__text", "want").mapInArrow(read, "route long, h long, c long, doc long, start int, lo int, said string, hot boolean, check long")
 
 
 def _seen(reference: DataFrame, window: int) -> DataFrame:
@@ -234,6 +244,13 @@ def _seen(reference: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(stream, "h long, c long, mask long")
 
 
+def _repeated(windows: DataFrame) -> DataFrame:
+    """h, c and mask of single windows that are not their hash's first: counted with map-side minima, so that no group meets in one task."""
+    first = settle(windows.groupBy("route", "check").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "firsts")
+    later = windows.join(first, ["route", "check"]).where(F.struct("doc", "start") != F.col("first"))
+    return later.select("h", "c", F.expr("shiftleft(1L, lo)").alias("mask"))
+
+
 def remove_repeats(df: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), spaced: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept and the columns of keep, for every row.
 
@@ -241,17 +258,19 @@ def remove_repeats(df: DataFrame, window: int = 20, doc_id: str = "doc_id", text
     """
     base = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("__text"), *[F.col(k).alias(f"k_{k}") for k in keep])
     known = base.where("doc is not null")
-    by = W.partitionBy("h")
-    first = F.min(F.struct("doc", "start")).over(by)
     rows = _stretch_rows(known.select("doc", "__text"), window)
-    judged = rows.withColumns({"several": F.min("c").over(by) != F.max("c").over(by), "later": F.struct("doc", "start") != first})
-    left = settle(judged.where("again or several or later").select("h", "c", "doc", "start", "n", "again", "several"), "stretches")
+    # counted with map-side sums and joined, not windowed: a minimizer that most documents share is then split over tasks
+    names = rows.groupBy("h").agg(F.count("*").alias("__k"), F.min("c").alias("__least"), F.max("c").alias("__most"), F.min(F.struct("doc", "start")).alias("__first")).where("__k > 1")
+    names = settle(names, "minimizers")  # apart from the join, whose sides can be split only if both are dealt for it
+    judged = rows.join(names, "h", "left").withColumns({"several": F.col("__least") != F.col("__most"), "later": F.struct("doc", "start") != F.col("__first"), "hot": F.col("__k") > HOT})
+    left = settle(judged.where("again or several or later").select("h", "c", "doc", "start", "n", "again", F.coalesce("several", F.lit(False)).alias("several"), F.coalesce("hot", F.lit(False)).alias("hot")), "stretches")
     mixed = left.where("several and not again")
-    unique = mixed.groupBy("h", "c").agg(F.min(F.struct("doc", "start", "n")).alias("m")).select("h", "c", "m.*").withColumn("hot", F.count("*").over(by) > HOT)
+    unique = settle(mixed.groupBy("h", "c", "hot").agg(F.min(F.struct("doc", "start", "n")).alias("m")).select("h", "c", "hot", "m.*"), "contexts")
     need = unique.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "h", "c", "hot")).alias("want"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = known.repartition(n, "doc")  # used twice below; Spark reuses the exchange
-    masks = _seen(_texts(dealt.select("doc", "__text"), need, window), window).groupBy("h", "c").agg(F.bit_or("mask").alias("mask"))
+    dealt = known.repartition(n, "doc")
+    reference = settle(_texts(dealt.select("doc", "__text"), need, window), "reference")
+    masks = _seen(reference.where("not hot"), window).unionByName(_repeated(reference.where("hot"))).groupBy("h", "c").agg(F.bit_or("mask").alias("mask"))
     ones = F.expr("shiftleft(1L, n) - 1L")
     firsts = unique.join(masks, ["h", "c"], "left").select("h", "c", F.col("doc").alias("fd"), F.col("start").alias("fs"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     some = mixed.join(firsts, ["h", "c"]).select("doc", "start", F.when((F.col("doc") == F.col("fd")) & (F.col("start") == F.col("fs")), F.col("mask")).otherwise(ones).alias("mask")).where("mask <> 0")
@@ -277,7 +296,7 @@ def remove_repeats(df: DataFrame, window: int = 20, doc_id: str = "doc_id", text
                 edge = np.zeros(len(words) + window + 1, np.int64)
                 for x in f:
                     for j in range(x["mask"].bit_length()):
-                        if x["mask"] >> j & 1:
+                        if x["mask"] >> j & 1 and x["start"] + j + window <= len(words):
                             edge[x["start"] + j] += 1
                             edge[x["start"] + j + window] -= 1
                 stays = np.cumsum(edge)[: len(words)] == 0

@@ -157,10 +157,18 @@ def test_automaton():
         have |= {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
 
 
+def test_word_hashes():
+    data = b"  ab c\tab\n\x0bba abc\x1cd \xc2\xa0x ab"
+    starts, h = substring.word_hashes(np.frombuffer(data, np.uint8))
+    words = data.split()
+    assert [data[i : i + len(w)] for i, w in zip(starts.tolist(), words, strict=True)] == words
+    assert len(set(h.tolist())) == len(set(words)) and h[0] == h[2] == h[-1]
+
+
 def test_stretches_hold_every_window_once():
     rnd = random.Random(4)
     words = [[rnd.choice([b"x", b"y", b"zz"]) for _ in range(n)] for n in (19, 20, 21, 90)]
-    h, c, doc, start, n = substring.stretches([5, 6, 7, 8], words, 20)
+    h, c, doc, start, n = substring.stretches([5, 6, 7, 8], [b"\n".join(w) for w in words], 20)
     got = sorted((d, s + j) for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True) for j in range(k))
     assert got == [(d, i) for d, w in zip((5, 6, 7, 8), words, strict=True) for i in range(len(w) - 19)]
     # equal windows have equal minimizers
