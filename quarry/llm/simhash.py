@@ -67,6 +67,11 @@ def majority(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
     return out
 
 
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _batched(texts: pa.Array, bytes_each: int = 1 << 20) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
@@ -157,7 +162,7 @@ def links(distinct: DataFrame, fp: str = "fp", most: int = 3) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_key, left_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for b in [*batches, None]:
+        for b in _and_end(batches):
             if b is None:
                 key, fps = left_key, left_fp
                 done = len(key)
@@ -194,7 +199,7 @@ def near_duplicates(df: DataFrame, k: int = 3, most: int = 3, doc_id: str = "doc
 # Near duplicates by shingle sets: SimHash of parts of a document.
 
 #: Shingles aimed at in a part, parts indexed of each fineness, bits of the whole fingerprints that may differ.
-PART, PARTS, LOOSE = 8, 32, 20
+PART, PARTS, LOOSE = 5, 32, 20
 #: Members of a part's group up to which all pairs are tried at once.
 SMALL = 24
 
@@ -202,20 +207,20 @@ SMALL = 24
 def sketches(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (of all distinct shingles), whole (a 64-bit name of the set), hashes (the set, 32 bits each, sorted) and parts of every row with words.
 
-    Shingles are dealt by hash over 2^f and 2^(f+1) parts, f such that a part has about PART of them, and a part's SimHash is
-    indexed. Two sets of similarity 0.8 share a fineness and, but for one pair in some hundreds, an equal part.
+    Shingles are dealt by hash over 2^f and 2^(f+1) parts (small sets: 2^(f+2), too), f such that a part has about PART of them, and a
+    part's SimHash is indexed. Two sets of similarity 0.8 share a fineness and, but for one pair in many thousands, an equal part.
     """
     one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             rows = []
             for doc, said in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = np.unique(shingles(words(said.as_py() or ""), k))
                 if not len(x):
                     continue
                 keys, fine = [], max(0, (len(x) // PART).bit_length() - 1)
-                for f in (fine, fine + 1):
+                for f in (fine, fine + 1, fine + 2)[: 3 if len(x) < 128 else 2]:
                     part = (x >> np.uint64(40)) & np.uint64((1 << f) - 1)
                     order = np.argsort(part, kind="stable")
                     own = part[order]
@@ -223,8 +228,8 @@ def sketches(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "tex
                     ends = np.append(cuts[1:], np.searchsorted(own, own[cuts[-1]], "right"))
                     sim = majority(x[order][: ends[-1]], np.diff(np.append(cuts, ends[-1])).tolist())
                     # the key says which fineness and part
-                    keys += ((sim * np.uint64(0x9E3779B97F4A7C15)) ^ (own[cuts] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(f))).view(np.int64).tolist()
-                rows.append((doc, int(majority(x, [len(x)]).view(np.int64)[0]), xxhash.xxh64_intdigest(x.tobytes()) - 2**63, np.unique((x >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes(), keys))
+                    keys += [((sim * np.uint64(0x9E3779B97F4A7C15)) ^ (own[cuts] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(f))).view(np.int64)]
+                rows.append((doc, int(majority(x, [len(x)]).view(np.int64)[0]), xxhash.xxh64_intdigest(x.tobytes()) - 2**63, np.unique((x >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes(), np.concatenate(keys)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "fp", "whole", "hashes", "parts"])
@@ -233,12 +238,17 @@ def sketches(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "tex
 
 
 def _candidates(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids that meet under a part and whose whole fingerprints pass the chain's budgets for LOOSE bits: all of them in small groups, in large ones each with the first and with the one before it in order of fingerprints."""
+    """Of index (key, doc_id, fp), two kinds of rows (a, b, key, fp).
+
+    Pairs a, b of ids that meet under a key and whose whole fingerprints pass the chain's budgets for LOOSE bits: all of them in groups
+    of up to SMALL; in larger ones each with the first and with the one before it in order of fingerprints. And the members of these
+    larger groups, with b null, for the next round.
+    """
     near = index.repartition("key").sortWithinPartitions("key", "doc_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        for b in [*batches, None]:
+        for b in _and_end(batches):
             now = left if b is None else [np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(left, ("key", "doc_id", "fp"), strict=True)]
             key = now[0]
             done = len(key) if b is None or not len(key) else int(np.searchsorted(key, key[-1]))
@@ -246,22 +256,26 @@ def _candidates(index: DataFrame) -> DataFrame:
             key, doc, fp = now[0][:done], now[1][:done], now[2][:done].view(np.uint64)
             cuts = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
             sizes = np.diff(cuts, append=len(key))
-            found = []
+            found, large = [], []
             for s, n in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                 if n <= SMALL:
                     i, j = np.triu_indices(n, 1)
                 else:
                     order = np.argsort(fp[s : s + n], kind="stable")
                     i, j = np.concatenate([np.zeros(n - 1, np.int64), order[:-1]]), np.concatenate([np.arange(1, n), order[1:]])
+                    large.append(np.arange(s, s + n))
                 x = fp[s + i] ^ fp[s + j]
                 ok = np.zeros(len(x), bool)
                 for start in range(len(WIDTHS)):
                     ok |= chain(x, start, LOOSE)
                 found.append(np.stack([doc[s + i[ok]], doc[s + j[ok]]]))
-            a, c = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c), pa.int64()), pa.array(np.maximum(a, c), pa.int64())], ["a", "b"])
+            p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            m = np.concatenate(large) if large else np.zeros(0, np.int64)
+            gone = np.arange(len(p) + len(m)) >= len(p)
+            cols = [np.concatenate([np.minimum(p, q), doc[m]]), np.concatenate([np.maximum(p, q), doc[m]]), np.concatenate([p, key[m]]), np.concatenate([p, fp[m].view(np.int64)])]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64(), mask=gone), pa.array(cols[2], pa.int64(), mask=~gone), pa.array(cols[3], pa.int64(), mask=~gone)], ["a", "b", "key", "fp"])
 
-    return near.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    return near.mapInArrow(meet, "a long, b long, key long, fp long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -290,22 +304,21 @@ def near_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, rounds: int
     `rounds` rounds and while new links appear, so is one document of each component that the group still holds.
     """
     own = settle(sketches(df, k, doc_id, text), "sketches")
-    named = own.groupBy("whole").agg(F.min("doc_id").alias("rep"))
+    # settled apart from the join below, so that a hot set's side of it can be split
+    named = settle(own.groupBy("whole").agg(F.min("doc_id").alias("rep")), "named")
     members = settle(own.select("doc_id", "whole").join(named, "whole").select("doc_id", "rep"), "members")
     one = own.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    index = settle(one.select("doc_id", "fp", F.explode(F.array_distinct("parts")).alias("key")), "parts")
+    index = one.select("doc_id", "fp", F.explode(F.array_distinct("parts")).alias("key"))
     sets = own.select("doc_id", "hashes")
-    need = None
-    found = roots = None
+    found = roots = large = None
     for r in range(rounds):
         if r:
             # one document of each component so far, under the keys of any of its members
-            left = index.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            large = index.groupBy("key").count().where(F.col("count") > SMALL).select("key")
-            index = settle(left.join(large, "key", "left_semi").groupBy("key", F.coalesce("root", "doc_id").alias("root")).agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("key", "m.doc_id", "m.fp"), "parts")
-            if index.isEmpty():
-                break
-        pairs = settle(_candidates(index), "pairs")
+            own_root = large.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            index = own_root.groupBy("key", "root").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("key", "m.doc_id", "m.fp")
+        met = settle(_candidates(index), "met")
+        large = met.where("b is null").select("key", F.col("a").alias("doc_id"), "fp")
+        pairs = settle(met.where("a <> b").select("a", "b").distinct(), "pairs")
         need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         fit = settle(_similar(pairs, settle(sets.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets"), similarity), "fit")
         found = fit if found is None else found.unionByName(fit)
