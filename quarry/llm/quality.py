@@ -183,7 +183,7 @@ def classify(df: DataFrame, cut: float = 0.5, sample: int = SAMPLE, doc_id: str
             for t in b.column("__text"):
                 s = t.as_py() or ""
                 v, words = votes(s), s.split()
-                if len(known) > 500_000:
+                if len(known) > 300_000:
                     known.clear()
                 for x in set(words).difference(known):
                     i, j = slots(x)
