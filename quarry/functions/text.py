@@ -57,7 +57,7 @@ def looks_like_table(c: Column | str) -> Column:
     """A row between pipes, or two lines with tabs, or two of three or more wide columns."""
     lines = pieces(c, "\n")
     wide = lambda x: F.size(F.filter(F.split(x, r"\s{2,}"), lambda p: p != "")) >= 3
-    return F.exists(lines, lambda x: x.rlike(r"^\|.*\|$|\S\s*\|\s*\S.*\|")) | (F.size(F.filter(lines, lambda x: F.contains(x, F.lit("\t")))) >= 2) | (F.size(F.filter(lines, wide)) >= 2)
+    return F.exists(lines, lambda x: x.rlike(r"\|.+\|")) | (F.size(F.filter(lines, lambda x: F.contains(x, F.lit("\t")))) >= 2) | (F.size(F.filter(lines, wide)) >= 2)
 
 
 def is_markdown_table(c: Column | str) -> Column:

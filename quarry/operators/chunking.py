@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 
-PARAMETER_WORDS = ("参数", "指标", "规格", "型号", "技术要求", "数值", "单位")
+# Words of a parameter table's header.
+PARAMETER_WORDS = ("型号", "容量", "电压", "参数", "规格", "额定", "功率", "电流", "阻抗", "频率")
 _CHUNKS = "array<struct<text:string,first:int,last:int>>"
 
 
@@ -73,7 +74,7 @@ def split_table(table: Column | str, most: int) -> Column:
     """The table's rows in groups of at most `most` words with the header, which begins each; one row at least in each."""
     t = F.regexp_replace(tx.text(table), r"^\s+|\s+$", "")
     lines = F.split(t, "\n")
-    rule = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & F.trim(x).rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$"), i)), lambda i: i.isNotNull())
+    rule = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & F.trim(x).rlike(r"^\|[-:| ]+\|$"), i)), lambda i: i.isNotNull())
     at = F.get(rule, F.lit(0))
     head = F.array_join(F.slice(lines, F.lit(1), F.coalesce(at, F.lit(0)) + 1), "\n")
     rows = F.filter(F.transform(F.slice(lines, F.coalesce(at, F.lit(0)) + 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.trim(x)), lambda x: x != "")

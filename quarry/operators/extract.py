@@ -30,7 +30,14 @@ PRELIMINARY = ("资格审查", "初审", "形式审查", "资质要求", "投标
 DETAILED = ("评审", "详细评审", "技术评审", "商务评审", "综合评分", "打分", "评委", "评标")
 TECHNICAL = ("技术要求", "技术标准", "技术规范", "技术参数", "施工方案", "施工工艺", "施工方法", "质量标准", "验收标准", "试验要求", "设备参数", "材料要求", "工器具")
 TECH_KINDS: lx.Lexicon = (("construction_method", "施工"), ("equipment", "设备"), ("material", "材料"), ("testing", "试验"), ("acceptance", "验收"), ("safety", "安全"), ("quality", "质量"), ("schedule", "工期"), ("commissioning", "调试"), ("relay_protection", "继电保护"), ("automation", "自动化"))
-POWER = "变电站|输电线路|配电网|电缆|架空线路|继电保护|调试|并网|带电作业|kV"
+POWER = "变电站|输电线路|配电网|换流站|GIS|开关柜|变压器|互感器|断路器|隔离开关|避雷器|电缆|架空线|导线|继电保护|自动化|调度|SCADA|直流系统|接地装置|绝缘|耐压试验|交接试验|带电作业|铁塔|基础|杆塔|拉线|金具|绝缘子|电压等级|kV|kv|KV|额定容量|MVA|MW"
+INSIGHTS = {
+    "must": "必须|应当|不得|须|需|符合|满足|提交|提供",
+    "scoring": "评分|分值|得分|评审|评分办法|评分标准|扣分",
+    "bonus": "加分|优先|奖励|额外分|附加分|同等条件优先",
+    "bidding": "投标|方案|技术|服务|实施|交付|工期|团队|资质|业绩|案例|保障",
+    "risk": "废标|无效标|不予受理|拒绝|保证金|罚则|违约|扣分|否决|实质性偏离|重大偏差|取消资格|围标|串标|低于成本|安全事故|停工|返工|索赔|终止合同|解除合同|带电作业违规|误操作|越级跳闸|设备损坏",
+}
 PROJECTS = "(变电站|输电线路|配电网|电缆工程|架空线路|新能源|光伏|风电|换流站|充电站|储能|微电网|配网自动化)"
 ROLES: lx.Lexicon = (("项目经理", "项目经理|项目负责人"), ("技术负责人", "技术负责人|技术总工|总工程师"), ("安全员", "安全员|安全负责人|专职安全[管生]"), ("质量员", "质量员|质量负责人|质检[员师]"), ("施工员", "施工员|现场负责"))
 CERTIFICATES = "(一级建造师|二级建造师|注册[电气安全造价监理]+工程师|高级工程师|工程师|技师|高级技师|安全生产考核合格证书?|[ABC]类安全证|特种作业[操资][作质]证|电工[进资][网质]证|承装修试[一二三四五]级)"
@@ -41,9 +48,14 @@ CONDITIONS: Sequence[tuple[str, tuple[str, ...]]] = (
     ("SAFETY", ("安全", "安全方案", "安全生产", "应急", "消防", "高处作业", "带电作业安全")),
     ("FORMAT", ("密封", "格式", "签章", "公章", "份数", "逾期", "授权委托", "电子签章", "编制")),
 )
+SECTION_KINDS: Sequence[tuple[str, tuple[str, ...]]] = (
+    ("commissioning_plan", ("调试方案", "调试")), ("live_work_plan", ("带电作业",)), ("heavy_equipment_plan", ("设备吊装", "大型设备")), ("cable_laying_plan", ("电缆敷设", "电缆")), ("gis_installation_plan", ("gis安装", "gis")), ("stringing_plan", ("架线施工", "架线")), ("tower_foundation_plan", ("铁塔基础", "杆塔基础")),
+    ("grounding_plan", ("接地工程", "接地")), ("anti_pollution_plan", ("防污闪",)), ("technical_proposal", ("技术方案", "技术路线", "总体方案")), ("safety_plan", ("安全施工", "安全生产", "安全方案", "安全管理")), ("construction_plan", ("施工组织", "施工方案", "施工部署")), ("quality_plan", ("质量保证", "质量管理", "质量控制", "质量体系")),
+    ("schedule_plan", ("进度计划", "工期保证")), ("environmental_plan", ("环境保护", "环保方案", "水土保持")), ("resource_plan", ("资源配置", "人员配置", "设备配置")), ("commercial_proposal", ("商务响应", "商务方案", "报价说明")),
+)
 REJECTION = "废标|否决|拒绝|无效|不予受理|不予通过|不得参与|取消资格|不具备|不予接受|不合格|按废标处理|视为无效|不予评审"
 ADVICE = "酌情扣分|适当扣分|宜|建议|优先考虑|加分"
-LINE = r"[：:]\s*([^\n\r]+)"
+LINE = r"[:：]\s*([^\n\r]+)"
 FACTS: lx.Lexicon = (
     ("project_name", f"(?:项目名称|工程名称){LINE}"), ("project_location", f"(?:工程地点|项目地点|建设地点){LINE}"), ("construction_unit", f"(?:建设单位|业主单位|发包人|招标人){LINE}"), ("supervision_unit", f"(?:监理单位|监理公司){LINE}"), ("design_unit", f"(?:设计单位|设计院){LINE}"),
     ("total_duration_days", r"(?:工期|总工期|计划工期)\s*[:：]?\s*(\d+)\s*天"), ("manager_name", r"(?:项目经理|项目负责人)[:：]\s*([一-龥A-Za-z·]{2,20})"), ("manager_certificate", r"(?:证书编号|证书号|执业证号)[:：]\s*([A-Za-z0-9\-]{3,40})"), ("voltage_level", r"(±?\d+(?:\.\d+)?\s*(?:kV|KV|kv)(?:\s*/\s*\d+(?:\.\d+)?\s*(?:kV|KV|kv))*|\d+(?:\.\d+)?\s*千伏)"),
@@ -57,16 +69,29 @@ FACTS: lx.Lexicon = (
 RISKS = (
     ("QUAL_SAFETY_LICENSE", "safety_license", "FATAL", ("安全生产许可证",), None),
     ("QUAL_POWER_GENERAL", "qualification", "FATAL", ("电力工程施工总承包",), "电力工程施工总承包[一壹二贰三叁]级"),
+    ("QUAL_ELECTRICAL_INSTALL", "qualification", "FATAL", ("电力设施安装", "承装承修承试"), "承装[（(]修[、,]试[）)].*?[一二三四五]级"),
     ("QUAL_BUSINESS_LICENSE", "business_license", "FATAL", ("营业执照",), None),
     ("QUAL_GENERAL", "qualification", "FATAL", ("资质等级", "资质要求", "资质证书"), None),
     ("PROC_BID_BOND", "bid_bond", "FATAL", ("投标保证金",), "投标保证金.*?(?:万元|元)"),
     ("PROC_BID_VALIDITY", "bid_validity", "HIGH", ("投标有效期",), r"投标有效期.*?\d+.*?天"),
     ("PROC_SEAL_SIGNATURE", "format_compliance", "FATAL", ("法定代表人签字", "加盖公章", "投标文件签章"), None),
     ("PERSON_CONSTRUCTOR", "personnel", "FATAL", ("一级建造师", "二级建造师"), "[一二]级建造师.*?(?:机电|电力|市政)"),
+    ("PERSON_SPECIAL_OPS", "special_operator", "FATAL", ("特种作业", "操作证", "电工证"), "特种作业.*?(?:电工|高处|焊接|吊装)"),
     ("PERSON_SAFETY_OFFICER", "personnel", "HIGH", ("专职安全员", "安全生产管理人员"), None),
     ("POWER_VOLTAGE_PERF", "voltage_performance", "FATAL", ("电压等级",), r"(?:110|220|330|500|750|1000)\s*kV.*?(?:业绩|经验|施工)"),
+    ("POWER_GRID_CONNECTION", "grid_connection", "HIGH", ("并网验收", "并网调试"), None),
+    ("POWER_RELAY_PROTECTION", "relay_protection", "HIGH", ("继电保护", "保护整定"), None),
     ("POWER_LIVE_WORK", "live_work", "FATAL", ("带电作业",), None),
+    ("POWER_FACILITY_ZONE", "facility_protection", "HIGH", ("电力设施保护区",), None),
     ("POWER_SUBSTATION", "substation", "HIGH", ("变电站", "变电所", "开关站"), "(?:变电站|变电所|开关站).*?(?:施工|安装|调试)"),
+    ("POWER_TRANSMISSION", "transmission_line", "HIGH", ("架空线路", "输电线路", "电缆线路"), "(?:架空|输电|电缆)线路.*?(?:施工|架设|敷设)"),
+    ("POWER_GROUNDING", "grounding", "HIGH", ("接地装置", "接地电阻", "接地网"), None),
+    ("POWER_SAFETY_TOOLS", "safety_tools", "HIGH", ("安全工器具", "绝缘工具"), "(?:安全工器具|绝缘工具).*?检测"),
+    ("POWER_COMMISSIONING", "commissioning", "HIGH", ("投运", "送电", "通电"), "(?:投运|送电|通电).*?(?:期限|日期|时间|节点)"),
+    ("PERF_SIMILAR_PROJECT", "similar_performance", "HIGH", ("类似工程", "类似项目", "同类工程"), "(?:类似|同类)(?:工程|项目).*?(?:业绩|经验)"),
+    ("PERF_CONTRACT_VALUE", "contract_performance", "HIGH", ("合同金额", "合同额"), r"合同(?:金额|额).*?\d+.*?万"),
+    ("LEGAL_NO_BLACKLIST", "legal_compliance", "FATAL", ("失信被执行人", "黑名单", "行贿犯罪"), None),
+    ("LEGAL_NO_LITIGATION", "legal_compliance", "HIGH", ("重大诉讼", "仲裁", "行政处罚"), None),
 )
 
 
@@ -104,7 +129,7 @@ def requirements(said: DataFrame, key: str, must: Sequence[str] = lx.MUST, more:
     return numbered(said.where(is_must | lx.any_of(c, more) | score.isNotNull()), key, "REQ", 4, "requirement_id").select(key, "requirement_id", "pos", "page_no", "anchor", "content", is_must.alias("is_must"), score.alias("score_weight"), F.contains(c, F.lit("格式")).alias("format_required"), cross_references(c).alias("cross_refs"))
 
 
-def line_insights(said: DataFrame, key: str, rules: dict[str, str], base: dict[str, int] | None = None, power: str | None = POWER, default: bool = False) -> DataFrame:
+def line_insights(said: DataFrame, key: str, rules: dict[str, str] = INSIGHTS, base: dict[str, int] | None = None, power: str | None = POWER, default: bool = False) -> DataFrame:
     """(key, pos, category, content, anchor, importance): a row for each kind that a line is of. rules: patterns of must, scoring, bonus, bidding and risk.
 
     base: importances of bidding, scoring, must, bonus and risk, by default those for lines; with default, lines of no kind become bidding points of 50.
@@ -112,6 +137,7 @@ def line_insights(said: DataFrame, key: str, rules: dict[str, str], base: dict[s
     b = base or {"bidding": 55, "scoring": 60, "must": 75, "bonus": 70, "risk": 80}
     c = F.col("content")
     is_ = {k: c.rlike(p) for k, p in rules.items()}
+    is_["bidding"] = is_["bidding"] | (F.contains(c, F.lit("要求")) & (F.length(c) >= 10))
     score = score_of(c)
     boost = F.when(c.rlike(power), 10).otherwise(0) if power else F.lit(0)
     one = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("category"), (value + boost).cast("int").alias("importance")))
@@ -291,12 +317,12 @@ def section_route(df: DataFrame, title: str, weight: str, critical: Sequence[str
     return df.withColumns({"critical": hot, "plan": F.when(hot, "strong").otherwise("default")})
 
 
-def section_kind(title: Column, text: Column, kinds: Sequence[tuple[str, Sequence[str]]], default: str = "general") -> Column:
-    """The first kind with a keyword in the title, else in the text."""
+def section_kind(title: Column, text: Column, kinds: Sequence[tuple[str, Sequence[str]]] = SECTION_KINDS, default: str | None = None) -> Column:
+    """The first kind with a keyword in the title, else in the text; case does not count."""
     out = F.lit(default)
     for c in (text, title):
         for name, words in reversed(list(kinds)):
-            out = F.when(lx.any_of(tx.text(c), words), F.lit(name)).otherwise(out)
+            out = F.when(lx.any_of(F.lower(tx.text(c)), words), F.lit(name)).otherwise(out)
     return out
 
 

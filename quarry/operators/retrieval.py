@@ -115,9 +115,14 @@ def rerank(hits: DataFrame, k: int, query: str = "query_id", key: str = "chunk_i
     return top_k(hits.drop("rank").withColumn("score", new), [query], [F.desc(F.round("score", 9)), F.asc(key)], k)
 
 
+# Numbers with units, and model names.
+NUMBER_UNIT = r"(\d+(?:\.\d+)?\s*(?:kV|KV|kv|V|A|kW|MW|Hz|MHz|GHz|mm|cm|m))"
+MODEL_NAME = r"(?U)(\b[A-Za-z]{1,6}[-_ ]?\d{2,}[A-Za-z0-9-]*\b)"
+
+
 def key_facts(query: Column) -> Column:
     """C11: numbers with units and model names of a query, in lower case without spaces."""
-    found = F.concat(F.regexp_extract_all(tx.text(query), F.lit(r"(?i)(\d+(?:\.\d+)?\s*(?:kv|mva|mw|kw|kva|ka|hz|mm2|mm²|km|%|天|年|个月|万元|元))"), F.lit(1)), F.regexp_extract_all(tx.text(query), F.lit(r"([A-Z]{1,6}\d+[A-Z0-9\-/]*|[A-Z]{2,}-\d+[A-Z0-9\-]*)"), F.lit(1)))
+    found = F.concat(F.regexp_extract_all(tx.text(query), F.lit(NUMBER_UNIT), F.lit(1)), F.regexp_extract_all(tx.text(query), F.lit(MODEL_NAME), F.lit(1)))
     return F.array_sort(F.array_distinct(F.transform(found, tx.squeezed)))
 
 

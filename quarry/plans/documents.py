@@ -123,7 +123,8 @@ def greedy_chunks(spark, d):
 def table_chunks(spark, d):
     """B22, B23."""
     rows = F.concat_ws("\n", F.lit("| name | value |"), F.lit("| --- | --- |"), F.array_join(F.transform(F.slice(tx.words("text"), 1, 60), lambda w: F.concat(F.lit("| "), w, F.lit(" | x |"))), "\n"))
-    return docs(spark, d).select("doc_id", ch.is_parameter_table(rows).alias("parameters"), F.posexplode(ch.split_table(rows, 30)).alias("chunk_no", "c")).select("doc_id", "chunk_no", "parameters", F.md5("c").alias("digest"))
+    own = docs(spark, d).select("doc_id", rows.alias("md"))
+    return own.select("doc_id", ch.is_parameter_table("md").alias("parameters"), F.posexplode(ch.split_table("md", 30)).alias("chunk_no", "c")).select("doc_id", "chunk_no", "parameters", F.md5("c").alias("digest"))
 
 
 _TYPES = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p.replace(chr(92) + chr(92), chr(92))}') THEN '{n}'" for n, p in lx.CORPUS_TYPES) + " ELSE 'plain' END"

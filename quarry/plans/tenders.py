@@ -128,7 +128,7 @@ def tender_review(spark, d):
     return sx.risk_review(own, "text").select("p_partkey", F.size("quotes").alias("quotes"), "review_confidence")
 
 
-@query("SELECT p_partkey, 'POWER_VOLTAGE_PERF' AS pattern_id FROM part UNION ALL SELECT p_partkey, 'POWER_SUBSTATION' FROM part UNION ALL SELECT p_partkey, 'PERSON_CONSTRUCTOR' FROM part")
+@query("SELECT p_partkey, 'POWER_VOLTAGE_PERF' AS pattern_id FROM part UNION ALL SELECT p_partkey, 'POWER_SUBSTATION' FROM part UNION ALL SELECT p_partkey, 'PERSON_CONSTRUCTOR' FROM part UNION ALL SELECT p_partkey, 'PERF_SIMILAR_PROJECT' FROM part WHERE p_partkey % 2 = 1")
 def tender_risk_scan(spark, d):
     """D17."""
     return ex.risk_scan(tenders(spark, d), "p_partkey").select("p_partkey", "pattern_id")
@@ -405,6 +405,20 @@ def condition_coverage(spark, d):
     return ex.coverage_metrics(ex.condition_coverage(c, tenders(spark, d).select("p_partkey", "text"), "p_partkey"), "p_partkey")
 
 
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'gis_installation_plan' WHEN 1 THEN 'safety_plan' END AS kind FROM part")
+def section_kinds(spark, d):
+    """D26."""
+    t = F.when(F.col("p_size") % 3 == 0, "GIS安装要点").when(F.col("p_size") % 3 == 1, "安全管理").otherwise("其他")
+    return table(spark, d, "part").select("p_partkey", ex.section_kind(t, F.lit("")).alias("kind"))
+
+
+@query("SELECT p_partkey, 'RISK_ALERTS' AS category, 80 AS importance FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'BONUS_POINTS', 70 FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p_partkey, 'COMPLIANCE_REQUIREMENTS', 75 FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'COMPLIANCE_REQUIREMENTS', 75 FROM part UNION ALL SELECT p_partkey, 'SCORING_POINTS', 60 + least(p_size, 30) FROM part")
+def tender_insights(spark, d):
+    """D3 with the domain's rules, without its bidding points: the must line and the people's line (提供 is not there, 须 is), the score, the condition, the bonus."""
+    i = ex.line_insights(said(spark, d), "p_partkey")
+    return i.where("category <> 'BIDDING_POINTS'").select("p_partkey", "category", "importance")
+
+
 @query()
 def format_signature(spark, d):
     """D13."""
