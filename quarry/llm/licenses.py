@@ -18,11 +18,12 @@ that share an id and a text get the same result. score is the greatest containme
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower
-
 #: (phrase, label)
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: (label, text); texts of one label count each.
@@ -39,11 +40,23 @@ TEMPLATES = (
 )
 MOST_WORDS = 20_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of word characters, before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_KELVIN, _OTHER = "\u212a", "\u212b"
+
+
+def lowered(text: Column) -> Column:
+    """A text in lower case, as far as ASCII words go: like lower-casing A-Z only, but much faster than a translation of each letter.
+
+    Of all other letters only the Kelvin sign has an ASCII letter alone for its lower case, so it becomes another one first. Other
+    letters' case does not matter here: they are word characters in either, and no phrase or template has any.
+    """
+    return F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(_KELVIN), F.lit(_OTHER)))
 
 
-def normal(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased, joined by one space."""
-    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD, " "))
+def normal(low: Column) -> Column:
+    """The words of a lower-cased text, joined by one space."""
+    return F.trim(F.regexp_replace(low, NOT_WORD, " "))
 
 
 def words_of(text: str) -> list[str]:
@@ -58,7 +71,7 @@ def _word_count(s: Column) -> Column:
 
 def frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
     """How often each word of the vocabulary stands in the texts (a row per word comes to the driver)."""
-    own = F.filter(F.split(normal(F.col(text)), " "), lambda w: w.isin(vocabulary))
+    own = F.filter(F.split(lowered(F.col(text)), NOT_WORD), lambda w: w.isin(vocabulary))
     return {r[0]: r[1] for r in docs.select(F.explode(own).alias("w")).groupBy("w").count().collect()}
 
 
@@ -85,10 +98,10 @@ def contained(docs: DataFrame, keys: list[str], text: str, templates=TEMPLATES,
     prefixes = spark.createDataFrame(rows, "w string, k int, label string, j int, n int, a int, words array<string>")
     place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     order = F.create_map(*[x for w, i in place.items() for x in (F.lit(w), F.lit(i))])
-    lower = ascii_lower(F.col(text).cast("string"))
-    any_of = lambda c: F.exists(F.lit(first), lambda w: F.contains(c, w))
-    lines = docs.where(any_of(lower)).select(*keys, F.explode(F.filter(F.split(lower, "\n"), any_of)).alias("line"))
-    own = F.filter(F.array_distinct(F.split(normal(F.col("line")), " ")), lambda w: w.isin(vocabulary))
+    any_of = lambda c: reduce(or_, [F.contains(c, F.lit(w)) for w in first])
+    low = docs.select(*keys, lowered(F.col(text)).alias("__low"))
+    lines = low.where(any_of(F.col("__low"))).select(*keys, F.explode(F.filter(F.split("__low", "\n"), any_of)).alias("line"))
+    own = F.filter(F.array_distinct(F.split("line", NOT_WORD)), lambda w: w.isin(vocabulary))
     ranked = F.transform(F.sort_array(F.transform(own, lambda w: F.struct(order[w].alias("i"), w.alias("w")))), lambda s: s.w)
     blocks = lines.select(*keys, ranked.alias("own")).where(F.exists("own", lambda w: w.isin(first)))
     met = blocks.select(*keys, "own", F.posexplode("own").alias("i", "w")).withColumn("b", F.size("own")).join(F.broadcast(prefixes), "w")
@@ -100,24 +113,21 @@ def contained(docs: DataFrame, keys: list[str], text: str, templates=TEMPLATES,
 def scan(df: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
     one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text")).withColumn("__k", F.xxhash64("__text"))
-    padded = F.concat(F.lit(" "), normal(F.col("__text")), F.lit(" "))
-    has = [F.contains(F.col("__n"), F.lit(f" {p} ")) for p, _ in phrases]
-    hit = has[0]
-    for h in has[1:]:
-        hit = hit | h
+    # only texts that hold a phrase's words at all are brought to normal form
+    may = reduce(or_, [reduce(and_, [F.contains("__low", F.lit(w)) for w in p.split()]) for p, _ in phrases])
+    padded = F.when(may, F.concat(F.lit(" "), normal(F.col("__low")), F.lit(" ")))
+    has = [F.coalesce(F.contains(F.col("__n"), F.lit(f" {p} ")), F.lit(False)) for p, _ in phrases]
     either = "|".join(p for p, _ in phrases)
     before = lambda s: _word_count(F.trim(s))
-    counts = [F.when(h, F.regexp_count("__n", F.lit(f"(?<= ){p}(?= )"))).otherwise(0) for h, (p, _) in zip(has, phrases, strict=True)]
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
-    base = one.select("doc_id", "__k", padded.alias("__n")).select(
+    total = reduce(add, [F.when(h, F.regexp_count("__n", F.lit(f"(?<= ){p}(?= )"))).otherwise(0) for h, (p, _) in zip(has, phrases, strict=True)])
+    low = one.select("doc_id", "__k", F.coalesce(F.regexp_count("__text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), lowered(F.col("__text")).alias("__low"))
+    base = low.select("doc_id", "__k", "n_words", padded.alias("__n")).select(
         "doc_id",
         "__k",
-        _word_count(F.trim("__n")).alias("n_words"),
+        "n_words",
         total.cast("long").alias("n_base"),
-        F.when(hit, before(F.substring(F.col("__n"), F.lit(1), F.regexp_instr("__n", F.lit(f"(?<= )(?:{either})(?= )")) - 1))).alias("first_word"),
-        F.when(hit, before(F.regexp_extract("__n", f"^(.* )(?:{either}) ", 1))).alias("last_word"),
+        F.when(reduce(or_, has), before(F.substring(F.col("__n"), F.lit(1), F.regexp_instr("__n", F.lit(f"(?<= )(?:{either})(?= )")) - 1))).alias("first_word"),
+        F.when(reduce(or_, has), before(F.regexp_extract("__n", f"^(.* )(?:{either}) ", 1))).alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, phrases, strict=True)])))).alias("__base"),
     )
     more = contained(one, ["doc_id", "__k"], "__text", templates, threshold).groupBy("doc_id", "__k").agg(F.collect_set("label").alias("__more"), F.max("containment").alias("__score"))
