@@ -155,6 +155,27 @@ def test_near_groups(spark, monkeypatch):
         assert [(i, got.get(i), want.get(i), len(sets[i])) for i in range(len(docs)) if got.get(i) != want.get(i)] == []
 
 
+def test_near_groups_around_one_original(spark, monkeypatch):
+    """Several hundred copies that are alike only through an original in their middle, and a few that are like nothing."""
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(400):
+        own = list(base)
+        for j, at in enumerate(rnd.sample(range(5, 190, 10), 3 if i % 50 else 12)):
+            own[at + rnd.randrange(5)] = f"c{i}x{j}"
+        docs.append(" ".join(own if i != 200 else base))
+    sets = [set(simhash.shingles(simhash.words(t), 5).tolist()) for t in docs]
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    near = [i for i, s in enumerate(sets) if like(s, sets[200])]
+    assert len(near) == 393 and sum(like(sets[i], sets[j]) for i in near[:100] for j in near[:100] if i < j) < 200
+    want = {i: min(near) if i in near else i for i in range(400)}
+    df = spark.createDataFrame(list(enumerate(docs)), EMPTY).repartition(3)
+    for block in (512, 40):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {r.doc_id: r.group_id for r in simhash.near_groups(df).collect()} == want
+
+
 def test_licenses(spark):
     texts = [None, "", "MIT License mit-license", "x general public\nlicense y GENERAL PUBLIC LICENSE", "Licensed under CC BY-NC 4.0!", "the apache\tlicense", "Licensed under the Apache License, Version 2.0. and more words here", "all rights reserved\nALL RIGHTS reserved by", "mitlicense", "é mit license", "mit licenseé", "Released  under (the) MIT license", "This wor\u212a is licensed under the GNU General Public License, version 3", "\u0130MIT mit license \u0130"]
     df = spark.createDataFrame([(i, t, "w", 1) for i, t in enumerate(texts)] + [(None, "mit license", "w", 1)], "doc_id long, text string, w string, label int")
