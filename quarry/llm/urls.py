@@ -19,6 +19,8 @@ from quarry.llm.common import ascii_lower, settle
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MOST_RULES = 1000
 DAMPING, ROUNDS = 0.85, 6
+#: Scores that differ by less, relatively, are equal.
+EQUAL = 1e-12
 _LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(https?://[^\s\"'<>]+)"
 _HOST, _PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 
@@ -57,7 +59,7 @@ def spread(hosts: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: fl
 
 
 def filter_urls(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, host, path, rule, verdict and the host's trust and distrust (rounded to 6 places)."""
+    """page_id, host, path, rule, verdict and the host's trust and distrust (rounded to 6 places; compared as they are)."""
     said = F.col("__url")
     one = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("__url"), F.col(html).cast("string").alias("__html"))
     judged = one.select("page_id", host(said).alias("host"), path(said).alias("path")).withColumn("__rule", rule(F.col("host"), F.col("path"), rules))
@@ -65,8 +67,11 @@ def filter_urls(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: fl
     links = settle(found.where("src <> dst and src <> '' and dst <> ''").distinct(), "links")
     counts = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("__rule.verdict") == "allow").alias("a"), F.count_if(F.col("__rule.verdict") == "block").alias("b"))
     seeds = counts.select("host", (F.col("a") > F.col("b")).cast("int").alias("good"), (F.col("b") > F.col("a")).cast("int").alias("bad"))
-    ranks = spread(seeds, links, rounds, damping).select(F.col("host").alias("__host"), F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+    ranks = spread(seeds, links, rounds, damping).select(F.col("host").alias("__host"), F.col("trust").alias("__trust"), F.col("distrust").alias("__distrust"))
     both = judged.join(ranks, F.col("host") == F.col("__host"), "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(none("distrust") > none("trust"), "block").otherwise("allow"))
-    return both.select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), none("trust").alias("trust"), none("distrust").alias("distrust"))
+    # equal sums, added in another order, differ by some last bits; that is no more distrust
+    more = none("__distrust") > none("__trust") * (1 + EQUAL)
+    verdict = F.coalesce(F.col("__rule.verdict"), F.when(more, "block").otherwise("allow"))
+    shown = lambda c: F.round(none(f"__{c}"), 6).alias(c)
+    return both.select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), shown("trust"), shown("distrust"))

@@ -223,6 +223,14 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_urls_small_distrust(spark):
+    """Two hops of 600 in-links each leave a distrust far under six places; it still is more than no trust."""
+    link = lambda h: f'<a href="http://{h}/">'
+    pages = [(0, "http://c.com/de/1", "")] + [(i, f"http://n{i}.net/", link("c.com")) for i in range(1, 601)] + [(600 + i, f"http://m{i}.net/", link("n1.net")) for i in range(1, 601)] + [(2000, "http://z.net/", "")]
+    got = {r.page_id: (r.verdict, r.trust, r.distrust) for r in urls.filter_urls(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got[601] == got[1200] == ("block", 0.0, 0.0) and got[1][0] == "block" and got[2000][0] == "allow"
+
+
 def test_vafile(spark):
     rng = np.random.default_rng(3)
     vecs = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 8), (203, [float("inf")] + [0.0] * 7), (204, [0.5, -0.25]), (None, [1.0] * 8)]
