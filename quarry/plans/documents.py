@@ -122,7 +122,7 @@ def greedy_chunks(spark, d):
 @query()
 def table_chunks(spark, d):
     """B22, B23."""
-    rows = F.concat_ws("\n", F.lit("| name | value |"), F.lit("| --- | --- |"), F.array_join(F.transform(F.slice(tx.words("text"), 1, 60), lambda w: F.concat(F.lit("| "), w, F.lit(" | x |"))), "\n"))
+    rows = F.concat_ws("\n", F.lit("| name | value |"), F.lit("| --- | --- |"), F.array_join(F.transform(tx.words("text"), lambda w: F.concat(F.lit("| "), w, F.lit(" | x |"))), "\n"))
     own = docs(spark, d).select("doc_id", rows.alias("md"))
     return own.select("doc_id", ch.is_parameter_table("md").alias("parameters"), F.posexplode(ch.split_table("md", 30)).alias("chunk_no", "c")).select("doc_id", "chunk_no", "parameters", F.md5("c").alias("digest"))
 
@@ -395,7 +395,7 @@ def coverage_estimate(spark, d):
 def fuzzy_gate(spark, d):
     """sentences of benchmark items that no candidate document holds, or nearly."""
     said = ex.sentences(table(spark, d, "benchmark"), "item_id", least=8).select("item_id", "content")
-    ev = _hits(spark, d).where("rank <= 3").select(F.col("query_id").alias("item_id"), F.substring("text", 1, 2000).alias("text"))
+    ev = _hits(spark, d).where("rank <= 3").select(F.col("query_id").alias("item_id"), "text")
     return sc.unsupported(said, ev, "item_id")
 
 
