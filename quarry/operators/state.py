@@ -1,13 +1,15 @@
 """Stateful and governance operators (H1-H16) in batch; quarry.streaming has their streaming forms.
 
-What depends on earlier decisions (a rejected request costs nothing) is a fold over a key's ordered events inside one row; what
-depends on counts only is a window.
+What depends on earlier decisions (a rejected request costs nothing) is a fold over a key's ordered events, read as a stream of which
+only the state is held; what depends on counts only is a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,23 +20,39 @@ def estimate_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.expr("1L") * F.floor(F.length(c) / 4))
 
 
-def _ordered(df: DataFrame, key: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    return df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("__e"))
+def _folded(df: DataFrame, key: Sequence[str], order: Sequence[str], fields: Sequence[str], start: Callable, step: Callable, made: Sequence[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """key, order and the columns made (name, SQL type, Arrow type): step(state, *fields) gives the next state and a row's values; start(*key) begins a key."""
+    kinds, n = dict(df.dtypes), len(key)
+    rest = [*order, *[f for f in fields if f not in order]]
+    near = df.select(*key, *rest).repartition(*key).sortWithinPartitions(*key, *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = state = None
+        for b in batches:
+            keys = zip(*[b.column(i).to_pylist() for i in range(n)], strict=True)
+            out = []
+            for k, *values in zip(keys, *[b.column(f).to_pylist() for f in fields], strict=True):
+                if k != now:
+                    now, state = k, start(*k)
+                state, row = step(state, *values)
+                out.append(row)
+            cols = list(zip(*out, strict=True)) or [()] * len(made)
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + len(order)], *[pa.array(c, t) for c, (_, _, t) in zip(cols, made, strict=True)]], [*key, *order, *[m[0] for m in made]])
+
+    return near.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in (*key, *order)] + [f"`{m[0]}` {m[1]}" for m in made]))
 
 
 def budget(df: DataFrame, key: str, order: Sequence[str], amount: str, total: Column) -> DataFrame:
     """H1: (key, order, amount, accepted, remaining): a request is accepted if it fits what is left; rejected ones use nothing."""
-    kinds = dict(df.dtypes)
-    out = "array<struct<" + ",".join(f"{o}:{kinds[o]}" for o in order) + f",{amount}:bigint,accepted:boolean,remaining:bigint>>"
-    each = _ordered(df.withColumn(amount, F.col(amount).cast("long")).withColumn("__total", total.cast("long")), [key, "__total"], order, [amount])
-    zero = F.struct(F.col("__total").alias("left"), F.array().cast(out).alias("rows"))
+    own = df.withColumn("__amount", F.col(amount).cast("long")).withColumn("__total", total.cast("long"))
 
-    def step(acc: Column, e: Column) -> Column:
-        ok = e[amount] <= acc.left
-        left = F.when(ok, acc.left - e[amount]).otherwise(acc.left)
-        return F.struct(left.alias("left"), F.concat(acc.rows, F.array(F.struct(*[e[o].alias(o) for o in order], e[amount].alias(amount), ok.alias("accepted"), left.alias("remaining")))).alias("rows"))
+    def step(left: int | None, a: int | None):
+        ok = None if left is None or a is None else a <= left
+        left = left - a if ok else left
+        return left, (a, ok, left)
 
-    return each.select(key, F.inline(F.aggregate("__e", zero, step, lambda acc: acc.rows)))
+    made = [(amount, "bigint", pa.int64()), ("accepted", "boolean", pa.bool_()), ("remaining", "bigint", pa.int64())]
+    return _folded(own, [key, "__total"], order, ["__amount"], lambda k, t: t, step, made).drop("__total")
 
 
 def budget_left(total: Column, used: Column) -> Column:
@@ -54,19 +72,16 @@ def rate_limit(df: DataFrame, key: str, ts: str = "ts", order: Sequence[str] = (
 
 def first_hit_windows(df: DataFrame, key: str, ts: str = "ts", order: Sequence[str] = (), limit: int = 300, seconds: int = 60) -> DataFrame:
     """H3: windows that begin with the first request after the last window's end; (key, ts, order, window_no, n, allowed)."""
-    fields = [ts, *order]
-    kinds = dict(df.dtypes)
     own = df.withColumn("__s", F.unix_micros(F.col(ts).cast("timestamp")))
-    each = _ordered(own, [key], fields, ["__s"])
-    out = "array<struct<" + ",".join(f"{o}:{kinds[o]}" for o in fields) + ",window_no:int,n:int>>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("w"), F.lit(0).alias("n"), F.array().cast(out).alias("rows"))
 
-    def step(acc: Column, e: Column) -> Column:
-        new = acc.start.isNull() | (e["__s"] >= acc.start + seconds * 1_000_000)
-        w, n = F.when(new, acc.w + 1).otherwise(acc.w), F.when(new, 1).otherwise(acc.n + 1)
-        return F.struct(F.when(new, e["__s"]).otherwise(acc.start).alias("start"), w.alias("w"), n.alias("n"), F.concat(acc.rows, F.array(F.struct(*[e[o].alias(o) for o in fields], w.alias("window_no"), n.alias("n")))).alias("rows"))
+    def step(state: tuple, at: int | None):
+        start, w, n = state
+        if start is None or (at is not None and at >= start + seconds * 1_000_000):
+            start, w, n = at, w + 1, 0
+        return (start, w, n + 1), (w, n + 1)
 
-    return each.select(key, F.inline(F.aggregate("__e", zero, step, lambda acc: acc.rows))).withColumn("allowed", F.col("n") <= limit)
+    made = [("window_no", "int", pa.int32()), ("n", "int", pa.int32())]
+    return _folded(own, [key], [ts, *order], ["__s"], lambda k: (None, 0, 0), step, made).withColumn("allowed", F.col("n") <= limit)
 
 
 def concurrency(df: DataFrame, key: Sequence[str], start: str, end: str, order: str, limit: int, ttl: int | None = None) -> DataFrame:
@@ -83,19 +98,27 @@ def step_machine(events: DataFrame, key: str, order: str, steps: Sequence[str],
 
     events: key, order, step, ok and blocked (is a red line raised?).
     """
-    kinds = dict(events.dtypes)
-    names = F.array(*[F.lit(s) for s in steps])
-    past = lambda s: F.array_position(names, s) > F.array_position(names, F.lit(gate))
-    each = _ordered(events, [key], [order], ["step", "ok", "blocked"])
-    out = f"array<struct<{order}:{kinds[order]},step:string,outcome:string>>"
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.map_from_arrays(names, F.array(*[F.lit(0) for _ in steps])).alias("tries"), F.array().cast(out).alias("rows"))
-
-    def step(acc: Column, e: Column) -> Column:
-        outcome = F.when(F.array_contains(acc.done, e.step), "skipped").when(e.blocked & past(e.step), "blocked").when(F.element_at(acc.tries, e.step) >= retries, "max_retries").when(e.ok, "success").otherwise("failed")
-        tries = F.transform_values(acc.tries, lambda k, v: F.when((k == e.step) & (outcome == "failed"), v + 1).otherwise(v))
-        return F.struct(F.when(outcome == "success", F.concat(acc.done, F.array(e.step))).otherwise(acc.done).alias("done"), tries.alias("tries"), F.concat(acc.rows, F.array(F.struct(e[order].alias(order), e.step.alias("step"), outcome.alias("outcome")))).alias("rows"))
-
-    return each.select(key, F.inline(F.aggregate("__e", zero, step, lambda acc: acc.rows)))
+    place = {name: i for i, name in reversed(list(enumerate(steps)))}
+
+    def fold(state: tuple, name: str | None, ok: bool | None, red: bool | None):
+        done, tries = state
+        if name in done:
+            outcome = "skipped"
+        elif red and name is not None and place.get(name, -1) > place.get(gate, -1):
+            outcome = "blocked"
+        elif tries.get(name, -1) >= retries:
+            outcome = "max_retries"
+        else:
+            outcome = "success" if ok else "failed"
+        if outcome == "success" and name is not None:
+            done.add(name)
+        if outcome == "failed" and name in tries:
+            tries[name] += 1
+        return state, (name, outcome)
+
+    own = events.select(key, order, F.col("step").alias("__step"), "ok", "blocked")
+    made = [("step", "string", pa.string()), ("outcome", "string", pa.string())]
+    return _folded(own, [key], [order], ["__step", "ok", "blocked"], lambda k: (set(), dict.fromkeys(steps, 0)), fold, made)
 
 
 def latest_status(events: DataFrame, key: Sequence[str], ts: str, status: str) -> DataFrame:
@@ -113,9 +136,36 @@ def cache_state(entries: DataFrame, as_of: Column, size: int = 4096, key: str =
 
 def routing_stats(df: DataFrame, key: Sequence[str], order: Sequence[str], success: str, latency: str, keep: float = 0.7) -> DataFrame:
     """H8: attempts, successes and the exponentially weighted latency (the first value as it is) of each key's calls in order."""
-    each = _ordered(df.withColumn(latency, F.greatest(F.lit(0.0), F.col(latency).cast("double"))), key, order, [success, latency])
-    ewma = F.aggregate("__e", F.lit(None).cast("double"), lambda acc, e: F.when(acc.isNull(), e[latency]).otherwise(acc * keep + e[latency] * (1 - keep)))
-    return each.select(*key, F.size("__e").alias("attempts"), F.size(F.filter("__e", lambda e: e[success])).alias("successes"), F.round(ewma, 6).alias("latency"))
+    # a key may hold a large part of all rows: ranges of its rows are folded apart, and what they give is put together in order
+    rest = [*order, *[f for f in (success, latency) if f not in order]]
+    own = df.withColumn(latency, F.greatest(F.lit(0.0), F.col(latency).cast("double"))).select(*key, *rest)
+    kinds, n = dict(own.dtypes), len(key)
+    near = own.repartitionByRange(*key, *rest).sortWithinPartitions(*key, *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        now, said, held = None, None, [0, 0, 0.0, 0.0]
+
+        def made() -> pa.RecordBatch:
+            cols = [*said, *[pa.array([x]) for x in (part, *held)]]
+            return pa.RecordBatch.from_arrays(cols, [*key, "__part", "__n", "__ok", "__first", "__on"])
+
+        for b in batches:
+            keys = zip(*[b.column(i).to_pylist() for i in range(n)], strict=True)
+            for at, (k, ok, x) in enumerate(zip(keys, b.column(success).to_pylist(), b.column(latency).to_pylist(), strict=True)):
+                if said is None or k != now:
+                    if said is not None:
+                        yield made()
+                    now, said, held = k, [b.column(i).slice(at, 1) for i in range(n)], [0, 0, x, 0.0]
+                # as a key's first range, and as one that goes on from what was before it
+                held = [held[0] + 1, held[1] + bool(ok), x if not held[0] else held[2] * keep + x * (1 - keep), held[3] * keep + x * (1 - keep)]
+        if said is not None:
+            yield made()
+
+    runs = near.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in key] + ["__part long, __n long, __ok long, __first double, __on double"]))
+    each = runs.groupBy(*key).agg(F.sum("__n").cast("int").alias("attempts"), F.sum("__ok").cast("int").alias("successes"), F.array_sort(F.collect_list(F.struct("__part", "__n", "__first", "__on"))).alias("__e"))
+    ewma = F.aggregate("__e", F.lit(None).cast("double"), lambda acc, e: F.when(acc.isNull(), e["__first"]).otherwise(acc * F.pow(F.lit(float(keep)), e["__n"]) + e["__on"]))
+    return each.select(*key, "attempts", "successes", F.round(ewma, 6).alias("latency"))
 
 
 def reward(attempts: Column, successes: Column, latency: Column) -> Column:
