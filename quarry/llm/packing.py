@@ -5,7 +5,9 @@ best fit, longest first, within each partition; bins filled to `size - slack` or
 as items: eight partitions' bins meet in one, are packed again, and so on until a task holds all that is left, or about
 `per_task` bins. A bin carries its members, at most `size` of them, so no round needs to look back at the documents.
 
-Defined results: null text is empty (its only token is the end mark); repeated rows are packed each; null doc_id is kept.
+Defined results: null text is empty (its only token is the end mark); repeated rows are packed each; null doc_id is kept; texts of any
+length and content are encoded whole (millions of spaces or of one letter, too); strings of the file's added tokens get their ids, as
+the library's encode gives them.
 """
 
 from __future__ import annotations
@@ -70,13 +72,23 @@ def best_fit(fills: list[int], size: int) -> list[list[int]]:
     return bins
 
 
+#: Items that a task packs together.
+TOGETHER = 200_000
 _BIN = f"fill int, open boolean, members array<struct<{PIECE.replace(' long', ':long').replace(' int', ':int')}>>"
 
 
 def _round(bins: DataFrame, size: int, slack: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= TOGETHER:
+                yield from together(held)
+                held = []
+        yield from together(held)
+
+    def together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not any(b.num_rows for b in held):
             return
         t = pa.Table.from_batches(held).combine_chunks()
         fills, members = t.column("fill").to_pylist(), t.column("members").combine_chunks()
@@ -111,7 +123,7 @@ def pack(found: DataFrame, size: int = 1024, slack: int = 8, per_task: int = 20_
             done.append(rest.select("fill", "members"))
             break
         tasks = fewer
-        # dealt by fill over the tasks, so that each gets bins of every size
+        # dealt by a hash of the members, so that each task gets bins of every fill
         now = settle(_round(rest.repartition(tasks, F.hash("members")), size, slack), "bins")
         done.append(now.where("not open").select("fill", "members"))
     bins = done[0]

@@ -1,12 +1,17 @@
 """Token ids of whole texts by the tokenizers library, with a cache of words.
 
-Byte-level BPE (ByteBPE) encodes whole texts.
+Byte-level BPE (ByteBPE): the file's own cutting rule never joins what stands before a single space between two other letters with
+what follows, so texts are cut there, each different word is encoded by the library once while it stays in the worker's cache, and
+joined again. Files whose pipeline is not known to have that property are encoded whole.
 
 SentencePiece models (Pieces): the protobuf is parsed here and rebuilt as a tokenizers pipeline: its normaliser, the marker for
 spaces, unigram scores or BPE merges, byte fallback and decoder. No piece of the vocabulary has the marker after another
-character (checked when a model is loaded; else texts are encoded whole), so no token spans a space between two words: texts are
-cut there, each different word is encoded and decoded once while it stays in the worker's cache, and joined again. Parity with
-the sentencepiece library is verified for each such word, and for texts that are not cut, as a whole.
+character (checked when a model is loaded; else texts are encoded whole), so no token spans a space between two words, and texts
+are cut there. Decoding is the library's, of each text's whole ids; parity compares them with the sentencepiece library's ids of the
+whole text.
+
+Words of over LONG letters are encoded each time, so the cache is bounded in bytes, too. Texts of any length and content are encoded:
+a text of millions of spaces or of one letter is one word.
 """
 
 from __future__ import annotations
@@ -14,13 +19,13 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import struct
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
-from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import process_cache
 
-#: Pieces in each of the cache's two generations.
-CACHED = 250_000
+#: Words in each of the cache's two generations, and letters of the longest one kept.
+CACHED, LONG = 250_000, 64
 #: Characters encoded together.
 TOGETHER = 2_000_000
 
@@ -49,6 +54,11 @@ class Cache(dict):
         """The keys that are not kept."""
         return {k for k in keys if k not in self and k not in self.old}
 
+    def forget_long(self, keys: list[str]) -> None:
+        for k in keys:
+            if len(k) > LONG:
+                del self[k]
+
     def turn(self) -> bool:
         if len(self) <= self.size:
             return False
@@ -57,11 +67,11 @@ class Cache(dict):
         return True
 
 
-def groups(texts: pa.Array, size: int = TOGETHER) -> Iterator[list[str]]:
+def groups(texts: pa.Array | list[str], size: int = TOGETHER) -> Iterator[list[str]]:
     """Texts (null: empty) in lists of about size characters."""
     held, n = [], 0
     for t in texts:
-        held.append(t.as_py() or "")
+        held.append((t if isinstance(t, str) else t.as_py()) or "")
         n += len(held[-1])
         if n >= size:
             yield held
@@ -70,35 +80,45 @@ def groups(texts: pa.Array, size: int = TOGETHER) -> Iterator[list[str]]:
         yield held
 
 
-# Fixed value: how byte-level BPE of this kind cuts texts before merging.
-CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PROBE = "It's  a  probe:\n\n\t naïve café, 東京 – 3,141.59 don't\r\n <|endoftext|> \u00a0x  "
+#: White space, as any of the libraries sees it, besides the space itself.
+_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_BETWEEN = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that tokenizer.json files of this kind write for bytes: printable bytes as they are, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+def between_spaces(text: str) -> list[str]:
+    """text cut at each single space between two letters that are no white space (also at one before or after the whole)."""
+    if "  " not in text and not any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES):
+        return text.split(" ")
+    return _BETWEEN.split(text)
 
 
-class ByteBPE:
-    """ids(texts) has each text's ids as little-endian unsigned 32-bit integers. Strings of special tokens are ordinary text.
+def _parted(ids: bytes, mark: bytes) -> Iterator[bytes]:
+    """What stands before each mark of four bytes."""
+    start = at = 0
+    while (at := ids.find(mark, at)) >= 0:
+        if at % 4:
+            at += 1
+            continue
+        yield ids[start:at]
+        start = at = at + 4
 
-    The tokenizers library reads the file. Where the file is plain byte-level BPE whose ids follow the order of its merges, the
-    tiktoken library's merger, which is some three times faster, gives the same ids from the same vocabulary; that is probed on
-    loading, and tokenizers encodes where they differ.
-    """
+
+class ByteBPE:
+    """ids(texts) has each text's ids as little-endian unsigned 32-bit integers: those of the library's encode with add_special_tokens=False."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self._np = np
         self._tokenizer = Tokenizer.from_str(spec)
-        self._tokenizer.encode_special_tokens = True
-        self._fast = self._merger(json.loads(spec))
+        own = json.loads(spec)
+        first, model = own.get("pre_tokenizer") or {}, own["model"]
+        plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not own.get("normalizer")
+        # added tokens are found in a text before it is cut; none may reach over a cut, or take spaces or letters around it into account
+        alone = all(" " not in t["content"] and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in own.get("added_tokens", []))
+        self._added = [t["content"] for t in own.get("added_tokens", [])]
+        self._cut = plain and alone and model["type"] == "BPE" and not model.get("dropout")
+        self._known = Cache()
 
     @classmethod
     def of(cls, spec: str) -> ByteBPE:
@@ -108,26 +128,33 @@ class ByteBPE:
             own[key] = cls(spec)
         return own[key]
 
-    def _merger(self, spec: dict):
-        try:
-            import tiktoken
-        except ImportError:
-            return None
-        model, cut, letters = spec["model"], spec.get("pre_tokenizer") or {}, byte_letters()
-        vocab = model["vocab"]
-        made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"]]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        plain = model["type"] == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and not spec.get("normalizer")
-        if not plain or None in made or made != sorted(made) or any(x not in letters for p in vocab if p not in special for x in p):
-            return None
-        ranks = {bytes(letters[x] for x in p): i for p, i in vocab.items() if p not in special}
-        fast = tiktoken.Encoding("own", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
-        return fast if fast.encode_ordinary(_PROBE) == self._tokenizer.encode(_PROBE, add_special_tokens=False).ids else None
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word by itself. Words that hold no added token are encoded a thousand together, an added token between each two."""
+        odd = {i for i, w in enumerate(words) if any(t in w for t in self._added)} if self._added else set(range(len(words)))
+        alone = iter(self._tokenizer.encode_batch_fast([words[i] for i in sorted(odd)], add_special_tokens=False))
+        usual = [w for i, w in enumerate(words) if i not in odd] if odd else words
+        lists = [[x for w in usual[i : i + 1000] for x in (w, self._added[0])] for i in range(0, len(usual), 1000)]
+        found = iter(())
+        if lists:
+            mark = _little([self._tokenizer.token_to_id(self._added[0])])
+            found = chain.from_iterable(_parted(_little(e.ids), mark) for e in self._tokenizer.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False))
+        return [_little(next(alone).ids) if i in odd else next(found) for i in range(len(words))]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if self._fast:
-            return [self._np.asarray(self._fast.encode_to_numpy(t, disallowed_special=()), "<u4").tobytes() for t in texts]
-        return [self._np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if not self._cut:
+            return [_little(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        first = [between_spaces(t) for t in texts]
+        heads, rest = [w[0] for w in first], [w[1:] for w in first]
+        new = list(self._known.knows(set(chain.from_iterable(rest))))
+        gc.disable()  # these lists hold no cycles, and are many
+        try:
+            self._known.update(zip(new, self._each([f" {w}" for w in new]), strict=True))
+            out = [h + b"".join(map(self._known.__getitem__, w)) for h, w in zip(self._each(heads), rest, strict=True)]
+        finally:
+            gc.enable()
+        self._known.forget_long(new)
+        self._known.turn()
+        return out
 
 
 # SentencePiece
@@ -241,8 +268,6 @@ class Pieces:
         # texts can be cut before single spaces if the normaliser does nothing across them and every word starts alike
         self._cut = separable(self.model) and not self.model["charsmap"] and self.model["prefix"] and not any(k == OWN for *_, k in self.model["pieces"])
         self._known = Cache()
-        self._changed: dict[str, str] = {}
-        self._differ: set[str] = set()
 
     @classmethod
     def of(cls, data: bytes, threads: int = 2) -> Pieces:
@@ -251,41 +276,41 @@ class Pieces:
             own[key] = cls(data, threads)
         return own[key]
 
-    def _each(self, parts: list[str]) -> tuple[list[bytes], list[str], list[bool]]:
-        found = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-        same = list(map(eq, found, self.original.encode(parts, num_threads=self._threads)))
-        return [_little(i) for i in found], back, same
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
-        """Each text's ids as little-endian unsigned 32-bit integers, what they decode to, and whether the library that the model was made for gives the same."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         plain = [self._cut and bool(t) and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
-        whole = zip(*self._each([t for t, p in zip(texts, plain, strict=True) if not p]), strict=True)
+        each = lambda parts: [_little(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        whole = iter(each([t for t, p in zip(texts, plain, strict=True) if not p]))
         words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         new = list(self._known.knows(set(chain.from_iterable(words))))
         gc.disable()  # these lists hold no cycles, and are many
         try:
-            ids, back, same = self._each(new)
+            self._known.update(zip(new, each(new), strict=True))
         finally:
             gc.enable()
-        self._known.update(zip(new, ids, strict=True))
-        # most words decode to themselves and agree; the others are few and kept apart
-        self._changed.update((w, b) for w, b in zip(new, back, strict=True) if b != w)
-        self._differ.update(w for w, x in zip(new, same, strict=True) if not x)
+        out = [b"".join(map(self._known.__getitem__, own)) if p else next(whole) for p, own in zip(plain, words, strict=True)]
+        self._known.forget_long(new)
+        self._known.turn()
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
+        """Each text's ids, what those decode to, and whether the library that the model was made for gives the same ids for the whole text."""
         out = []
-        for t, p, own in zip(texts, plain, words, strict=True):
-            if p:
-                text = t if not self._changed or self._changed.keys().isdisjoint(own) else " ".join([self._changed.get(w, w) for w in own])
-                out.append((b"".join(map(self._known.__getitem__, own)), text, not self._differ or self._differ.isdisjoint(own)))
-            else:
-                out.append(next(whole))
-        if self._known.turn():
-            kept = self._known.old
-            self._changed = {w: b for w, b in self._changed.items() if w in kept}
-            self._differ.intersection_update(kept)
+        for part in groups(texts, TOGETHER // 8):
+            ids = self.ids(part)
+            back = self.tokenizer.decode_batch([_listed(i) for i in ids], skip_special_tokens=False)
+            want = self.original.encode(part, num_threads=self._threads)
+            out += [(i, b, i == _little(w)) for i, b, w in zip(ids, back, want, strict=True)]
         return out
 
 
+def _listed(ids: bytes) -> list[int]:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tolist()
+
+
 def _little(ids: list[int]) -> bytes:
     a = array("I", ids)
     if sys.byteorder == "big":
@@ -296,7 +321,8 @@ def _little(ids: list[int]) -> bytes:
 def sentencepieces(df: DataFrame, model: str, threads: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32 (of little-endian unsigned 32-bit ids), decoded and parity of every row.
 
-    model: a SentencePiece model's path on the driver; executors get its bytes. parity: the sentencepiece library gives the same ids. Null and empty texts have no tokens and decode to nothing; repeated rows are encoded alike; null ids are kept.
+    model: a SentencePiece model's path on the driver; executors get its bytes. decoded: the library's decoding of the
+    whole ids. parity: the sentencepiece library gives the same ids for the whole text. A model is unigram or BPE, as its protobuf says. Null and empty texts have no tokens and decode to nothing; repeated rows are encoded alike; null ids are kept.
     """
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())

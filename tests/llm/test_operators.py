@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from quarry.llm import queries as lq
 from quarry.llm import chat, licenses, media, packing, quality, simhash, substring, tokens, urls, vafile
 from quarry.llm.common import components
 
@@ -246,16 +247,23 @@ def test_vafile(spark):
     assert vafile.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_packing(spark):
-    p = pytest.importorskip("public_tokenizers")
-    path = p.path("byte_bpe_50k.json")
-    df, data = awkward(spark, 9)
-    found = packing.pieces(df, path, size=64).cache()
-    rows = packing.pack(found, size=64, slack=2, per_task=5).collect()
-    enc = tokens.ByteBPE(open(path, encoding="utf-8").read())
-    whole = {d: len(enc.ids([t or ""])[0]) // 4 + 1 for d, t, *_ in data}
-    assert sum(r.length for r in rows) == sum(len(enc.ids([t or ""])[0]) // 4 + 1 for _, t, *_ in data)
-    assert all(r.length == 64 for r in rows if r.piece > 0) and all(r.start < whole[r.doc_id] for r in rows)
+def by_hand(path, size):
+    """A document's pieces by a plain call of the tokenizers library: (piece, start, length, crc32)."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+
+    def cut(text):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % size or size
+        at = [0, *range(first, len(ids) + 1, size)] if len(ids) > size else [0, len(ids)]
+        return [(k, a, b - a, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a:b]))) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+
+    return cut
+
+
+def sequences(rows, size):
+    """Each sequence's lengths; asserts that it is filled without a gap."""
     seqs: dict = {}
     for r in rows:
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -264,18 +272,103 @@ def test_packing(spark):
         for o, n in sorted(s):
             assert o == at
             at += n
-        assert at <= 64
-    assert len(seqs) <= 1.1 * len(packing.best_fit([r.length for r in rows], 64)) + 1
+        assert at <= size
+    return seqs
+
+
+def first_fit(lengths, size):
+    """How many bins first fit, longest first, takes."""
+    room: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        k = next((k for k, r in enumerate(room) if r >= n), None)
+        if k is None:
+            room.append(size - n)
+        else:
+            room[k] -= n
+    return len(room)
+
+
+def test_packing(spark):
+    p = pytest.importorskip("public_tokenizers")
+    path = p.path("byte_bpe_50k.json")
+    df, data = awkward(spark, 9)
+    cut = by_hand(path, 64)
+    rows = packing.pack(packing.pieces(df, path, size=64), size=64, slack=2, per_task=5).collect()
+    want = [(d, *x) for d, t, *_ in data for x in cut(t)]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == sorted(want, key=str)
+    assert len(sequences(rows, 64)) <= 1.1 * first_fit([r.length for r in rows], 64) + 1
     assert packing.pack(packing.pieces(spark.createDataFrame([], EMPTY), path)).count() == 0
 
 
+def test_packing_small_chunks(spark, monkeypatch):
+    found = spark.createDataFrame([(i, 0, 0, i % 60 + 1, i) for i in range(500)], packing.PIECE).coalesce(1)
+    bins = packing._round(found.select(F.col("length").cast("int").alias("fill"), F.array(F.struct(*found.columns)).alias("members")), 64, 2)
+    assert bins.agg(F.sum("fill")).first()[0] == sum(i % 60 + 1 for i in range(500))
+    assert packing.best_fit([], 64) == []
+
+
+def test_packing_long_texts(spark):
+    p = pytest.importorskip("public_tokenizers")
+    path = p.path("byte_bpe_50k.json")
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "x" * n, "a" + " " * 1_100_000 + "b", "<|endoftext|>", "x <|endoftext|> y<|endoftext|>"]
+    cut = by_hand(path, 1024)
+    rows = packing.pack(packing.pieces(spark.createDataFrame(list(enumerate(texts)), EMPTY), path)).collect()
+    want = sorted((i, *x) for i, t in enumerate(texts) for x in cut(t))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    sequences(rows, 1024)
+
+
+def test_op8_query_equals_brute_force(spark):
+    p = pytest.importorskip("public_tokenizers")
+    sf = "/root/testdata/sf0.001"
+    rows = lq.op8_packing(spark, sf).collect()
+    cut = by_hand(p.path("byte_bpe_50k.json"), 1024)
+    want = [(r.doc_id, *x) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for x in cut(r.text)]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    assert len(sequences(rows, 1024)) <= 1.02 * first_fit([r.length for r in rows], 1024) + 1
+
+
 def test_sentencepieces(spark):
     p = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = p.path("piece_bpe_32k.model")
+    original = sentencepiece.SentencePieceProcessor(model_file=path)
     df, data = awkward(spark, 10)
-    got = tokens.sentencepieces(df, p.path("piece_bpe_32k.model")).collect()
+    text = {d[0]: d[1] or "" for d in data}
+    got = tokens.sentencepieces(df, path).collect()
     assert len(got) == len(data) and all(r.parity for r in got)
-    assert all(r.decoded == next(d[1] or "" for d in data if d[0] == r.doc_id) for r in got)
-    assert all(len(r.ids) == r.n_tokens for r in got)
+    for r in got:
+        assert r.ids == original.encode(text[r.doc_id]) and r.decoded == original.decode(r.ids) == text[r.doc_id] and len(r.ids) == r.n_tokens
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids))
+
+
+def test_op2_query_equals_the_sentencepiece_library(spark):
+    p = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    original = sentencepiece.SentencePieceProcessor(model_file=p.path("piece_bpe_32k.model"))
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = lq.op2_sentencepiece(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        ids = original.encode(text[r.doc_id])
+        assert (r.n_tokens, r.ids_crc32, r.parity) == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)), True)
+        assert r.decoded_sha256 == hashlib.sha256(original.decode(ids).encode()).hexdigest()
+
+
+def test_parity_tells_a_difference():
+    """A pipeline that differs from the original for a whole text is told, and decoding is of the ids, not of the text."""
+    p = pytest.importorskip("public_tokenizers")
+    m = tokens.Pieces(open(p.path("piece_bpe_32k.model"), "rb").read(), 1)
+    assert m.encode(["plain words"])[0][1:] == ("plain words", True)
+    m._known.clear()
+    m._known["words"] = m.ids(["sword"])[0]
+    m._known["plain"] = m.ids(["plain"])[0]
+    ids, back, same = m.encode(["plain words"])[0]
+    assert back == "plain sword" and not same
 
 
 def test_quality(spark):
