@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -33,11 +34,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. Where that is unset, one of our own on a single machine (tests); an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(shared)
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         shared = spark.sparkContext.getCheckpointDir()
     return shared
 
@@ -46,7 +48,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later uses neither recompute it nor depend on one executor's disk."""
     path = f"{scratch(df.sparkSession)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.settled_at = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that settle() wrote. Only for those of which nothing is left to compute: what was made of them is settled itself."""
+    for t in tables:
+        if path := getattr(t, "settled_at", None):
+            at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def process_cache(name: str) -> dict:
@@ -75,7 +87,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = settle(small, "cc")
+        last, now = now, settle(small, "cc")
+        drop(last)
         mark = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if mark == before:
             break

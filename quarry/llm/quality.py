@@ -5,14 +5,19 @@ kinds, whatever the input's size) estimates the share of good texts and each heu
 posterior of a text's votes is its label. A linear scorer over hashed words and word shapes is trained on these labels and scores
 every text; texts that score below `cut` are rejected.
 
-The scorer is fitted on a sample of about SAMPLE rows, chosen by a hash of the id; votes are counted and texts scored over all rows.
+The scorer is fitted on a sample of about SAMPLE different rows: those whose 64-bit hash of id and text is under a bound, so the share
+may be as small as the input asks for. Of a sampled text at most SLOTS features are taken (those of the least hash), which bounds
+the sample in bytes, too. Votes are counted and texts scored over all rows and whole texts.
 
-Defined results: a null or empty text has no words and is rejected (nothing can be trained on it); repeated rows are scored alike; null ids are kept; if all labels agree, the scorer is that label.
+Defined results: a null or empty text has no words and is rejected (nothing can be trained on it); repeated rows are sampled as one
+and scored alike; null ids are kept; if all labels agree, the scorer is that label; very long texts are read whole. The stop words are
+those of four languages: texts in others get no good vote from that labeller, and its accuracy is estimated with that.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import process_cache
 
 LABELLERS = ("shouting", "marks", "bars", "stopwords", "symbols", "repeats", "variety")
-SAMPLE, BITS = 8000, 16
+SAMPLE, SLOTS, BITS = 8000, 2048, 16
 # Common function words of English, French, German and Spanish.
 STOP = frozenset(
     b"a an and are as at be by for from has in is it of on or that the this to was were with "
@@ -112,17 +117,41 @@ def slots(word: str, bits: int = BITS) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(word.lower(), 1) % most + 1, xxhash.xxh64_intdigest(shape(word), 2) % most + 1
 
 
-def fit_scorer(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = 8, step: float = 0.4, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression by AdaGrad; a row has the slots of its words' features, each with value 1 / words."""
+def counted(text: str, bits: int = BITS, most: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of a text's features and how often each occurs; of more than `most` those of the least hash."""
+    words = text.split()
+    times = Counter(words)
+    found: Counter[int] = Counter()
+    for w, k in times.items():
+        for i in slots(w, bits):
+            found[i] += k
+    if same := sum(map(eq, words, words[1:])):
+        found[REPEATED] += same
+    kept = sorted(found, key=lambda i: i * 0x9E3779B97F4A7C15 % 2**64)[:most]
+    return np.array(kept, np.uint32), np.array([found[i] for i in kept], np.uint32)
+
+
+def bound(total: int, sample: int) -> int:
+    """The signed 64-bit hash up to which about `sample` of `total` rows have theirs; all do if there are fewer."""
+    return -(2**63) + min(2**64 * sample // max(1, total), 2**64 - 1)
+
+
+def chosen(rows: DataFrame, total: int, sample: int) -> DataFrame:
+    """__h and __text of the rows (doc_id, __text) to be sampled."""
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("__text", F.lit("")))
+    return rows.select(h.alias("__h"), "__text").where(F.col("__h") <= F.lit(bound(total, sample)))
+
+
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 8, step: float = 0.4, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression by AdaGrad; a row has slots and counts, each slot with value 2 * count / all counts."""
     w, b = np.zeros(1 << bits), float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
     g, gb, order = np.full(1 << bits, 1e-3), 1e-3, np.random.default_rng(7)
-    each = [np.unique(r, return_counts=True) for r in rows]
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            own, k = each[i]
+            own, k = rows[i]
             if not len(own):
                 continue
-            x = k * (2 / len(rows[i]))
+            x = k * (2 / k.sum())
             d = 1 / (1 + np.exp(-np.clip(b + w[own] @ x, -60, 60))) - labels[i]
             grad = d * x + decay * w[own]
             g[own] += grad * grad
@@ -145,9 +174,9 @@ def classify(df: DataFrame, cut: float = 0.5, sample: int = SAMPLE, doc_id: str
                 found[v] = found.get(v, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["v", "n"])
 
-    counted = one.select("__text").mapInArrow(count, "v string, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()  # 3^7 rows at most
+    said = one.select("__text").mapInArrow(count, "v string, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()  # 3^7 rows at most
     number = {"b": 0, "g": 1, "-": -1}
-    patterns = sorted((tuple(number[x] for x in r["v"]), r["n"]) for r in counted)
+    patterns = sorted((tuple(number[x] for x in r["v"]), r["n"]) for r in said)
     total = sum(n for _, n in patterns)
     prior, rate = fit_labellers(patterns) if patterns else (np.ones(1), np.full((1, len(LABELLERS)), 0.5))
     label = {p: float(posterior(np.array([p]), prior, rate)[0]) for p, _ in patterns}
@@ -155,18 +184,22 @@ def classify(df: DataFrame, cut: float = 0.5, sample: int = SAMPLE, doc_id: str
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, goal = [], []
-            for t in b.column(0):
-                s = t.as_py() or ""
-                words = s.split()
-                rows.append(np.array([x for w in words for x in slots(w)] + [REPEATED] * sum(map(eq, words, words[1:])), np.uint32).tobytes())
-                goal.append(label[votes(s)])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(goal, pa.float64())], ["at", "goal"])
-
-    share = min(1.0, sample / max(1, total))
-    chosen = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).orderBy(F.xxhash64("doc_id")).limit(2 * sample).select("__text") if total else one.select("__text")
-    got = chosen.mapInArrow(featured, "at binary, goal double").collect()
-    rows, labels = [np.frombuffer(r["at"], np.uint32) for r in got], np.array([r["goal"] for r in got])
-    w, b0 = fit_scorer(rows, labels) if len(got) else (np.zeros(1 << BITS), 0.0)
+            for t in b.column(1):
+                own = t.as_py() or ""
+                rows.append(b"".join(x.astype("<u4").tobytes() for x in counted(own)))
+                goal.append(label[votes(own)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), pa.array(goal, pa.float64())], ["h", "at", "goal"])
+
+    # about `sample` rows of at most 8 * SLOTS bytes; repeated rows have one hash and are one of them, so few may be left: then more are asked for
+    got, many = [], sample
+    while total and not got:
+        got = chosen(one, total, many).mapInArrow(featured, "h long, at binary, goal double").groupBy("h").agg(F.min("at").alias("at"), F.min("goal").alias("goal")).collect()
+        if not got and many >= total:
+            raise RuntimeError("no row was sampled")
+        many *= 64
+    got.sort(key=lambda r: r["h"])
+    rows, labels = [tuple(np.frombuffer(r["at"], "<u4").reshape(2, -1)) for r in got], np.array([r["goal"] for r in got])
+    w, b0 = fit_scorer(rows, labels) if got else (np.zeros(1 << BITS), 0.0)
     model = spark.sparkContext.broadcast(w.astype(np.float32))  # 2^BITS numbers
 
     names = [f"k_{k}" for k in keep]

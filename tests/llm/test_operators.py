@@ -382,6 +382,15 @@ def test_quality(spark):
     assert quality.classify(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_quality_sample_of_a_huge_table(spark):
+    """The share of a table of 1e11 rows is not zero, null ids are not all or none, and repeated rows are one."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("__text"))
+    got = quality.chosen(rows, 10**11, 10**9).collect()
+    assert 120 < len(got) < 300 and len({r["__h"] for r in got}) == len(got)
+    same = spark.createDataFrame([(1, "a few words here")] * 300 + [(i, f"other words {i}") for i in range(2, 20)], EMPTY)
+    assert quality.classify(same, sample=10).count() == 318
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     r = quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")

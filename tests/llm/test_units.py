@@ -185,10 +185,25 @@ def test_weak_labels():
     assert quality.shape("Wörd42!!") == "Axaa00!!"
     p, rate = quality.fit_labellers([((1, 1, 1), 90), ((0, 1, 1), 5), ((1, 0, -1), 5)])
     assert 0.8 < p[0] < 0.98 and quality.posterior(np.array([[1, 1, 1]]), p, rate)[0] > 0.9 > 0.5 > quality.posterior(np.array([[0, 1, 1]]), p, rate)[0]
-    w, b = quality.fit_scorer([np.array([1, 2]), np.array([3])] * 50, np.array([1.0, 0.0] * 50))
+    w, b = quality.fit_scorer([(np.array([1, 2]), np.array([1, 1])), (np.array([3]), np.array([1]))] * 50, np.array([1.0, 0.0] * 50))
     assert b + w[1] + w[2] > 0 > b + 2 * w[3]
 
 
+def test_sample_bound():
+    share = lambda total, sample: (quality.bound(total, sample) + 2**63) / 2**64
+    for total in (10**5, 10**11, 10**15):
+        assert abs(share(total, 8000) * total / 8000 - 1) < 0.01
+    assert quality.bound(10, 8000) == quality.bound(0, 8000) == 2**63 - 1
+
+
+def test_counted_features():
+    at, k = quality.counted("one two two three three three")
+    assert k.sum() == 2 * 6 + 3 and k[at == quality.REPEATED] == 3
+    at, k = quality.counted(" ".join(f"w{i}x" for i in range(50_000)))
+    assert len(at) == quality.SLOTS and len(set(at.tolist())) == quality.SLOTS
+    assert len(quality.counted("")[0]) == 0
+
+
 def test_byte_bpe_equals_tokenizers():
     p = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
