@@ -1,16 +1,18 @@
 """License scans: phrases by place, and text blocks that contain most of a license template's words.
 
-The second part is an exact set-similarity join, in DataFrame functions only. A block is a line; a template and a block are sets of
-words; their containment is the share of the template's words that the block has. Template words are ordered by their frequency
-in the corpus, rarest first, ties by the word itself. To contain at least `threshold` of a template of n words a block needs
+The second part is an exact set-similarity join, in DataFrame functions only. A block is a run of consecutive words, a quarter longer
+than the template (or the whole text, if it is shorter), wherever its lines are broken. A template and a block are sets of words;
+their containment is the share of the template's words that the block has. Template words are ordered by their frequency in the
+corpus, rarest first, ties by the word itself. To contain at least `threshold` of a template of n words a block needs
 a = ceil(threshold * n) of them, so
 
-- prefix: one of the template's first n - a + 1 words is in the block, and among the first b - a + 1 of the block's b template words
-- length: b >= a
-- position: with the i-th word of the block meeting the j-th of the template, 1 + min(b - i - 1, n - j - 1) >= a
+- prefix: one of the template's first n - a + 1 words is in the block
+- length: a block that holds this word lies in the words around it, of which at least a must be different
+- position: if that word is the template's j-th, it and the later of either side are what can still be common: 1 + min(those around - 1, n - j - 1) >= a
 
-Lines that have none of the prefixes' words are dropped before anything is exploded; what passes the filters is verified by an
-intersection. Templates are a parameter of bounded size (MOST_WORDS), so their index is broadcast; blocks are never shuffled.
+What passes is verified by intersections: of all words around, then of each block. Words stream past the broadcast index (a hash
+lookup each); neither texts nor blocks are shuffled, only the few hits, pre-aggregated. Templates are a parameter of bounded size
+(MOST_WORDS) and travel as a table: the plan's size does not depend on them.
 
 Defined results: null and empty texts have no words, places or labels and score 0; repeated rows are scanned each; null ids are kept; rows
 that share an id and a text get the same result. score is the greatest containment of a block that reaches the threshold, else 0.
@@ -19,29 +21,36 @@ that share an id and a text get the same result. score is the greatest containme
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_, or_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (phrase, label)
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: (label, text); texts of one label count each.
+#: (label, text); texts of one label count each. Notices as their licenses word them.
 TEMPLATES = (
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mit", "Released under the MIT License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("proprietary", "All rights reserved"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 MOST_WORDS = 20_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Runs of word characters, before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KELVIN, _OTHER = "\u212a", "\u212b"
 
 
@@ -54,83 +63,80 @@ def lowered(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(_KELVIN), F.lit(_OTHER)))
 
 
-def normal(low: Column) -> Column:
-    """The words of a lower-cased text, joined by one space."""
-    return F.trim(F.regexp_replace(low, NOT_WORD, " "))
+def words_in(text: Column) -> Column:
+    """The words of a text, in order."""
+    return F.array_remove(F.split(lowered(text), NOT_WORD), "")
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a template, as normal() has them."""
+    """The words of a template, as words_in() has them."""
     kept = [c.lower() if "A" <= c <= "Z" else c for c in text]
-    return "".join(c if "0" <= c <= "9" or "a" <= c <= "z" or c > "\x7f" else " " for c in kept).split()
+    said = "".join(c if "0" <= c <= "9" or "a" <= c <= "z" or c > "\x7f" else " " for c in kept)
+    return [w for w in said.split(" ") if w]
 
 
-def _word_count(s: Column) -> Column:
-    return F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).cast("long")
+def frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """How often each word of the vocabulary stands in the column __w (a row per word of it comes to the driver)."""
+    known = words.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
+    met = words.select(F.explode("__w").alias("w")).join(F.broadcast(known), "w")  # at most MOST_WORDS
+    return {r[0]: r[1] for r in met.groupBy("w").count().collect()}
 
 
-def frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
-    """How often each word of the vocabulary stands in the texts (a row per word comes to the driver)."""
-    own = F.filter(F.split(lowered(F.col(text)), NOT_WORD), lambda w: w.isin(vocabulary))
-    return {r[0]: r[1] for r in docs.select(F.explode(own).alias("w")).groupBy("w").count().collect()}
+def block_length(template_words: int) -> int:
+    return template_words + -(-template_words // 4)
 
 
 def index(templates, counts: dict[str, int], threshold: tuple[int, int]) -> list[dict]:
-    """A row per template: number, label, words in the corpus's order, n and a."""
+    """A row per template: label, words in the corpus's order, n, a and the words of a block."""
     out = []
-    for k, (label, text) in enumerate(templates):
+    for label, text in templates:
         own = sorted(set(words_of(text)), key=lambda w: (counts.get(w, 0), w))
         if own:
-            out.append({"k": k, "label": label, "words": own, "n": len(own), "a": -(-threshold[0] * len(own) // threshold[1])})
+            out.append({"label": label, "words": own, "n": len(own), "a": -(-threshold[0] * len(own) // threshold[1]), "block": block_length(len(words_of(text)))})
     return out
 
 
-def contained(docs: DataFrame, keys: list[str], text: str, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
-    """keys, label and containment of every pair of a block and a template that reaches threshold, a fraction (numerator, denominator)."""
-    spark = docs.sparkSession
+def contained(words: DataFrame, keys: list[str], templates=TEMPLATES, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+    """keys, label and containment: the best of each place where blocks of the column __w reach threshold, a fraction (numerator, denominator)."""
     vocabulary = sorted({w for _, t in templates for w in words_of(t)})
     if len(vocabulary) > MOST_WORDS:
         raise ValueError("too many words of templates to broadcast")
-    counts = frequencies(docs, text, vocabulary)
-    found = index(templates, counts, threshold)
-    first = sorted({w for t in found for w in t["words"][: t["n"] - t["a"] + 1]})
-    rows = [(w, t["k"], t["label"], j, t["n"], t["a"], t["words"]) for t in found for j, w in enumerate(t["words"][: t["n"] - t["a"] + 1])]
-    prefixes = spark.createDataFrame(rows, "w string, k int, label string, j int, n int, a int, words array<string>")
-    place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    order = F.create_map(*[x for w, i in place.items() for x in (F.lit(w), F.lit(i))])
-    any_of = lambda c: reduce(or_, [F.contains(c, F.lit(w)) for w in first])
-    low = docs.select(*keys, lowered(F.col(text)).alias("__low"))
-    lines = low.where(any_of(F.col("__low"))).select(*keys, F.explode(F.filter(F.split("__low", "\n"), any_of)).alias("line"))
-    own = F.filter(F.array_distinct(F.split("line", NOT_WORD)), lambda w: w.isin(vocabulary))
-    ranked = F.transform(F.sort_array(F.transform(own, lambda w: F.struct(order[w].alias("i"), w.alias("w")))), lambda s: s.w)
-    blocks = lines.select(*keys, ranked.alias("own")).where(F.exists("own", lambda w: w.isin(first)))
-    met = blocks.select(*keys, "own", F.posexplode("own").alias("i", "w")).withColumn("b", F.size("own")).join(F.broadcast(prefixes), "w")
-    fits = met.where("b >= a and i < b - a + 1 and 1 + least(b - i - 1, n - j - 1) >= a")
-    both = fits.withColumn("both", F.size(F.array_intersect("own", "words"))).where("both >= a")
-    return both.select(*keys, "label", (F.col("both") / F.col("n")).alias("containment"))
+    found = index(templates, frequencies(words, vocabulary), threshold)
+    rows = [(w, t["label"], j, t["n"], t["a"], t["block"], t["words"]) for t in found for j, w in enumerate(t["words"][: t["n"] - t["a"] + 1])]
+    prefixes = words.sparkSession.createDataFrame(rows, "w string, label string, j int, n int, a int, block int, words array<string>")
+    met = words.select(*keys, "__w", F.posexplode("__w").alias("p", "w")).join(F.broadcast(prefixes), "w")
+    w, lo = F.col("__w"), F.greatest(F.col("p") - F.col("block") + 1, F.lit(0))
+    near = met.withColumns({"lo": lo, "around": F.array_distinct(F.slice(w, lo + 1, 2 * F.col("block") - 1))})
+    fits = near.where("size(around) >= a and 1 + least(size(around) - 1, n - j - 1) >= a").where("size(array_intersect(words, around)) >= a")
+    starts = F.sequence("lo", F.greatest("lo", F.least("p", F.size(w) - F.col("block"))))
+    best = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect("words", F.slice(w, s + 1, F.col("block"))))))
+    return fits.select(*keys, "label", "n", "a", best.alias("both")).where("both >= a").select(*keys, "label", (F.col("both") / F.col("n")).alias("containment"))
+
+
+def places(words: Column, phrase: str) -> Column:
+    """Where the phrase's words stand consecutively, from 0."""
+    first, *rest = phrase.split()
+    at = F.transform(words, lambda w, i: F.when(reduce(and_, [F.get(words, i + k) == F.lit(x) for k, x in enumerate(rest, 1)], w == F.lit(first)), i))
+    # most texts lack a word of it: they are not walked through
+    return F.when(reduce(and_, [F.array_contains(words, x) for x in phrase.split()]), F.array_compact(at)).otherwise(F.array().cast("array<int>"))
 
 
 def scan(df: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: tuple[int, int] = (9, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text")).withColumn("__k", F.xxhash64("__text"))
-    # only texts that hold a phrase's words at all are brought to normal form
-    may = reduce(or_, [reduce(and_, [F.contains("__low", F.lit(w)) for w in p.split()]) for p, _ in phrases])
-    padded = F.when(may, F.concat(F.lit(" "), normal(F.col("__low")), F.lit(" ")))
-    has = [F.coalesce(F.contains(F.col("__n"), F.lit(f" {p} ")), F.lit(False)) for p, _ in phrases]
-    either = "|".join(p for p, _ in phrases)
-    before = lambda s: _word_count(F.trim(s))
-    total = reduce(add, [F.when(h, F.regexp_count("__n", F.lit(f"(?<= ){p}(?= )"))).otherwise(0) for h, (p, _) in zip(has, phrases, strict=True)])
-    low = one.select("doc_id", "__k", F.coalesce(F.regexp_count("__text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), lowered(F.col("__text")).alias("__low"))
-    base = low.select("doc_id", "__k", "n_words", padded.alias("__n")).select(
+    said = F.col(text).cast("string")
+    one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(said).alias("__k"), words_in(said).alias("__w"))
+    found = one.select("doc_id", "__k", F.size("__w").cast("long").alias("n_words"), *[places(F.col("__w"), p).alias(f"__p{i}") for i, (p, _) in enumerate(phrases)])
+    own = [F.col(f"__p{i}") for i in range(len(phrases))]
+    base = found.select(
         "doc_id",
         "__k",
         "n_words",
-        total.cast("long").alias("n_base"),
-        F.when(reduce(or_, has), before(F.substring(F.col("__n"), F.lit(1), F.regexp_instr("__n", F.lit(f"(?<= )(?:{either})(?= )")) - 1))).alias("first_word"),
-        F.when(reduce(or_, has), before(F.regexp_extract("__n", f"^(.* )(?:{either}) ", 1))).alias("last_word"),
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, phrases, strict=True)])))).alias("__base"),
+        reduce(add, [F.size(c) for c in own]).cast("long").alias("n_base"),
+        F.array_min(F.concat(*own)).cast("long").alias("first_word"),
+        F.array_max(F.concat(*own)).cast("long").alias("last_word"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(own, phrases, strict=True)])))).alias("__base"),
     )
-    more = contained(one, ["doc_id", "__k"], "__text", templates, threshold).groupBy("doc_id", "__k").agg(F.collect_set("label").alias("__more"), F.max("containment").alias("__score"))
+    more = contained(one, ["doc_id", "__k"], templates, threshold).groupBy("doc_id", "__k").agg(F.collect_set("label").alias("__more"), F.max("containment").alias("__score"))
     more = more.withColumnsRenamed({"doc_id": "__d", "__k": "__h"})
     none = F.array().cast("array<string>")
     both = base.join(more, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__k").eqNullSafe(F.col("__h")), "left")

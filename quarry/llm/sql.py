@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm.licenses import PHRASES, TEMPLATES, words_of
+from quarry.llm.licenses import PHRASES, TEMPLATES, block_length, words_of
 from quarry.llm.urls import DAMPING, ROUNDS, RULES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,16 +21,18 @@ def op1(window: int = 20) -> str:
 
 
 def op3(threshold: tuple[int, int] = (9, 10)) -> str:
-    """Places of phrases in each word list; each line's word set against each template's."""
+    """Places of phrases in each word list; each run of words as long as a template's blocks against it."""
     split = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     norm = lambda c: f"list_filter(string_split_regex(translate(coalesce({c}, ''), '{_UP}', '{_LOW}'), '{split}'), lambda x: x <> '')"
     starts = [(f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {j}] = {chr(39)}{x}{chr(39)}' for j, x in enumerate(p.split()))})", label) for p, label in PHRASES]
     names = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM m WHERE len(s{i}) > 0" for i, (_, label) in enumerate(starts))
-    rows = ", ".join(f"('{label}', [{', '.join(repr(x) for x in sorted(set(words_of(t))))}])" for label, t in TEMPLATES)
+    rows = ", ".join(f"('{label}', [{', '.join(repr(x) for x in sorted(set(words_of(t))))}], {block_length(len(words_of(t)))})" for label, t in TEMPLATES)
+    enough = f"len(words) * {threshold[0]}"
     return f"""WITH d AS (SELECT doc_id, {norm('text')} AS w FROM documents), m AS (SELECT doc_id, w, {', '.join(f'{s} AS s{i}' for i, (s, _) in enumerate(starts))} FROM d),
- c AS (SELECT doc_id, len(w) AS n, list_concat(list_concat(s0, s1), s2) AS s FROM m), t(label, words) AS (VALUES {rows}),
- ln AS (SELECT doc_id, list_distinct({norm('line')}) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) x),
- hit AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS score FROM ln CROSS JOIN t WHERE len(list_intersect(b, words)) * {threshold[1]} >= len(words) * {threshold[0]}),
+ c AS (SELECT doc_id, len(w) AS n, list_concat(list_concat(s0, s1), s2) AS s FROM m), t(label, words, block) AS (VALUES {rows}),
+ u AS (SELECT doc_id, w, list_distinct(w) AS own FROM d), may AS (SELECT doc_id, w, label, words, block FROM u CROSS JOIN t WHERE len(list_intersect(own, words)) * {threshold[1]} >= {enough}),
+ runs AS (SELECT doc_id, label, words, w[i : i + block - 1] AS b FROM (SELECT *, unnest(range(1, greatest(1, len(w) - block + 1) + 1)) AS i FROM may) x),
+ hit AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), words)) / len(words) AS score FROM runs WHERE len(list_intersect(list_distinct(b), words)) * {threshold[1]} >= {enough}),
  bl AS ({names}), base AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS l FROM bl GROUP BY doc_id),
  al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM bl UNION SELECT doc_id, label FROM hit) x GROUP BY doc_id), sc AS (SELECT doc_id, max(score) AS s FROM hit GROUP BY doc_id)
  SELECT c.doc_id, n AS n_words, len(c.s) AS n_base, list_min(c.s) - 1 AS first_word, list_max(c.s) - 1 AS last_word, coalesce(base.l, '') AS base_labels, coalesce(al.l, '') AS labels, coalesce(sc.s, 0.0) AS score

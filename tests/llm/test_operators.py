@@ -177,8 +177,18 @@ def test_near_groups_around_one_original(spark, monkeypatch):
         assert {r.doc_id: r.group_id for r in simhash.near_groups(df).collect()} == want
 
 
+MIT = """Permission is hereby granted, free of charge, to any
+  person obtaining a copy of this software and
+  associated documentation files (the "Software"), to deal"""
+BSD = """Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the
+# following conditions are met:"""
+
+
 def test_licenses(spark):
     texts = [None, "", "MIT License mit-license", "x general public\nlicense y GENERAL PUBLIC LICENSE", "Licensed under CC BY-NC 4.0!", "the apache\tlicense", "Licensed under the Apache License, Version 2.0. and more words here", "all rights reserved\nALL RIGHTS reserved by", "mitlicense", "é mit license", "mit licenseé", "Released  under (the) MIT license", "This wor\u212a is licensed under the GNU General Public License, version 3", "\u0130MIT mit license \u0130"]
+    texts += ["😀 😀 😀 mit license", "a\u2028b\u0085 c mit license", "\u0085 mit license x\u2028 general public license 😀", MIT, BSD, f"some words before {BSD} and words after " * 3, BSD.replace("binary", "x").replace("forms", "y").replace("source", "z")]
+    texts += ["all " * 50 + "rights " * 50 + "reserved", "\u212a mit license", "mit " * 3000 + "released under the license mit", "mit license " * 2000]
     df = spark.createDataFrame([(i, t, "w", 1) for i, t in enumerate(texts)] + [(None, "mit license", "w", 1)], "doc_id long, text string, w string, label int")
     got = {(r.doc_id): tuple(r)[1:] for r in licenses.scan(df).collect()}
     for i, t in [*enumerate(texts), (None, "mit license")]:
@@ -190,17 +200,24 @@ def test_licenses(spark):
             at += hit
             labels |= {label} if hit else set()
         more, score = set(labels), 0.0
-        for line in (t or "").split("\n"):
-            b = set(licenses.words_of(line))
-            for label, text in licenses.TEMPLATES:
-                own = set(licenses.words_of(text))
-                if len(b & own) * 10 >= 9 * len(own):
-                    more.add(label)
-                    score = max(score, len(b & own) / len(own))
+        for label, text in licenses.TEMPLATES:
+            own, size = set(licenses.words_of(text)), licenses.block_length(len(licenses.words_of(text)))
+            best = max(len(own.intersection(w[j : j + size])) for j in range(max(1, len(w) - size + 1)))
+            if best * 10 >= 9 * len(own):
+                more.add(label)
+                score = max(score, best / len(own))
         assert got[i] == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), score)
+    labels = [v[5] for v in got.values()]
+    assert "bsd" in labels and any("mit" in got[i][5] and not got[i][4] for i, t in enumerate(texts) if t == MIT) and got[texts.index("😀 😀 😀 mit license")][2:4] == (3, 3)
     assert licenses.scan(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_license_plan_does_not_grow_with_templates(spark):
+    df = spark.createDataFrame([(1, "alpha beta")], EMPTY)
+    size = lambda n: len(licenses.scan(df, templates=[(f"l{i}", f"word{i} other{i} third{i} and more{i}") for i in range(n)])._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(200) - size(2)) < 200
+
+
 def test_media(spark):
     df, data = awkward(spark, 7)
     enc = media.encode_media(df, keep=("doc_id", "h"))
