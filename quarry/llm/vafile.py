@@ -1,15 +1,19 @@
-"""Exact top-k search by vector-approximation files.
+"""Exact top-k search by a vector-approximation file.
 
-Vectors are packed in blocks. Of each block a file of approximations is made: every component's cell, one of 16 between the
-block's least and greatest value of that dimension. For a block of queries the cells give a lower and an upper bound of every
-inner product; the k-th best lower bound rules out all vectors whose upper bound is below it; the others' exact vectors are read in
-the order of their upper bounds until the k-th exact score reaches the next bound. Blocks' best k are then merged.
+1. Every dimension's range over the whole table is cut into CELLS cells; a table is written that holds, beside each exact vector, its
+   cells, one byte a dimension. This column is the approximation file.
+2. For a block of queries (of bounded size, so it is broadcast) the cells alone are scanned. They give a lower and an upper bound of
+   every inner product. A task keeps what its own k-th lower bound does not rule out; the k-th lower bound over all tasks then
+   rules out the rest, but for few.
+3. Exact vectors are read in the order of their upper bounds: first of each query's 2k best; then of those whose upper bound still
+   reaches the k-th exact score. What is left cannot be among the k best.
 
-Candidates meet queries block by block (never row by row), so a task's memory is that of two blocks.
+Copies: of rows with one vector only the 2k smallest ids (k rows of one id at most) can be among any query's k best, so no more are
+indexed, however many there are. The grouping keeps that many per task before it shuffles.
 
 Defined results: vectors that are null, hold null or non-finite components, or lack an id take no part; shorter vectors count
-as padded with zeros; rows with the query's own id are not its candidates; repeated rows count once each; ties go to the smaller
-id; fewer than k candidates give fewer rows.
+as padded with zeros; rows with the query's own id are not its candidates; repeated rows count once each, as queries and as candidates;
+ties go to the smaller id; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -22,107 +26,149 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import settle
-
-CELLS = 16
-
-
-class Approximations:
-    """Cells of integer vectors x (rows), and bounds of inner products from them."""
-
-    def __init__(self, x: np.ndarray):
-        low, high = x.min(0).astype(np.float64), x.max(0).astype(np.float64)
-        self.low, self.step = low, np.maximum(1.0, np.ceil((high - low + 1) / CELLS))
-        self.cell = ((x - low) // self.step).astype(np.uint8)
-
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, a row per query. A cell holds the integers from low + cell * step on, step of them."""
-        half = (self.step - 1) / 2
-        middle = q @ (self.low + half + self.cell * self.step).T
-        spread = np.abs(q) @ half
-        return middle - spread[:, None], middle + spread[:, None]
-
-
-def block_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, approximations: Approximations | None = None, reads: list | None = None) -> Iterator[tuple[int, int, int]]:
-    """(index of the query, id, score) of each query's k best of the block x. reads, if given, gets the number of exact vectors read for each query."""
-    lower, upper = (approximations or Approximations(x)).bounds(q.astype(np.float64))
-    for i in range(len(q)):
-        may = np.flatnonzero(x_ids != q_ids[i])
-        if not len(may):
-            continue
-        lo, up = lower[i, may], upper[i, may]
-        if len(may) > k:
-            # bounds are sums of a few thousand at most half-integers: exact in doubles
-            least = np.partition(lo, len(lo) - k)[len(lo) - k]
-            may, up = may[up >= least], up[up >= least]
-        order = np.argsort(-up, kind="stable")
-        may, up = may[order], up[order]
-        best: list[tuple[int, int]] = []
-        at, step = 0, max(32, 4 * k)
-        while at < len(may) and (len(best) < k or up[at] >= -best[k - 1][0]):
-            part = may[at : at + step]
-            scores = x[part] @ q[i]
-            best = sorted([*best, *zip((-scores).tolist(), x_ids[part].tolist(), strict=True)])[:k]
-            at += step
-        if reads is not None:
-            reads.append(min(at, len(may)))
-        for s, v in best:
-            yield i, v, -s
+from quarry.llm.common import scratch, settle
 
+CELLS = 256
+#: Queries that are broadcast together.
+PER_BLOCK = 8192
+#: Candidates that a task holds before it rules out again.
+HELD = 500_000
 
-def _packed(rows: DataFrame, width: int, per_block: int, name: str) -> DataFrame:
-    """Blocks (name, ids, data): ids as int64 and vectors as int64 rows, both as bytes."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        data: list[np.ndarray] = []
+class Grid:
+    """Cells of integer vectors (rows), and bounds of inner products from them."""
 
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.stack(data).tobytes()], pa.binary())], ["ids", "data"])
-            ids.clear()
-            data.clear()
-            return b
+    def __init__(self, low: np.ndarray, high: np.ndarray, cells: int = CELLS):
+        self.low, self.high = low.astype(np.float64), high.astype(np.float64)
+        self.step = np.maximum(1.0, np.ceil((self.high - self.low + 1) / cells))
+        self.half = (self.step - 1) / 2
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.low) // self.step).astype(np.uint8)
+
+    def middles(self, q: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The inner products with the cells' centres, a row per query. A cell holds the integers from low + cell * step on, step of them."""
+        return q @ (self.low + self.half + cells * self.step).T
+
+    def spread(self, q: np.ndarray) -> np.ndarray:
+        """How far, for each query, an exact product may be from its middle; with room for the rounding of very large sums."""
+        size = np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high))
+        return np.abs(q) @ self.half + np.where(size < 2.0**50, 0.0, size * 1e-13 * max(1, q.shape[1]))
 
-        for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                row = np.zeros(width, np.int64)
-                row[: len(v)] = v
-                ids.append(i)
-                data.append(row)
-                if len(ids) == per_block:
-                    yield out()
-        if ids:
-            yield out()
 
-    return rows.mapInArrow(pack, "ids binary, data binary").withColumn(name, F.monotonically_increasing_id())
+def kept(grid: Grid, q: np.ndarray, q_ids: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, held: int = HELD) -> tuple[np.ndarray, ...]:
+    """query's index, key and middle of the candidates that the k best middles so far do not rule out; blocks have (keys, ids, cells)."""
+    spread = grid.spread(q)
+    best = np.full((len(q), k), -np.inf)
+    found: list[tuple[np.ndarray, ...]] = []
 
+    def ruled() -> None:
+        if found:
+            i, key, m = (np.concatenate(x) for x in zip(*found, strict=True))
+            ok = m + spread[i] >= best[i, 0] - spread[i]
+            found[:] = [(i[ok], key[ok], m[ok])]
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", per_block: int = 4096) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k largest inner products of floor(scale * x) vectors for each row where queries (a condition on vec_id) holds, against all rows."""
+    for keys, ids, cells in blocks:
+        m = grid.middles(q, cells)
+        m[q_ids[:, None] == ids[None, :]] = -np.inf
+        top = np.concatenate([best, m], axis=1)
+        best = np.partition(top, top.shape[1] - k, axis=1)[:, -k:]
+        best.sort(axis=1)
+        i, j = np.nonzero((m + spread[:, None] >= best[:, :1] - spread[:, None]) & (m > -np.inf))
+        found.append((i, keys[j], m[i, j]))
+        if sum(len(x[0]) for x in found) > held:
+            ruled()
+    ruled()
+    return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def approximation_file(vectors: DataFrame, queries: Column, k: int, scale: int, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame, Grid]:
+    """The table (key, id, v, cells) of what may be found, the queries (key, id, v), and the grid."""
     x = F.col(embedding)
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf")))
     # floor of a double beyond long would wrap; such components are outside what scores of type long can hold
-    rows = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & F.forall(x, finite)).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    whole = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
+    rows = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & F.forall(x, finite)).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    c = settle(_packed(rows.select("id", "v"), width, per_block, "c"), "va")
-    q = settle(_packed(rows.where("asks").select("id", "v"), width, per_block, "q"), "va")
-    n_c, n_q = c.count(), q.count()
-    # every block of candidates meets every block of queries: each is copied under the number of the other's, and they join on the pair
-    numbers = lambda df, name: F.explode(F.lit([r[0] for r in df.select(name).collect()] or [-1]))  # noqa: E731  of blocks, not of rows
-    left = c.select("c", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), numbers(q, "q").alias("q"))
-    right = q.select("q", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), numbers(c, "c").alias("c"))
-    pairs = left.repartition(max(1, min(n_c * n_q, 10_000)), "c", "q").join(right, ["c", "q"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
+    rows = settle(rows.select(F.monotonically_increasing_id().alias("key"), "id", padded.alias("v"), "asks"), "vectors")
+    ranges = rows.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("at").collect()  # a row per dimension
+    grid = Grid(np.array([r.low for r in ranges] or [0] * width), np.array([r.high for r in ranges] or [0] * width))
+    few = rows.withColumn("n", F.row_number().over(W.partitionBy("v", "id").orderBy("key"))).where(F.col("n") <= k)
+    few = few.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id", "key"))).where(F.col("n") <= 2 * k)
+
+    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                x_ids, xs = np.frombuffer(b.column("c_ids")[i].as_py(), np.int64), np.frombuffer(b.column("c_data")[i].as_py(), np.int64).reshape(-1, width)
-                q_ids, qs = np.frombuffer(b.column("q_ids")[i].as_py(), np.int64), np.frombuffer(b.column("q_data")[i].as_py(), np.int64).reshape(-1, width)
-                cells = Approximations(xs)
-                for at in range(0, len(qs), 256):
-                    found = list(block_top(qs[at : at + 256], q_ids[at : at + 256], xs, x_ids, k, cells))
-                    yield pa.RecordBatch.from_arrays([pa.array([(int(q_ids[at + r[0]]), at + r[0])[j] for r in found], pa.int64()) for j in (0, 1)] + [pa.array([r[j] for r in found], pa.int64()) for j in (1, 2)] + [pa.array([b.column("q")[i].as_py()] * len(found), pa.int64())], ["query_id", "row", "vec_id", "score", "q"])
-
-    best = pairs.mapInArrow(search, "query_id long, row long, vec_id long, score long, q long")
-    by = W.partitionBy("q", "row").orderBy(F.desc("score"), F.asc("vec_id"))
-    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            if b.num_rows:
+                cells = grid.cells(b.column("v").flatten().to_numpy().reshape(-1, width))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in cells], pa.binary())], ["key", "id", "v", "cells"])
+
+    file = settle(few.select("key", "id", "v").mapInArrow(quantise, "key long, id long, v array<long>, cells binary"), "approximations")
+    return file, rows.where("asks").select("key", "id", "v"), grid
+
+
+def bounded(file: DataFrame, block: list, grid: Grid, k: int) -> DataFrame:
+    """(q, key, id, lower, upper) of the candidates of a block of queries (key, id, v) that scanning the cells leaves, a task's own best k ruling out the others."""
+    width = len(grid.low)
+    q = np.array([r["v"] for r in block], np.float64).reshape(-1, width)
+    shared = file.sparkSession.sparkContext.broadcast((q, np.array([r["id"] for r in block], np.int64), np.array([r["key"] for r in block], np.int64)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, q_ids, q_keys = shared.value
+        own = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), np.uint8, width)) for b in batches if b.num_rows]
+        for at in range(0, len(q), 512):
+            part = slice(at, at + 512)
+            pieces = ((key[i : i + 2000], ids[i : i + 2000], cells[i : i + 2000]) for key, ids, cells in own for i in range(0, len(key), 2000))
+            i, keys, m = kept(grid, q[part], q_ids[part], pieces, k)
+            s = grid.spread(q[part])[i]
+            yield pa.RecordBatch.from_arrays([pa.array(q_keys[part][i]), pa.array(keys), pa.array(m - s), pa.array(m + s)], ["q", "key", "lower", "upper"])
+
+    return file.select("key", "id", "cells").mapInArrow(scan, "q long, key long, lower double, upper double")
+
+
+def _scored(found: DataFrame, file: DataFrame, queries: DataFrame) -> DataFrame:
+    """found with the candidate's id, the query's id and their exact score: reads an exact vector for each row."""
+    mine = queries.select(F.col("key").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    both = found.join(file.select("key", F.col("id").alias("vec_id"), "v"), "key").join(mine, "q")
+    score = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    return both.select("q", "key", "query_id", "vec_id", score.alias("score"))
+
+
+def _block_top(file: DataFrame, queries: DataFrame, block: list, grid: Grid, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The k best of a block of queries, and the tables of which each row read an exact vector."""
+    found = settle(bounded(file, block, grid, k), "bounded")
+    by = W.partitionBy("q")
+    certain = found.withColumn("n", F.row_number().over(by.orderBy(F.desc("lower")))).where(F.col("n") == k).select("q", F.col("lower").alias("least"))
+    may = found.join(certain, "q", "left").where("least is null or upper >= least").drop("least")
+    ranked = settle(may.withColumn("n", F.row_number().over(by.orderBy(F.desc("upper"), "key"))), "ranked")
+    first = settle(_scored(ranked.where(F.col("n") <= 2 * k), file, queries), "first")
+    order = by.orderBy(F.desc("score"), "vec_id", "key")
+    certain = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("q", F.col("score").alias("least"))
+    rest = ranked.where(F.col("n") > 2 * k).join(certain, "q").where(F.col("upper") >= F.col("least"))
+    rest = settle(_scored(rest.select("q", "key"), file, queries), "rest")
+    best = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), [first, rest]
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", per_block: int = PER_BLOCK, reads: list | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k largest inner products of floor(scale * x) vectors for each row where queries (a condition on vec_id) holds, against all rows.
+
+    Queries are taken in blocks of about per_block, each a scan of the cells. reads, if given, gets the number of exact vectors read.
+    """
+    file, asked, grid = approximation_file(vectors, queries, k, scale, vec_id, embedding)
+    blocks = max(1, -(-asked.count() // per_block))
+    path = None
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()  # about per_block rows
+        best, read = _block_top(file, asked, block, grid, k)
+        if reads is not None:
+            reads.extend(t.count() for t in read)
+        if blocks == 1:
+            return best
+        path = path or f"{scratch(file.sparkSession)}/quarry-best-{file.settled_at.rsplit('-', 1)[-1]}"
+        best.write.mode("append").parquet(path)
+    return file.sparkSession.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)

@@ -259,11 +259,31 @@ def test_vafile(spark):
     for i, x in ok:
         if i % 50 == 0:
             want += [(i, k + 1, v, -s) for k, (s, v) in enumerate(sorted((-int(x @ y), j) for j, y in ok if j != i)[:5])]
-    for per in (4096, 16):
+    for per in (4096, 3):
         assert sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 50 == 0, per_block=per).collect()) == sorted(want)
     assert vafile.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_vafile_reads_few_exact_vectors(spark):
+    """One vector in 3000 copies, with repeated rows of a query's own id, and 3000 others: same results as brute force from a small part of the exact vectors."""
+    rng = np.random.default_rng(5)
+    hot = [0.9] * 16
+    vecs = [(i, hot) for i in range(3000)] + [(i, [float(x) for x in rng.normal(size=16)]) for i in range(3000, 6000)] + [(0, hot)] * 12
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(6)
+    asks = (F.col("vec_id") % 500 == 0) | (F.col("vec_id") % 997 == 5)
+    reads: list[int] = []
+    got = sorted(tuple(r) for r in vafile.top_k(df, asks, reads=reads).collect())
+    x = np.floor(256 * np.array([v for _, v in vecs])).astype(np.int64)
+    ids = np.array([i for i, _ in vecs])
+    want = []
+    for r in np.flatnonzero((ids % 500 == 0) | (ids % 997 == 5)):
+        order = np.lexsort((ids, -(x @ x[r])))
+        want += [(int(ids[r]), n + 1, int(ids[c]), int(x[c] @ x[r])) for n, c in enumerate([c for c in order if ids[c] != ids[r]][:5])]
+    assert got == sorted(want)
+    n_queries = sum((ids % 500 == 0) | (ids % 997 == 5))
+    assert sum(reads) < 0.01 * n_queries * len(ids)
+
+
 def by_hand(path, size):
     """A document's pieces by a plain call of the tokenizers library: (piece, start, length, crc32)."""
     from tokenizers import Tokenizer

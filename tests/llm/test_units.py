@@ -86,19 +86,22 @@ def test_best_fit():
         assert len(bins) == len(room)
 
 
-def test_approximations_bound_and_top():
+def test_grid_bounds_and_what_is_kept():
     rng = np.random.default_rng(1)
-    for scale in (3, 256):
+    for scale in (3, 256, 10_000):
         x, q = rng.integers(-scale, scale + 1, (300, 16)), rng.integers(-scale, scale + 1, (20, 16))
-        low, high = vafile.Approximations(x).bounds(q.astype(float))
-        exact = q @ x.T
-        assert (low <= exact).all() and (exact <= high).all()
+        grid = vafile.Grid(x.min(0), x.max(0))
+        cells, exact = grid.cells(x), q @ x.T
+        middle, spread = grid.middles(q.astype(float), cells), grid.spread(q.astype(float))[:, None]
+        assert (middle - spread <= exact).all() and (exact <= middle + spread).all()
         ids, q_ids = np.arange(300), np.arange(20)
-        reads: list[int] = []
-        got = list(vafile.block_top(q, q_ids, x, ids, 5, reads=reads))
-        want = [(i, v, -s) for i in range(20) for s, v in sorted((-int(exact[i, v]), v) for v in range(300) if v != i)[:5]]
-        assert [(a, int(b), int(c)) for a, b, c in got] == want
-    assert sum(reads) < 20 * 300
+        for held in (10**6, 50):
+            blocks = ((ids[a : a + 70], ids[a : a + 70], cells[a : a + 70]) for a in range(0, 300, 70))
+            i, keys, _ = vafile.kept(grid, q.astype(float), q_ids, blocks, 5, held)
+            for r in range(20):
+                best = [v for _, v in sorted((-int(exact[r, v]), v) for v in range(300) if v != r)[:5]]
+                assert set(best) <= set(keys[i == r].tolist()) and r not in keys[i == r]
+        assert len(keys) < 20 * 60
 
 
 def test_majority_and_chain():
