@@ -4,7 +4,9 @@ A reader for EBML's variable-length elements that lists a file's tracks, packets
 not) and cues, and a writer that stores 8-bit mono PCM samples in clusters of laced SimpleBlocks with cues.
 
 Defined results: a null payload is an empty one; a file that breaks off or isn't EBML gives the packets before the break and
-`error` set; equal payloads give equal files (no dates, no random ids).
+`error` set, whatever the bytes are (numbers of over 8 bytes and nesting deeper than DEEPEST count as broken); equal payloads give equal
+files (no dates, no random ids). A laced frame's time is its block's and, for each frame before it, the block's duration shared out
+or else the track's default duration. A block of a group is a key frame if it refers to no other block.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from pyspark.sql import functions as F
 # Element ids of EBML (RFC 8794) and Matroska (RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
 SIMPLE, BLOCK, SCALE, TIME, NUMBER, KIND, CODEC, RATE, CHANNELS, DEPTH, UID, LASTING, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xA3, 0xA1, 0x2AD7B1, 0xE7, 0xD7, 0x83, 0x86, 0xB5, 0x9F, 0x6264, 0x73C5, 0x9C, 0xB3, 0xF7, 0xF1
+EACH, BLOCK_LASTS, REFERS = 0x23E383, 0x9B, 0xFB
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
 #: A cluster of unknown size ends where one of these begins.
 TOP = {CLUSTER, CUES, TRACKS, INFO, EBML, SEGMENT}
 
 FRAME, LACED, PER_CLUSTER, HERTZ = 576, 8, 32, 8000
+#: Levels of elements within elements.
+DEEPEST = 32
 
 
 def _id(x: int) -> bytes:
@@ -54,7 +59,7 @@ def mux(payload: bytes, frame: int = FRAME, laced: int = LACED, per_cluster: int
     head = element(EBML, uint(0x4286, 1) + uint(0x42F7, 1) + uint(0x42F2, 4) + uint(0x42F3, 8) + element(0x4282, b"matroska") + uint(0x4287, 4) + uint(0x4285, 2))
     info = element(INFO, uint(SCALE, 1_000_000) + element(0x4D80, b"quarry") + element(0x5741, b"quarry"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", hertz)) + uint(CHANNELS, 1) + uint(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, uint(NUMBER, 1) + uint(UID, 1) + uint(KIND, 2) + uint(LASTING, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, uint(NUMBER, 1) + uint(UID, 1) + uint(KIND, 2) + uint(LASTING, 1) + uint(EACH, frame * 1_000_000_000 // hertz) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     parts, cues, at = [info, tracks], [], len(info) + len(tracks)
     step = frame * laced
     for c in range(0, len(payload), step * per_cluster):
@@ -133,35 +138,55 @@ def laces(data: bytes, at: int, end: int, flags: int) -> list[tuple[int, int]]:
     return [*out, (at, end)]
 
 
+NUMBERS = {NUMBER: "number", KIND: "kind", EACH: "each", CHANNELS: "channels", DEPTH: "depth", CUE_TIME: "ms", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}
+
+
 def demux(data: bytes) -> dict:
     """tracks: number to {codec, rate, depth, …}; packets: (track, ms, keyframe, start, end) in file order; cues: (ms, track, cluster's byte); error: why reading broke off, or None."""
     out: dict = {"tracks": {}, "packets": [], "cues": [], "error": None}
-    whole = lambda a, b: int.from_bytes(data[a:b], "big")
     state = {"scale": 1_000_000, "time": 0, "segment": 0}
 
-    def block(a: int, b: int, simple: bool) -> None:
+    def whole(a: int, b: int) -> int:
+        if b - a > 8:
+            raise ValueError("number of over 8 bytes")
+        return int.from_bytes(data[a:b], "big")
+
+    def block(a: int, b: int, key: bool | None, lasts: int | None = None) -> None:
         track, k, _ = _number(data, a)
         (delta,) = struct.unpack_from(">h", data, a + k)
         flags = data[a + k + 2]
+        own = laces(data, a + k + 3, b, flags)
         ms = (state["time"] + delta) * state["scale"] / 1e6
-        out["packets"] += [(track, ms, bool(flags & 128) or not simple, s, e) for s, e in laces(data, a + k + 3, b, flags)]
-
-    def walk(at: int, end: int, of: dict) -> None:
+        step = lasts * state["scale"] / 1e6 / len(own) if lasts is not None else out["tracks"].get(track, {}).get("each", 0) / 1e6
+        out["packets"] += [(track, ms + i * step, bool(flags & 128) if key is None else key, s, e) for i, (s, e) in enumerate(own)]
+
+    def group(a: int, b: int) -> None:
+        own = list(elements(data, a, b))
+        lasts = [whole(s, e) for x, _, s, e in own if x == BLOCK_LASTS]
+        for x, _, s, e in own:
+            if x == BLOCK:
+                block(s, e, all(y != REFERS for y, *_ in own), lasts[0] if lasts else None)
+
+    def walk(at: int, end: int, of: dict, depth: int = 0) -> None:
+        if depth > DEEPEST:
+            raise ValueError("nested too deeply")
         for x, _, a, b in elements(data, at, end):
             if x == TRACK:
                 own: dict = {}
-                walk(a, b, own)
+                walk(a, b, own, depth + 1)
                 out["tracks"][own.pop("number", 0)] = own
             elif x == CUE:
                 own = {}
-                walk(a, b, own)
+                walk(a, b, own, depth + 1)
                 out["cues"].append((own.get("ms", 0), own.get("track", 0), own.get("cluster", 0) + state["segment"]))
+            elif x == GROUP:
+                group(a, b)
             elif x in MASTERS:
                 if x == SEGMENT:
                     state["segment"] = a
-                walk(a, b, of)
-            elif x == SIMPLE or x == BLOCK:
-                block(a, b, x == SIMPLE)
+                walk(a, b, of, depth + 1)
+            elif x == SIMPLE:
+                block(a, b, None)
             elif x == TIME:
                 state["time"] = whole(a, b)
             elif x == SCALE:
@@ -170,8 +195,8 @@ def demux(data: bytes) -> dict:
                 of["codec"] = data[a:b].decode("ascii", "replace")
             elif x == RATE:
                 of["rate"] = struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0]
-            elif x in (NUMBER, KIND, CHANNELS, DEPTH, CUE_TIME, CUE_TRACK, CUE_CLUSTER):
-                of[{NUMBER: "number", KIND: "kind", CHANNELS: "channels", DEPTH: "depth", CUE_TIME: "ms", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}[x]] = whole(a, b)
+            elif x in NUMBERS:
+                of[NUMBERS[x]] = whole(a, b)
 
     try:
         if data[:4] != _id(EBML):

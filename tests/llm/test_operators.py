@@ -1,6 +1,7 @@
 """The operators over a small awkward table (nulls, empty and long texts, ties, repeats, clashing columns), against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -224,6 +225,15 @@ def test_media(spark):
     for r in media.read_media(enc, keep=("doc_id", "n_bytes", "h")).collect():
         p = media.padded(next((d[1] or "").encode() for d in data if d[0] == r.doc_id))
         assert (r.payload_sha256, r.payload_bytes, r.tail_crc32, r.error) == (hashlib.sha256(p).hexdigest(), len(p), zlib.crc32(p[-32:]), None)
+        blob = media.mux(p)
+        assert (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        x = [b - 128 for b in p]
+        share = [p.count(b) / len(p) for b in set(p)]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        figures = [sum(x) / len(x), (sum(v * v for v in x) / len(x)) ** 0.5, max(map(abs, x)), turns, -sum(q * math.log2(q) for q in share)]
+        got = dict(f.split("=") for f in r.feature.split(";"))
+        assert np.allclose([float(got[k]) for k in ("mean", "rms", "peak", "crossings", "entropy")], figures, atol=1e-4)
+        assert (int(got["packets"]), int(got["clusters"])) == (len(p) // 576, -(-len(p) // (576 * 8 * 32)))
     assert media.packet_table(enc).count() == sum(len(media.padded((d[1] or "").encode())) // 576 for d in data)
     assert media.read_media(spark.createDataFrame([(1, 0, None), (2, 0, b"x")], "doc_id long, n_bytes long, media binary")).where("error is not null").count() == 2
     assert media.read_media(media.encode_media(spark.createDataFrame([], EMPTY))).count() == 0

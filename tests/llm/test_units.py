@@ -52,6 +52,33 @@ def test_broken_media():
         media.demux(blob[:cut])  # never raises
 
 
+def test_no_bytes_raise():
+    rnd = random.Random(6)
+    blob = media.mux(media.padded(rnd.randbytes(9000)))
+    for _ in range(3000):
+        own = bytearray(blob)
+        for _ in range(rnd.randrange(1, 12)):
+            own[rnd.randrange(400 if rnd.random() < 0.7 else len(own))] = rnd.choice([0, 1, 0x80, 0xA0, 0xA1, 0xA3, 0xE7, 0xFF, rnd.randrange(256)])
+        media.demux(bytes(own))
+    deep = b""
+    for _ in range(3000):
+        deep = media.element(media.CLUSTER, deep)
+    assert media.demux(media.element(media.EBML, b"") + deep)["error"] == "nested too deeply"
+    long = media.element(media.EBML, b"") + media.element(media.SEGMENT, media.element(media.CLUSTER, media.element(media.TIME, b"\xff" * 200)))
+    assert media.demux(long)["error"] == "number of over 8 bytes"
+
+
+def test_frame_times():
+    blob = media.mux(media.padded(b"x" * 576 * 20))
+    assert [p[1] for p in media.demux(blob)["packets"]] == [72.0 * i for i in range(20)] and all(p[2] for p in media.demux(blob)["packets"])
+    xiph = b"\x81" + struct.pack(">h", 5) + b"\x02" + bytes([2, 3, 4]) + b"abcdefghi"
+    refers = media.element(media.REFERS, b"\xff")
+    for more, key, step in ((b"", True, 0), (refers, False, 0), (refers + media.uint(media.BLOCK_LASTS, 30), False, 10)):
+        cluster = media.element(media.CLUSTER, media.uint(media.TIME, 100) + media.element(media.GROUP, media.element(media.BLOCK, xiph) + more))
+        got = media.demux(media.element(media.EBML, b"") + media.element(media.SEGMENT, cluster))
+        assert got["error"] is None and [p[1:3] for p in got["packets"]] == [(105.0 + i * step, key) for i in range(3)]
+
+
 def test_escape():
     for t in ("", "\\", "<|im_end|>", "\\<|", "<<||", "a\\nb", "<\\|x", "line\nline"):
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
