@@ -118,7 +118,7 @@ class ByteBPE:
         alone = all(" " not in t["content"] and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in own.get("added_tokens", []))
         self._added = [t["content"] for t in own.get("added_tokens", [])]
         self._cut = plain and alone and model["type"] == "BPE" and not model.get("dropout")
-        self._known = Cache()
+        self._known = Cache(400_000)
 
     @classmethod
     def of(cls, spec: str) -> ByteBPE:
@@ -129,25 +129,33 @@ class ByteBPE:
         return own[key]
 
     def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of each word by itself. Words that hold no added token are encoded a thousand together, an added token between each two."""
-        odd = {i for i, w in enumerate(words) if any(t in w for t in self._added)} if self._added else set(range(len(words)))
-        alone = iter(self._tokenizer.encode_batch_fast([words[i] for i in sorted(odd)], add_special_tokens=False))
-        usual = [w for i, w in enumerate(words) if i not in odd] if odd else words
-        lists = [[x for w in usual[i : i + 1000] for x in (w, self._added[0])] for i in range(0, len(usual), 1000)]
-        found = iter(())
-        if lists:
-            mark = _little([self._tokenizer.token_to_id(self._added[0])])
-            found = chain.from_iterable(_parted(_little(e.ids), mark) for e in self._tokenizer.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False))
-        return [_little(next(alone).ids) if i in odd else next(found) for i in range(len(words))]
+        """The ids of each word, which may begin with a space, by itself.
+
+        A thousand are encoded together: those without white space inside a line each, as the rule parts a line's end from what stands
+        before it and from a space or letter behind it; others with an added token between each two; those that hold one of these alone.
+        """
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(words):
+            kinds[2 if any(t in w for t in self._added) else 0 if w.isprintable() and len(w) > 1 and " " not in w[1:] else 1 if self._added else 2].append(i)
+        out = [b""] * len(words)
+        for own, mark in zip(kinds, ("\n", self._added[0] if self._added else "", ""), strict=True):
+            many = 1000 if mark else 1
+            parts = [own[i : i + many] for i in range(0, len(own), many)]
+            found = self._tokenizer.encode_batch_fast([mark.join([words[i] for i in p]) + mark for p in parts], add_special_tokens=False)
+            cut = _little(self._tokenizer.encode(mark, add_special_tokens=False).ids)
+            for p, e in zip(parts, found, strict=True):
+                for i, ids in zip(p, _parted(_little(e.ids), cut) if mark else [_little(e.ids)], strict=True):
+                    out[i] = ids
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self._cut:
             return [_little(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         first = [between_spaces(t) for t in texts]
         heads, rest = [w[0] for w in first], [w[1:] for w in first]
-        new = list(self._known.knows(set(chain.from_iterable(rest))))
         gc.disable()  # these lists hold no cycles, and are many
         try:
+            new = list(self._known.knows(set(chain.from_iterable(rest))))
             self._known.update(zip(new, self._each([f" {w}" for w in new]), strict=True))
             out = [h + b"".join(map(self._known.__getitem__, w)) for h, w in zip(self._each(heads), rest, strict=True)]
         finally:
@@ -267,6 +275,7 @@ class Pieces:
         self._threads = threads
         # texts can be cut before single spaces if the normaliser does nothing across them and every word starts alike
         self._cut = separable(self.model) and not self.model["charsmap"] and self.model["prefix"] and not any(k == OWN for *_, k in self.model["pieces"])
+        self._heads = frozenset(i for i, (p, *_) in enumerate(self.model["pieces"]) if p.startswith(MARK))
         self._known = Cache()
 
     @classmethod
@@ -279,13 +288,13 @@ class Pieces:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         plain = [self._cut and bool(t) and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
-        each = lambda parts: [_little(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        whole = iter(each([t for t, p in zip(texts, plain, strict=True) if not p]))
+        odd = [t for t, p in zip(texts, plain, strict=True) if not p]
+        whole = iter([_little(e.ids) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)])
         words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         new = list(self._known.knows(set(chain.from_iterable(words))))
         gc.disable()  # these lists hold no cycles, and are many
         try:
-            self._known.update(zip(new, each(new), strict=True))
+            self._known.update(zip(new, self._each(new), strict=True))
         finally:
             gc.enable()
         out = [b"".join(map(self._known.__getitem__, own)) if p else next(whole) for p, own in zip(plain, words, strict=True)]
@@ -293,6 +302,18 @@ class Pieces:
         self._known.turn()
         return out
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word by itself. A thousand are encoded as one text; a word's first piece begins with the marker, and no other does."""
+        lists = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        out: list[bytes] = []
+        for own, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
+            ids = _little(e.ids)
+            at = [*(4 * i for i, k in enumerate(e.ids) if k in self._heads), len(ids)]
+            if len(at) != len(own) + 1:
+                raise ValueError("words and pieces that begin one differ in number")
+            out += [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
         """Each text's ids, what those decode to, and whether the library that the model was made for gives the same ids for the whole text."""
         out = []
