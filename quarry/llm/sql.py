@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.licenses import PHRASES, TEMPLATES, block_length, words_of
-from quarry.llm.urls import DAMPING, ROUNDS, RULES
+from quarry.llm.urls import DAMPING, RULES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,25 +40,24 @@ def op3(threshold: tuple[int, int] = (9, 10)) -> str:
 
 
 def op6() -> str:
-    """Rules by length; the rounds of both ranks unrolled."""
+    """Rules by length; a fixed number of rounds of both ranks."""
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     ordered = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
     pick = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h, p)}'" for v, h, p in ordered) + " END"
     hosts = lambda c: f"translate(regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}')"
-    steps, now = [], "seeds"
-    for i in range(ROUNDS):
-        steps.append(f"""r{i} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (SELECT host, {1 - DAMPING!r} * trust AS trust, {1 - DAMPING!r} * distrust AS distrust FROM seeds
- UNION ALL SELECT e.dst, {DAMPING!r} * n.trust * e.good, {DAMPING!r} * n.distrust * e.bad FROM {now} n JOIN edges e ON n.host = e.src) x GROUP BY host)""")
-        now = f"r{i}"
-    link = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?\\s*(https?://[^\\s\"''<>]+)"
-    return f"""WITH p AS (SELECT page_id, coalesce({hosts('url')}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+    link = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?\\s*((?:https?:)?//[^\\s\"''<>]+)"
+    return f"""WITH RECURSIVE p AS (SELECT page_id, coalesce({hosts('url')}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
  j AS (SELECT page_id, host, path, {pick(lambda v, h, q: h + q)} AS rule, {pick(lambda v, h, q: v)} AS v FROM p),
- links AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {hosts('u')} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS u FROM p) x) y WHERE src <> dst AND src <> '' AND dst <> ''),
+ links AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {hosts('u')} AS dst FROM (SELECT host, CASE WHEN starts_with(v, '//') THEN 'http:' || v ELSE v END AS u FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS v FROM p) z) x) y WHERE src <> dst AND src <> '' AND dst <> ''),
  o AS (SELECT src, count(*) AS k FROM links GROUP BY src), n AS (SELECT dst, count(*) AS k FROM links GROUP BY dst),
  edges AS (SELECT links.src, links.dst, 1 / o.k AS good, 0.0 AS bad FROM links JOIN o ON links.src = o.src UNION ALL SELECT links.dst, links.src, 0.0, 1 / n.k FROM links JOIN n ON links.dst = n.dst),
  c AS (SELECT host, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM j WHERE host <> '' GROUP BY host),
- seeds AS (SELECT host, CASE WHEN a > b THEN 1.0 ELSE 0.0 END AS trust, CASE WHEN b > a THEN 1.0 ELSE 0.0 END AS distrust FROM c WHERE a <> b), {', '.join(steps)}
- SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN coalesce(round(z.distrust, 6), 0) > coalesce(round(z.trust, 6), 0) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(round(z.trust, 6), 0.0) AS trust, coalesce(round(z.distrust, 6), 0.0) AS distrust FROM j LEFT JOIN {now} z ON j.host = z.host"""
+ seeds AS (SELECT host, CASE WHEN a > b THEN 1 / sum(CASE WHEN a > b THEN 1.0 ELSE 0.0 END) OVER () ELSE 0.0 END AS trust, CASE WHEN b > a THEN 1 / sum(CASE WHEN b > a THEN 1.0 ELSE 0.0 END) OVER () ELSE 0.0 END AS distrust FROM c WHERE a <> b),
+ r AS (SELECT host, CAST(trust AS DOUBLE) AS trust, CAST(distrust AS DOUBLE) AS distrust, 0 AS i FROM seeds UNION ALL
+ SELECT host, sum(trust), sum(distrust), max(i) + 1 FROM (SELECT e.dst AS host, {DAMPING!r} * n.trust * e.good AS trust, {DAMPING!r} * n.distrust * e.bad AS distrust, n.i FROM r n JOIN edges e ON n.host = e.src
+ UNION ALL SELECT s.host, {1 - DAMPING!r} * s.trust, {1 - DAMPING!r} * s.distrust, k.i FROM seeds s JOIN (SELECT DISTINCT i FROM r) k ON true) x GROUP BY host HAVING max(i) < 80),
+ e AS (SELECT * FROM r WHERE i = 80), z AS (SELECT host, coalesce(trust / nullif((SELECT sum(trust) FROM e), 0), 0) AS trust, coalesce(distrust / nullif((SELECT sum(distrust) FROM e), 0), 0) AS distrust FROM e)
+ SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN coalesce(z.distrust, 0) > coalesce(z.trust, 0) * (1 + 1e-12) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(round(z.trust, 9), 0.0) AS trust, coalesce(round(z.distrust, 9), 0.0) AS distrust FROM j LEFT JOIN z ON j.host = z.host"""
 
 
 OP7 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL),
