@@ -4,17 +4,16 @@ A word goes if a window of `window` words over it has a word sequence that also
 earlier in the same one). Windows are judged on the input. Words are runs of characters other than ASCII white space.
 
 1. Each window is routed by its minimizer, the least hash among its runs of GRAM words; equal windows have equal minimizers.
-   Neighbouring windows that share one travel together as a stretch: name of the minimizer, name of the content, place, count.
-   Of stretches with equal content in a partition only the first goes on; the others repeat it.
-2. Minimizers that occur once are done. Where all stretches of a minimizer are equal, all but the first repeat it.
-3. What is left are minimizers with several contents. Their first occurrences are the reference: the text of each is read back, and
-   dealt by minimizer into shards of bounded size. Each shard's suffix automaton grows in order of (doc, start) while the
-   stretches stream through it: matching statistics tell which windows it has seen. Shards are dealt, not broadcast, as the
-   reference grows with the input; stretches meet only the shard of their minimizer, where all equal windows are.
+   Neighbouring windows that share one travel together as a stretch: minimizer, place, count.
+2. Minimizers that occur once are done: none of their windows can repeat. This is all that hashes decide.
+3. The words of the other stretches are read back. Of stretches with the same words in a task only the first goes on; the others
+   repeat it. The rest are the reference as well as the stream: they are dealt by minimizer into shards, where all equal windows are,
+   and pass in order of (doc, start) by the shard's suffix automaton: its matching statistics tell which windows it has seen, and
+   what is new to it is added. Shards are dealt, not broadcast, as the reference grows with the input.
 4. Places and their repeated windows are gathered by document, and the covered words removed.
 
-A minimizer with over HOT stretches is cut up, as one task could not hold its shard: the windows of its contents are named by 128 bits
-of hash each, and all but the first of a name repeat it. This, too, is counted by map-side minima, so no hot passage meets in one task.
+A minimizer with over HOT stretches would be a large shard: its stretches go as single windows, each dealt by a hash of its words, so
+that a shard again holds little but equal windows, of which each task has sent one. Two windows of one hash only share a shard: words decide.
 
 Defined results: null text has no words; rows without id lose nothing and count for nothing; rows of one id are one document and do
 not repeat each other at equal places (if their texts differ, what is removed at a place of one is removed at it of all); texts shorter than the window lose nothing; other columns may be carried along (keep).
@@ -23,7 +22,8 @@ not repeat each other at equal places (if their texts differ, what is removed at
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import process_cache, settle
+from quarry.llm.common import drop, process_cache, settle
 
 GRAM, HOT, SHARD = 6, 2000, 60_000
+#: Bytes of words that a task compares before it sends what it has.
+TOGETHER = 32_000_000
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -69,15 +71,15 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def stretches(docs: list[int], texts: list[bytes], window: int) -> list[np.ndarray]:
-    """h, c, doc, start, n of every stretch of some documents; all uint64 or int64."""
+def stretches(docs: Sequence[int], texts: list[bytes], window: int) -> list[np.ndarray]:
+    """h (the minimizer), doc, start, n of every stretch of some documents."""
     begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
     at_byte, x = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
     sizes = np.diff(np.searchsorted(at_byte, begins))
     ends = np.cumsum(sizes)
     wide = len(x) - window + 1
     if wide <= 0:
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 4
     gram = np.zeros(len(x) - GRAM + 1, np.uint64)
     for j in range(GRAM):
         gram = gram * np.uint64(_P) + x[j : len(x) - GRAM + 1 + j]
@@ -91,50 +93,43 @@ def stretches(docs: list[int], texts: list[bytes], window: int) -> list[np.ndarr
     owner = np.repeat(np.arange(len(texts)), sizes)
     inside = np.flatnonzero(np.arange(wide) + window <= ends[owner[:wide]])
     if not len(inside):
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 4
     own = owner[inside]
     new = np.flatnonzero((np.diff(at[inside], prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
     first, n = inside[new], np.diff(new, append=len(inside))
-    # the content: a polynomial of its words' hashes, freed of its place
-    up, down = _powers(len(x) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)], dtype=np.uint64)])
-    c = _mix((total[first + n + window - 1] - total[first]) * down[first] + n.astype(np.uint64))
     own = owner[first]
-    return [least[first].view(np.int64), c.view(np.int64), np.asarray(docs, np.int64)[own], first - (ends - sizes)[own], n]
+    return [least[first].view(np.int64), np.asarray(docs, np.int64)[own], first - (ends - sizes)[own], n]
 
 
 def _stretch_rows(df: DataFrame, window: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        def out() -> pa.RecordBatch:
+            h, at, start, n = stretches(range(len(docs)), texts, window)
+            doc, t = np.array(docs, np.int64)[at], np.array(which, np.int32)[at]
+            docs.clear()
+            which.clear()
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc), pa.array(t), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "doc", "t", "start", "n"])
+
         docs: list[int] = []
+        which: list[int] = []
         texts: list[bytes] = []
-        n = 0
+        size = 0
         for b in batches:
-            for doc, said in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = (said.as_py() or "").encode()
-                if len(t) >= 2 * window - 1:
+            for doc, t, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                own = (said.as_py() or "").encode()
+                if len(own) >= 2 * window - 1:
                     docs.append(doc)
-                    texts.append(t)
-                    n += len(t)
-                    if n > 1_000_000:
-                        held.append(stretches(docs, texts, window))
-                        docs, texts, n = [], [], 0
+                    which.append(t)
+                    texts.append(own)
+                    size += len(own)
+                    if size > 1_000_000:
+                        yield out()
+                        size = 0
         if docs:
-            held.append(stretches(docs, texts, window))
-        if not held:
-            return
-        h, c, doc, start, many = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.lexsort((start, doc, c, h))
-        h, c, doc, start, many = (x[order] for x in (h, c, doc, start, many))
-        again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))])
-        # a repeated row of the first one's id is not a repeat
-        h = np.where(again, _mix(order.astype(np.uint64) + h.view(np.uint64)).view(np.int64), h)
-        for i in range(0, len(h), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(c[s]), pa.array(doc[s]), pa.array(start[s].astype(np.int32)), pa.array(many[s].astype(np.int32)), pa.array(again[s])], ["h", "c", "doc", "start", "n", "again"])
-
-    return df.mapInArrow(find, "h long, c long, doc long, start int, n int, again boolean")
+            yield out()
+
+    return df.mapInArrow(find, "h long, doc long, t int, start int, n int")
 
 
 class Automaton:
@@ -190,65 +185,87 @@ class Automaton:
 
 
 def _texts(docs: DataFrame, need: DataFrame, window: int) -> DataFrame:
-    """The reference: route, h, c, doc, start, lo (the first window's bit), the words of each stretch asked for, and hot. Of hot ones, each window by itself: c, its hash and lo tell all that is needed."""
-    kinds = [("route", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("lo", pa.int32()), ("said", pa.string()), ("hot", pa.bool_()), ("check", pa.int64())]
+    """route, doc, start, n and the words (said) of each stretch asked for; those that repeat an earlier one of the same task have no words.
+
+    Stretches of hot minimizers go as single windows.
+    """
+    kinds = [("route", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("said", pa.string())]
+
+    def firsts(held: dict) -> Iterator[tuple]:
+        for (h, hot, said), places in held.items():
+            first = min(places)
+            for doc, s, n in places:
+                if (doc, s) != first[:2]:
+                    yield h, doc, s, n, None
+            doc, s, n = first
+            if hot:
+                own = said.split(" ")
+                for j in range(n):
+                    part = " ".join(own[j : j + window])
+                    yield xxhash.xxh64_intdigest(part) - 2**63, doc, s + j, 1, part
+            else:
+                yield h, doc, s, n, said
+
+    def sent(held: dict) -> Iterator[pa.RecordBatch]:
+        rows = firsts(held)
+        while part := list(islice(rows, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bool, str], list[tuple[int, int, int]]] = {}
+        size = 0
         for b in batches:
-            rows, size = [], 0
-            for doc, said, want in zip(b.column("doc").to_pylist(), b.column("__text"), b.column("want"), strict=True):
-                own = (said.as_py() or "").encode().split()
+            for doc, t, said, want in zip(b.column("doc").to_pylist(), b.column("t").to_pylist(), b.column("__text"), b.column("want"), strict=True):
+                own = [w.decode() for w in (said.as_py() or "").encode().split()]
                 for w in want.as_py():
                     s, n = w["start"], w["n"]
-                    if w["hot"]:
-                        for j in range(n):
-                            part = b" ".join(own[s + j : s + j + window])
-                            rows.append((xxhash.xxh64_intdigest(part) - 2**63, w["h"], w["c"], doc, s + j, j, None, True, xxhash.xxh64_intdigest(part, 1) - 2**63))
-                    else:
-                        rows.append((w["h"], w["h"], w["c"], doc, s, 0, b" ".join(own[s : s + n + window - 1]).decode(), False, 0))
-                    size += n + window
-                if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
-
-    return docs.join(need, "doc").select("doc", "__text", "want").mapInArrow(read, "route long, h long, c long, doc long, start int, lo int, said string, hot boolean, check long")
+                    if w["t"] != t or s + n + window - 1 > len(own):
+                        continue  # a stretch of another text of this id
+                    words = " ".join(own[s : s + n + window - 1])
+                    at = held.setdefault((w["h"], w["hot"], words), [])
+                    at.append((doc, s, n))
+                    size += len(words) if len(at) == 1 else 50
+                if size > TOGETHER:
+                    yield from sent(held)
+                    held, size = {}, 0
+        yield from sent(held)
+
+    return docs.join(need, "doc").select("doc", "t", "__text", "want").mapInArrow(read, "route long, doc long, start int, n int, said string")
 
 
 def _seen(reference: DataFrame, window: int) -> DataFrame:
-    """h, c and mask: which of the stretch's windows (bit 0 the first) an earlier stretch has."""
+    """doc, start and mask: which of the stretch's windows (bit 0 the first) an earlier stretch has."""
     dealt = reference.repartition("route").sortWithinPartitions("route", "doc", "start")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, route, at = Automaton(), None, None
+        known: set[str] = set()
+        new: list[str] = []
         for b in batches:
             out = []
-            for r, h, c, doc, start, lo, said in zip(*[b.column(k).to_pylist() for k in ("route", "h", "c", "doc", "start", "lo", "said")], strict=True):
+            for r, doc, start, n, said in zip(*[b.column(k).to_pylist() for k in ("route", "doc", "start", "n", "said")], strict=True):
+                if (r, doc, start) != at:  # rows of one id and place do not repeat each other
+                    for x in new:
+                        shard.add(x.split(" "))
+                    known.update(new)
+                    new = []
                 if r != route:
-                    route = r
+                    route, known = r, set()
                     if len(shard.length) > SHARD:
                         shard = Automaton()
-                words = said.split(" ")
-                got = shard.statistics(words)[window - 1 :]
-                mask = sum(1 << i for i, n in enumerate(got) if n >= window)
-                if mask != (1 << len(got)) - 1:
-                    shard.add(words)
-                # a repeated row of the same place saw itself
-                if mask and at != (r, doc, start, c):
-                    out.append((h, c, mask << lo))
-                at = (r, doc, start, c)
+                at, full = (r, doc, start), (1 << n) - 1
+                if said in known:
+                    out.append((doc, start, full))
+                    continue
+                mask = sum(1 << i for i, m in enumerate(shard.statistics(said.split(" "))[window - 1 :]) if m >= window)
+                if mask != full:
+                    new.append(said)
+                if mask:
+                    out.append((doc, start, mask))
             cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["h", "c", "mask"])
-
-    return dealt.mapInArrow(stream, "h long, c long, mask long")
-
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc", "start", "mask"])
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """h, c and mask of single windows that are not their hash's first: counted with map-side minima, so that no group meets in one task."""
-    first = settle(windows.groupBy("route", "check").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "firsts")
-    later = windows.join(first, ["route", "check"]).where(F.struct("doc", "start") != F.col("first"))
-    return later.select("h", "c", F.expr("shiftleft(1L, lo)").alias("mask"))
+    return dealt.mapInArrow(stream, "doc long, start int, mask long")
 
 
 def remove_repeats(df: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), spaced: bool = False) -> DataFrame:
@@ -258,23 +275,19 @@ def remove_repeats(df: DataFrame, window: int = 20, doc_id: str = "doc_id", text
     """
     base = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("__text"), *[F.col(k).alias(f"k_{k}") for k in keep])
     known = base.where("doc is not null")
-    rows = _stretch_rows(known.select("doc", "__text"), window)
+    which = F.hash("__text").alias("t")  # tells texts of one id apart
+    rows = _stretch_rows(known.select("doc", which, "__text"), window)
     # counted with map-side sums and joined, not windowed: a minimizer that most documents share is then split over tasks
-    names = rows.groupBy("h").agg(F.count("*").alias("__k"), F.min("c").alias("__least"), F.max("c").alias("__most"), F.min(F.struct("doc", "start")).alias("__first")).where("__k > 1")
-    names = settle(names, "minimizers")  # apart from the join, whose sides can be split only if both are dealt for it
-    judged = rows.join(names, "h", "left").withColumns({"several": F.col("__least") != F.col("__most"), "later": F.struct("doc", "start") != F.col("__first"), "hot": F.col("__k") > HOT})
-    left = settle(judged.where("again or several or later").select("h", "c", "doc", "start", "n", "again", F.coalesce("several", F.lit(False)).alias("several"), F.coalesce("hot", F.lit(False)).alias("hot")), "stretches")
-    mixed = left.where("several and not again")
-    unique = settle(mixed.groupBy("h", "c", "hot").agg(F.min(F.struct("doc", "start", "n")).alias("m")).select("h", "c", "hot", "m.*"), "contexts")
-    need = unique.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "h", "c", "hot")).alias("want"))
+    names = settle(rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "minimizers")  # apart from the join, whose sides can be split only if both are dealt for it
+    left = settle(rows.join(names, "h").select("h", "doc", "t", "start", "n", (F.col("k") > HOT).alias("hot")), "stretches")
+    drop(names)
+    need = left.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "h", "hot", "t")).alias("want"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.repartition(n, "doc")
-    reference = settle(_texts(dealt.select("doc", "__text"), need, window), "reference")
-    masks = _seen(reference.where("not hot"), window).unionByName(_repeated(reference.where("hot"))).groupBy("h", "c").agg(F.bit_or("mask").alias("mask"))
-    ones = F.expr("shiftleft(1L, n) - 1L")
-    firsts = unique.join(masks, ["h", "c"], "left").select("h", "c", F.col("doc").alias("fd"), F.col("start").alias("fs"), F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    some = mixed.join(firsts, ["h", "c"]).select("doc", "start", F.when((F.col("doc") == F.col("fd")) & (F.col("start") == F.col("fs")), F.col("mask")).otherwise(ones).alias("mask")).where("mask <> 0")
-    flags = left.where("again or not several").select("doc", "start", ones.alias("mask")).unionByName(some).groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("flags"))
+    reference = settle(_texts(dealt.select("doc", which, "__text"), need, window), "reference")
+    drop(left)
+    decided = reference.where("said is null").select("doc", "start", F.expr("shiftleft(1L, n) - 1L").alias("mask"))
+    flags = decided.unionByName(_seen(reference.where("said is not null"), window)).groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("flags"))
     both = dealt.join(flags, "doc", "left").unionByName(base.where("doc is null").withColumn("flags", F.lit(None).cast("array<struct<start:int,mask:bigint>>")))
     names = [f"k_{k}" for k in keep]
     one = both.select("doc", "__text", "flags", *names)

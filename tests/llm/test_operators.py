@@ -76,6 +76,25 @@ def test_substring_cuts_up_hot_minimizers(spark, monkeypatch):
     assert sorted(map(str, substring.remove_repeats(df).collect())) == want
 
 
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_substring_is_exact_where_hashes_collide(spark, monkeypatch, hot):
+    """With word hashes of three bits most windows share a minimizer; still only true repeats go. (Workers get the patched functions by value.)"""
+    df, data = awkward(spark, 4)
+    want = sorted(map(str, substring.remove_repeats(df).collect()))
+    whole = substring._mix
+    monkeypatch.setattr(substring, "HOT", hot)
+    rows = substring._stretch_rows(df.where("doc_id is not null").select("doc_id", F.hash("text"), "text"), 20)
+    made = [r.h for r in rows.collect()]
+    assert len(set(made)) > 100
+
+    def few(frame, window):
+        return rows_of(frame, window).withColumn("h", F.col("h").bitwiseAND(F.lit(7)))
+
+    rows_of = substring._stretch_rows
+    monkeypatch.setattr(substring, "_stretch_rows", few)
+    assert sorted(map(str, substring.remove_repeats(df).collect())) == want and whole is substring._mix
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]

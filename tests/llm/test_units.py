@@ -198,7 +198,7 @@ def test_word_hashes():
 def test_stretches_hold_every_window_once():
     rnd = random.Random(4)
     words = [[rnd.choice([b"x", b"y", b"zz"]) for _ in range(n)] for n in (19, 20, 21, 90)]
-    h, c, doc, start, n = substring.stretches([5, 6, 7, 8], [b"\n".join(w) for w in words], 20)
+    h, doc, start, n = substring.stretches([5, 6, 7, 8], [b"\n".join(w) for w in words], 20)
     got = sorted((d, s + j) for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True) for j in range(k))
     assert got == [(d, i) for d, w in zip((5, 6, 7, 8), words, strict=True) for i in range(len(w) - 19)]
     # equal windows have equal minimizers
