@@ -83,12 +83,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     before = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        # the minima are settled apart from the joins, so that a star's edges can be split over tasks
+        low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc")
+        large = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         last, now = now, settle(small, "cc")
-        drop(last)
+        drop(last, low, large, least)
         mark = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if mark == before:
             break

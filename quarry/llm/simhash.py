@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, settle
+from quarry.llm.common import components, drop, settle
 
 WIDTHS = (13, 13, 13, 13, 12)
 #: Fingerprints under one key beyond which the key is cut up.
@@ -163,16 +163,18 @@ def links(distinct: DataFrame, fp: str = "fp", most: int = 3) -> DataFrame:
     index = distinct.select(F.col(fp).alias("fp"), F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_key, left_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in _and_end(batches):
-            if b is None:
-                key, fps = left_key, left_fp
-                done = len(key)
-            else:
-                key = np.concatenate([left_key, b.column("key").to_numpy()])
-                fps = np.concatenate([left_fp, b.column("fp").to_numpy().view(np.uint64)])
-                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
-            left_key, left_fp = key[done:], fps[done:]
+            if b is not None:
+                now = b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+                if not len(now[0]):
+                    continue
+                held.append(now)
+                if now[0][-1] == held[0][0][0]:
+                    continue  # one key still goes on: joined once, when it ends
+            key, fps = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            done = len(key) if b is None else int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            held = [(key[done:], fps[done:])] if done < len(key) else []
             key, fps = key[:done], fps[:done]
             cuts = np.flatnonzero(np.diff(key, prepend=-1))
             sizes = np.diff(cuts, append=len(key))
@@ -200,12 +202,13 @@ def near_duplicates(df: DataFrame, k: int = 3, most: int = 3, doc_id: str = "doc
 
 # Near duplicates by shingle sets: SimHash of parts of a document.
 
-#: Shingles aimed at in a part, parts indexed of each fineness, bits of the whole fingerprints that may differ.
-PART, PARTS, LOOSE = 5, 32, 20
+#: Shingles aimed at in a part, parts indexed of each fineness, bits of the whole fingerprints that may differ (at similarity 0.8 some
+#: 14 do; 26 of 64 lets even unlike texts pass often, so that the chain costs no links).
+PART, PARTS, LOOSE = 5, 32, 26
 #: Members of a part's group up to which all pairs are tried at once.
 SMALL = 24
-#: Members of larger groups that are compared with each other, or with those of another block, at once.
-BLOCK = 512
+#: Bytes of the sets of larger groups' members that are compared with each other, or with those of another block, at once.
+BLOCK = 2_000_000
 
 
 def sketches(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,12 +333,12 @@ def _crossings(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     """Of crowd (key, doc_id, root) and sets (doc_id, hashes): pairs (a, b) at least that similar, which connect all roots that such pairs under one key connect.
 
     No pair of different roots is left out but by size: members are dealt into bands of sizes, of which similar sets have the same or
-    neighbouring ones, and in a band by hash into blocks of about BLOCK. Each block meets itself and those of its band and of the next.
+    neighbouring ones, and in a band by hash into blocks of about BLOCK bytes. Each block meets itself and those of its band and of the next.
     """
     width = math.log(1.0001 / max(similarity, 0.01))  # a little wide: rounding must not part a pair by two bands
-    sized = sets.select("doc_id", F.floor(F.log(F.octet_length("hashes") / 4) / width).alias("band"))
+    sized = sets.select("doc_id", F.octet_length("hashes").alias("bytes"), F.floor(F.log(F.octet_length("hashes") / 4) / width).alias("band"))
     own = settle(crowd.join(sized, "doc_id"), "crowd")
-    bands = own.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    bands = own.groupBy("key", "band").agg(F.ceil(F.sum("bytes") / BLOCK).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").drop("lo", "hi")
     count = lambda step: F.try_element_at("n", F.col("band") + step)
     dealt = own.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("doc_id"), count(0)))
@@ -393,7 +396,9 @@ def near_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, rounds: int
         crowd = large if crowd is None else crowd
         pairs = settle(met.where("a <> b").select("a", "b").distinct(), "pairs")
         need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        fit = settle(_similar(pairs, settle(sets.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets"), similarity), "fit")
+        few_sets = settle(sets.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+        fit = settle(_similar(pairs, few_sets, similarity), "fit")
+        drop(few_sets, pairs)
         found = fit if found is None else found.unionByName(fit)
         if r and fit.isEmpty():
             break
@@ -406,7 +411,9 @@ def near_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, rounds: int
         left = settle(left.join(mixed, "key", "left_semi"), "left")
         if left.isEmpty():
             continue
-        fit = settle(_crossings(left, settle(sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets"), similarity), "fit")
+        few_sets = settle(sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+        fit = settle(_crossings(left, few_sets, similarity), "fit")
+        drop(few_sets, left)
         if not fit.isEmpty():
             found = found.unionByName(fit)
             roots = components(found)

@@ -192,7 +192,7 @@ def test_near_groups_around_one_original(spark, monkeypatch):
     assert len(near) == 393 and sum(like(sets[i], sets[j]) for i in near[:100] for j in near[:100] if i < j) < 200
     want = {i: min(near) if i in near else i for i in range(400)}
     df = spark.createDataFrame(list(enumerate(docs)), EMPTY).repartition(3)
-    for block in (512, 40):
+    for block in (2_000_000, 30_000):
         monkeypatch.setattr(simhash, "BLOCK", block)
         assert {r.doc_id: r.group_id for r in simhash.near_groups(df).collect()} == want
 
@@ -233,9 +233,10 @@ def test_licenses(spark):
 
 
 def test_license_plan_does_not_grow_with_templates(spark):
+    """But for one literal of prefix words the plan is the same."""
     df = spark.createDataFrame([(1, "alpha beta")], EMPTY)
-    size = lambda n: len(licenses.scan(df, templates=[(f"l{i}", f"word{i} other{i} third{i} and more{i}") for i in range(n)])._jdf.queryExecution().optimizedPlan().toString())
-    assert abs(size(200) - size(2)) < 200
+    size = lambda n: len(licenses.scan(df, templates=[(f"l{i}", f"word{i} other{i} third{i} and more{i}") for i in range(n)])._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(200) == size(2)
 
 
 def test_media(spark):
