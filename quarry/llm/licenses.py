@@ -7,12 +7,13 @@ corpus, rarest first, ties by the word itself. To contain at least `threshold` o
 a = ceil(threshold * n) of them, so
 
 - prefix: one of the template's first n - a + 1 words is in the block
-- length: a block that holds this word lies in the words around it, of which at least a must be different
-- position: if that word is the template's j-th, it and the later of either side are what can still be common: 1 + min(those around - 1, n - j - 1) >= a
+- length: the block lies in a tile of the text, of which at least a words must be different
+- position: if that word is the template's j-th, it and the later of either side are what can still be common: 1 + min(tile's words - 1, n - j - 1) >= a
 
-What passes is verified by intersections: of all words around, then of each block. Words stream past the broadcast index (a hash
-lookup each); neither texts nor blocks are shuffled, only the few hits, pre-aggregated. Templates are a parameter of bounded size
-(MOST_WORDS) and travel as a table: the plan's size does not depend on them.
+Tiles are stretches of a text that overlap by a block, so every block is in one; those without a prefix word go at once. What passes
+is verified by intersections: of the whole tile, then of each block. Tiles stream past the broadcast index (a hash lookup each); neither
+texts nor blocks are shuffled, only the few hits, pre-aggregated. Templates are a parameter of bounded size (MOST_WORDS) and travel
+as a table; in the plan is one literal, of their prefix words.
 
 Defined results: null and empty texts have no words, places or labels and score 0; repeated rows are scanned each; null ids are kept; rows
 that share an id and a text get the same result. score is the greatest containment of a block that reaches the threshold, else 0.
@@ -20,6 +21,7 @@ that share an id and a text get the same result. score is the greatest containme
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import add, and_
 
@@ -78,7 +80,7 @@ def words_of(text: str) -> list[str]:
 def frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How often each word of the vocabulary stands in the column __w (a row per word of it comes to the driver)."""
     known = words.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
-    met = words.select(F.explode("__w").alias("w")).join(F.broadcast(known), "w")  # at most MOST_WORDS
+    met = words.select(F.explode_outer("__w").alias("w")).join(F.broadcast(known), "w")  # at most MOST_WORDS
     return {r[0]: r[1] for r in met.groupBy("w").count().collect()}
 
 
@@ -104,12 +106,19 @@ def contained(words: DataFrame, keys: list[str], templates=TEMPLATES, threshold:
     found = index(templates, frequencies(words, vocabulary), threshold)
     rows = [(w, t["label"], j, t["n"], t["a"], t["block"], t["words"]) for t in found for j, w in enumerate(t["words"][: t["n"] - t["a"] + 1])]
     prefixes = words.sparkSession.createDataFrame(rows, "w string, label string, j int, n int, a int, block int, words array<string>")
-    met = words.select(*keys, "__w", F.posexplode("__w").alias("p", "w")).join(F.broadcast(prefixes), "w")
-    w, lo = F.col("__w"), F.greatest(F.col("p") - F.col("block") + 1, F.lit(0))
-    near = met.withColumns({"lo": lo, "around": F.array_distinct(F.slice(w, lo + 1, 2 * F.col("block") - 1))})
-    fits = near.where("size(around) >= a and 1 + least(size(around) - 1, n - j - 1) >= a").where("size(array_intersect(words, around)) >= a")
-    starts = F.sequence("lo", F.greatest("lo", F.least("p", F.size(w) - F.col("block"))))
-    best = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect("words", F.slice(w, s + 1, F.col("block"))))))
+    w, most = F.col("__w"), max([t["block"] for t in found], default=1)
+    # one literal, however many words
+    first = F.from_json(F.lit(json.dumps(sorted({r[0] for r in rows}))), "array<string>")
+    step, n = 3 * most, F.size(w)
+    tile = lambda i: F.slice(w, F.greatest(i * step - most, F.lit(0)) + 1, F.lit(step + 2 * most))
+    # explode_outer: an inner one would have its array made twice, once for a filter on its size
+    tiles = F.filter(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), tile), lambda t: F.arrays_overlap(t, first))
+    some = words.where(n > 0).select(*keys, F.explode_outer(tiles).alias("__t")).where(F.col("__t").isNotNull())
+    met = some.select(*keys, "__t", F.explode_outer(F.array_intersect("__t", first)).alias("w")).join(F.broadcast(prefixes), "w")
+    size = F.size(F.array_distinct("__t"))
+    fits = met.where((size >= F.col("a")) & (F.least(size - 1, F.col("n") - F.col("j") - 1) + 1 >= F.col("a"))).where("size(array_intersect(words, __t)) >= a")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("__t") - F.col("block")))
+    best = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect("words", F.slice("__t", s + 1, F.col("block"))))))
     return fits.select(*keys, "label", "n", "a", best.alias("both")).where("both >= a").select(*keys, "label", (F.col("both") / F.col("n")).alias("containment"))
 
 
