@@ -1,7 +1,7 @@
 """Hybrid retrieval for batches of queries (C2-C26): every row carries its query, so one plan answers all queries.
 
-Term scores are equi-joins on the term, with map-side partial sums; per-query top-k is `row_number() <= k`, which Spark prunes before
-its sort. The queries are the small side: they are broadcast by Spark's own size check, never by force.
+Batches of queries meet texts and vectors in blocks of bounded size (blocks.py), each task keeping its k best. Over a stored index term
+scores are equi-joins on the term, with map-side partial sums. Per-query top-k is `row_number() <= k`, which Spark prunes before its sort.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry import lexicon as lx
 from quarry.functions import text as tx
+from quarry.operators import blocks
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -58,21 +59,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
-    """(query, key, score, rank) by cosine, ties to the smaller key. Queries are a batch of stated size: each meets all vectors, which stay where they are."""
-    q = queries.select(query, F.col(embedding).alias("q"))
-    score = F.try_divide(dot(F.col("q"), F.col(embedding)), F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col(embedding), F.col(embedding))))
-    met = vectors.select(key, embedding).join(q).select(query, key, score.alias("score"))
-    return top_k(met, [query], [F.desc("score"), F.asc(key)], k)
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", embedding: str = "embedding", per_block: int = 4096) -> DataFrame:
+    """(query, key, score, rank) by cosine, ties to the smaller key. Queries meet all vectors in blocks of about per_block; vectors that are null, hold a null or have no length take no part."""
+    own = lambda df, c: df.where(F.col(embedding).isNotNull() & F.forall(embedding, lambda x: x.isNotNull())).select(c, F.col(embedding).cast("array<double>").alias("v"))
+    found = blocks.search(own(queries, query), own(vectors, key), k, query, key, blocks.cosines, per_block)
+    return top_k(found, [query], [F.desc("score"), F.asc(key)], k)
 
 
 def sparse_top_k(queries: DataFrame, index: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """(query, key, score, rank) by the dot product over shared terms; both sides have term and weight."""
+    """C6 over an index that is stored: (query, key, score, rank) by the dot product over shared terms; both sides have term and weight."""
     q = queries.select(query, "term", F.col("weight").alias("w"))
     score = index.join(q, "term").groupBy(query, key).agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
     return top_k(score, [query], [F.desc(F.round("score", 9)), F.asc(key)], k)
 
 
+def sparse_search(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", asked: str = "query", text: str = "text", per_block: int = 512) -> DataFrame:
+    """C6 over texts: what sparse_top_k gives for sparse_vectors of both sides, without a row per term or per pair that shares one."""
+    terms = sparse_vectors(queries, query, asked).groupBy(query).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))  # a query's terms
+    found = blocks.search(terms, chunks.select(key, tx.tokens(text).alias("t")), k, query, key, blocks.shared_terms, per_block)
+    return top_k(found, [query], [F.desc(F.round("score", 9)), F.asc(key)], k)
+
+
 def prefilter(df: DataFrame, equal: dict[str, object], sensitivity: str = "sensitivity", tags: str = "tags", status: str = "status") -> DataFrame:
     """Public, not about prices, not deprecated, and equal in the fields that are asked for (None: not asked)."""
     out = df.where((F.col(sensitivity) == "PUBLIC_OK") & ~F.coalesce(F.array_contains(tags, "PRICING_RELATED"), F.lit(False)) & (F.coalesce(status, F.lit("")) != "deprecated"))
@@ -162,7 +169,7 @@ def search(queries: DataFrame, chunks: DataFrame, as_of: str, k: int = 5, pool:
     allowed = postfilter(prefilter(chunks, equal or {}), as_of)
     asked = to_dense(hash_embedding(queries, "query_id", "query", size), "query_id", size)
     dense = dense_top_k(asked, allowed.where("embedding is not null"), limit)
-    sparse = sparse_top_k(sparse_vectors(queries, "query_id", "query"), sparse_vectors(allowed, "chunk_id"), limit)
+    sparse = sparse_search(queries, allowed, limit)
     fused = fuse([dense, sparse], limit)
     hits = fused.join(queries.select("query_id", "query"), "query_id").join(allowed.select("chunk_id", "text", "quality"), "chunk_id")
     return key_fact_filter(rerank(hits, want)).select("query_id", "chunk_id", "score", "rank")

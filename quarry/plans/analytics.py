@@ -104,13 +104,13 @@ def quality_signals(spark, d):
     return an.quality_signals(table(spark, d, "events").select(body.alias("payload")))
 
 
-@query("""WITH a AS (SELECT source AS key, round(avg(n_chars), 1) / 1000 AS value FROM documents WHERE doc_id % 3 = 0 GROUP BY source), b AS (SELECT source AS key, round(avg(n_chars), 1) / 1000 AS value FROM documents WHERE doc_id % 5 = 0 GROUP BY source)
+@query("""WITH a AS (SELECT source AS key, round(avg(n_chars), 1) / 1000 AS value FROM documents GROUP BY source), b AS (SELECT source AS key, round(avg(length(text)), 1) / 1000 AS value FROM documents WHERE lang <> 'en' GROUP BY source)
  SELECT * FROM (SELECT coalesce(a.key, b.key) AS key, round_even(coalesce(a.value, 0), 6) AS "from", round_even(coalesce(b.value, 0), 6) AS "to" FROM a FULL OUTER JOIN b ON a.key = b.key) x WHERE "from" <> "to" """)
 def threshold_diff(spark, d):
-    """G8."""
+    """A source's mean length over all languages, and over those other than English."""
     docs = table(spark, d, "documents")
-    part = lambda n: docs.where(F.col("doc_id") % n == 0).groupBy(F.col("source").alias("key")).agg((F.round(F.avg("n_chars"), 1) / 1000).alias("value"))
-    return an.threshold_diff(part(3), part(5))
+    part = lambda df, c: df.groupBy(F.col("source").alias("key")).agg((F.round(F.avg(c), 1) / 1000).alias("value"))
+    return an.threshold_diff(part(docs, F.col("n_chars")), part(docs.where("lang <> 'en'"), F.length("text")))
 
 
 @query(f"""WITH {QUALITY}, s AS (SELECT d.source, count(*) FILTER (c.quality < 60) / count(*) AS low_rate, avg(c.quality) AS avg_quality, count(*) FILTER (c.quality < 5) AS failed FROM documents d JOIN chunks c ON d.doc_id = c.doc_id GROUP BY d.source),

@@ -178,37 +178,37 @@ _SPARSE = f"""dv AS (SELECT doc_id, term, count(*) / any_value(n) AS w FROM (SEL
 @query(f"WITH {_SPARSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sp WHERE rank <= 10")
 def sparse_topk(spark, d):
     """C6."""
-    hits = rt.sparse_top_k(rt.sparse_vectors(_items(spark, d), "query_id", "query"), rt.sparse_vectors(docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), "chunk_id"), 10)
+    hits = rt.sparse_search(_items(spark, d), docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), 10)
     return hits.withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score", "rank")
 
 
-_DENSE = """de AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))) AS score FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id < 40),
- dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM de)"""
+_DENSE = """de AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))) AS score FROM embeddings q CROSS JOIN embeddings v WHERE __ASKED__),
+ dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM de)"""
 
 
 def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-@query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dr WHERE rank <= 10")
+@query(f"WITH {_DENSE.replace('__ASKED__', 'q.vec_id % 100 = 0')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dr WHERE rank <= 10")
 def dense_topk(spark, d):
     """C5."""
     v = _vectors(spark, d)
-    hits = rt.dense_top_k(v.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id"), v, 10)
+    hits = rt.dense_top_k(v.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), v, 10)
     return hits.withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_SPARSE}, {_DENSE}, u AS (SELECT query_id, chunk_id, rank, 0 AS l FROM dr WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM sp WHERE rank <= 50), f AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score, min(l * 1000 + rank) AS o FROM u GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, o, chunk_id) AS rank FROM f) x WHERE rank <= 20")
+@query(f"WITH {_SPARSE}, {_DENSE.replace('__ASKED__', 'q.vec_id IN (SELECT item_id FROM benchmark)')}, u AS (SELECT query_id, chunk_id, rank, 0 AS l FROM dr WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM sp WHERE rank <= 50), f AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score, min(l * 1000 + rank) AS o FROM u GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, o, chunk_id) AS rank FROM f) x WHERE rank <= 20")
 def hybrid_rrf(spark, d):
-    """C9 over C5 and C6: the flagship."""
+    """C9 over C5 and C6: the flagship. An item's vector is the one of its id."""
     v = _vectors(spark, d)
-    dense = rt.dense_top_k(v.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id"), v, 50)
-    sparse = rt.sparse_top_k(rt.sparse_vectors(_items(spark, d), "query_id", "query"), rt.sparse_vectors(docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), "chunk_id"), 50)
+    dense = rt.dense_top_k(v.withColumnRenamed("chunk_id", "query_id").join(_items(spark, d), "query_id", "left_semi"), v, 50)
+    sparse = rt.sparse_search(_items(spark, d), docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), 50)
     return rt.fuse([dense, sparse], 20).withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score", "rank")
 
 
 def _hits(spark, d):
-    hits = rt.sparse_top_k(rt.sparse_vectors(_items(spark, d), "query_id", "query"), rt.sparse_vectors(docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), "chunk_id"), 24)
+    hits = rt.sparse_search(_items(spark, d), docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), 24)
     return hits.join(_items(spark, d), "query_id").join(docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", (F.col("n_chars") % 101).alias("quality")), "chunk_id")
 
 
@@ -285,7 +285,7 @@ def decompose(spark, d):
  SELECT o.g, o.chunk_id, round(h.score, 6) AS score, covers, row_number() OVER (PARTITION BY o.g ORDER BY f) AS position FROM o JOIN h ON o.g = h.g AND o.chunk_id = h.chunk_id AND o.l = h.sub_no * 1000 + h.rank""")
 def merge_coverage(spark, d):
     """C21."""
-    hits = rt.sparse_top_k(rt.sparse_vectors(_items(spark, d), "query_id", "query"), rt.sparse_vectors(docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), "chunk_id"), 10)
+    hits = rt.sparse_search(_items(spark, d), docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), 10)
     m = rt.merge_hits(hits.withColumn("g", F.col("query_id") % 5).withColumnRenamed("query_id", "sub_no"), ["g"])
     return m.select("g", "chunk_id", F.round("score", 6).alias("score"), F.size("covers").cast("long").alias("covers"), "position")
 
@@ -363,16 +363,17 @@ def pricing_signals(spark, d):
     return p.select("doc_id", "hard_hit", "amount_hit")
 
 
-@query("""SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '***@***', 'g')) AS digest FROM documents WHERE contains(text, '@')""")
+@query("""SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '***@***', 'g')) AS digest FROM documents""")
 def pii_mask(spark, d):
     """E4 without exemptions."""
-    return docs(spark, d).where(F.contains("text", F.lit("@"))).select("doc_id", F.md5(gd.mask(F.col("text"), exempt=None)).alias("digest"))
+    return docs(spark, d).select("doc_id", F.md5(gd.mask(F.col("text"), exempt=None)).alias("digest"))
 
 
-@query("""SELECT doc_id, 'a' AS block, md5(trim(substr(text, 1, 40))) AS signature FROM documents UNION ALL SELECT doc_id, 'b', md5(trim(substr(text, 41, 40))) FROM documents""")
+@query("""SELECT doc_id, 'a' AS block, md5(trim(substr(text, 1, CAST(length(text) // 2 AS BIGINT)))) AS signature FROM documents UNION ALL SELECT doc_id, 'b', md5(trim(substr(text, CAST(length(text) // 2 AS BIGINT) + 1))) FROM documents""")
 def frozen_signatures(spark, d):
     """E8."""
-    t = F.concat(F.lit("x [FROZEN:a]"), F.substring("text", 1, 40), F.lit("[/FROZEN] y [FROZEN:b]"), F.substring("text", 41, 40), F.lit("[/FROZEN]"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    t = F.concat(F.lit("x [FROZEN:a]"), F.substr("text", F.lit(1), half), F.lit("[/FROZEN] y [FROZEN:b]"), F.substr("text", half + 1), F.lit("[/FROZEN]"))
     return docs(spark, d).select("doc_id", F.inline(tx.frozen(t))).select("doc_id", F.col("key").alias("block"), "signature")
 
 
@@ -383,12 +384,11 @@ def sanitize(spark, d):
     return s.select("doc_id", F.md5("sanitized").alias("digest"), "pricing_blocked", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(f"""WITH p AS (SELECT b.item_id, d.doc_id, list_distinct(regexp_extract_all(lower(b.text), {W})) AS q, list_distinct(regexp_extract_all(lower(d.text), {W})) AS t, d.text FROM benchmark b JOIN documents d ON b.item_id = d.doc_id % 40), s AS (SELECT item_id, doc_id, text, len(list_intersect(q, t)) / len(q) AS share FROM p)
+@query(f"""WITH {_SPARSE}, p AS (SELECT query_id AS item_id, chunk_id AS doc_id, list_distinct(regexp_extract_all(lower(b.text), {W})) AS q, list_distinct(regexp_extract_all(lower(d.text), {W})) AS t, d.text FROM sp JOIN benchmark b ON query_id = item_id JOIN documents d ON chunk_id = doc_id WHERE rank <= 24), s AS (SELECT item_id, doc_id, text, len(list_intersect(q, t)) / len(q) AS share FROM p)
  SELECT item_id, doc_id, round(CASE WHEN trim(text) = '' THEN 0.0 WHEN share >= 0.4 THEN least(0.9, 0.55 + share * 0.5) WHEN length(trim(text)) >= 120 AND share >= 0.15 THEN 0.55 ELSE 0.0 END, 4) AS confidence FROM s""")
 def coverage_estimate(spark, d):
-    """F2."""
-    p = table(spark, d, "benchmark").withColumnRenamed("text", "q").join(docs(spark, d), F.col("item_id") == F.col("doc_id") % 40)
-    return p.select("item_id", "doc_id", sc.coverage(F.col("q"), F.col("text")).confidence.alias("confidence"))
+    """F2 of each item and its best 24 documents."""
+    return _hits(spark, d).select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), sc.coverage(F.col("query"), F.col("text")).confidence.alias("confidence"))
 
 
 @query()
