@@ -96,7 +96,7 @@ def chunk_records(df: DataFrame, doc: str, section: str, kind: Column, index: st
     """chunk_id (document, section, kind, number, digest), parent_id, quality (confidence in percent, 0 to 100) and parent_context."""
     digest = F.substring(F.sha1(F.encode(tx.text(text), "UTF-8")), 1, 12)
     head = F.substring(F.col(doc).cast("string"), 1, 8)
-    quality = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(confidence, F.lit(0.6)) * 100))
+    quality = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.lit(None).cast("double") if confidence is None else confidence, F.lit(0.6)) * 100))
     return df.withColumns({"chunk_id": F.concat_ws("-", head, F.col(section).cast("string"), kind, F.col(index).cast("string"), digest), "parent_id": F.concat_ws("-", head, F.col(section).cast("string")), "quality": quality, "parent_context": F.lit(None).cast("string") if context is None else context})
 
 

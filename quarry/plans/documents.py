@@ -10,6 +10,7 @@ from quarry import seams
 from quarry.functions import text as tx
 from quarry.operators import chunking as ch
 from quarry.operators import extract as ex
+from quarry.operators import flows
 from quarry.operators import guard as gd
 from quarry.operators import retrieval as rt
 from quarry.operators import scoring as sc
@@ -220,13 +221,12 @@ def lexical_rerank(spark, d):
     return rt.rerank(_hits(spark, d).withColumn("quality", F.least("quality", F.lit(100))), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {_SPARSE}, h AS (SELECT query_id, chunk_id, rank, contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(substr(b.text, 1, 4))) AS hit FROM sp JOIN documents d ON chunk_id = doc_id JOIN benchmark b ON query_id = item_id WHERE rank <= 24) SELECT query_id, chunk_id FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM h) x WHERE hit OR NOT any_hit""")
-def fact_filter_shape(spark, d):
-    """C12's filter with fallback, on a corpus without units: the query's first letters stand for its key fact."""
-    own = _hits(spark, d).withColumn("__hit", F.contains(tx.squeezed("text"), F.lower(F.substring("query", 1, 4))))
-    from pyspark.sql import Window
-
-    return own.withColumn("__any", F.max("__hit").over(Window.partitionBy("query_id"))).where("__hit or not __any").select("query_id", "chunk_id")
+@query(f"""WITH {_SPARSE}, h AS (SELECT query_id, chunk_id, chunk_id % 7 = query_id % 9 AS hit FROM sp WHERE rank <= 24)
+ SELECT query_id, chunk_id FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM h) x WHERE hit OR NOT any_hit""")
+def key_fact_filter(spark, d):
+    """A model name is added to each document and asked for by each item; some are in no document, so the fallback shows as well."""
+    own = _hits(spark, d).withColumns({"query": F.concat(F.lit("about ZQX-1"), F.col("query_id") % 9), "text": F.concat("text", F.lit(" zqx-1"), F.col("chunk_id") % 7)})
+    return rt.key_fact_filter(own).select("query_id", "chunk_id")
 
 
 @query("""SELECT p_partkey, CASE WHEN dl < 0 THEN 'expired' WHEN dl <= 30 THEN 'expiring_soon' ELSE 'valid' END AS state FROM (SELECT p_partkey, date_diff('day', DATE '2024-01-31', DATE '2024-01-01' + CAST(p_size * 2 AS INTEGER)) AS dl FROM part) x""")
@@ -417,3 +417,44 @@ def chunk_records(spark, d):
 def cache_keys(spark, d):
     """C26."""
     return docs(spark, d).select("doc_id", rt.cache_key(F.col("lang"), F.lit(None).cast("string"), F.col("text"), F.array(F.lit("z"), F.col("doc_id").cast("string"))).alias("key"))
+
+
+def _upload(spark, d):
+    """Short lines are the corpus's headings."""
+    return flows.ingest(docs(spark, d), "doc_id", "2024-01-31", separator="\n", heading=lambda c: F.when(F.length(c) < 40, F.substring(c, 1, 48)), types=lx.CORPUS_TYPES, tokens=(80, 120, 10))
+
+
+@query()
+def ingest_chunks(spark, d):
+    """Chunk records of documents that pass the guard."""
+    c = _upload(spark, d).chunks
+    return c.select("doc_id", "section_id", "chunk_no", "chunk_id", "section_type", F.md5("text").alias("digest"))
+
+
+@query()
+def ingest_documents(spark, d):
+    """Metadata, lifecycle and the guard's verdict."""
+    return _upload(spark, d).documents.select("doc_id", "blocked", "lifecycle", "voltage_level_kv", "region")
+
+
+@query()
+def upload_analysis(spark, d):
+    """A summary for each document that passes the guard."""
+    a = flows.analyse(docs(spark, d), "doc_id", rules=_RULES, power=None, must=("license",), more=("token", "555"))
+    return a.summary.withColumn("category_counts", F.to_json("category_counts"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, content FROM ({_SENT}) WHERE length(content) >= 6) SELECT doc_id, md5(content) AS digest FROM s WHERE contains(content, '@') AND NOT contains(content, ' of ') AND NOT contains(content, 'token') AND NOT contains(content, '555') AND NOT regexp_matches(content, '[Tt]he ') AND NOT contains(content, '分')""")
+def requirement_risks(spark, d):
+    """D4 over all sentences: those that are of the kind risk only."""
+    i = flows.requirement_insights(ex.sentences(docs(spark, d), "doc_id").where(~F.contains("content", F.lit("分"))), "doc_id", _RULES, power=None)
+    kinds = i.groupBy("doc_id", "pos", "content").agg(F.collect_set("category").alias("k"))
+    return kinds.where(F.col("k") == F.array(F.lit("RISK_ALERTS"))).select("doc_id", F.md5("content").alias("digest"))
+
+
+@query()
+def retrieve_parts(spark, d):
+    """C20: benchmark items cut into parts, searched as one batch, merged by item."""
+    c = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", F.lit(None).cast("array<double>").alias("embedding"), (F.col("n_chars") % 101).alias("quality"), F.lit("PUBLIC_OK").alias("sensitivity"), F.array(F.lit("X")).alias("tags"), F.lit("active").alias("status"), F.lit(None).cast("date").alias("valid_to"), F.lit(None).cast("date").alias("expires"))
+    hits = flows.retrieve_parts(table(spark, d, "benchmark"), c, "item_id", "text", "2024-01-31", short=20, separator="[,.]+", continuations=("and", "of"), glue=",")
+    return hits.select("item_id", "chunk_id", "position", F.size("covers").alias("covers"))
