@@ -51,6 +51,19 @@ def parse(turn: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
+class Turns:
+    """Finds the turns in a conversation's output, which may come in pieces cut anywhere; only an open turn is held."""
+
+    def __init__(self) -> None:
+        self.rest = ""
+
+    def feed(self, output: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of each turn that ends in what has come so far. An end mark within a text is escaped, so it ends none."""
+        *whole, self.rest = (self.rest + output).split(f"{END}\n")
+        for turn in whole:
+            yield parse(f"{turn}{END}\n")
+
+
 def fold(events: Iterable[tuple]) -> Iterator[tuple]:
     """(conv, turn, role, text) of each final message, from events sorted by conv, turn and seq."""
     key, role, parts = None, "", []
@@ -131,13 +144,14 @@ def format_digests(log: DataFrame) -> DataFrame:
                 if len(rows) >= 5000:
                     yield out(rows)
                     rows = []
-                last, n, lost, size, whole, loss = (conv,), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                last, n, lost, size, whole, loss, found = (conv,), 0, 0, 0, hashlib.sha256(), hashlib.sha256(), Turns()
             s, a, b = render(role, text)
-            back, said = parse(s)
-            whole.update(f"{back}\n{said}\n".encode())
+            for back, said in found.feed(s):
+                whole.update(f"{back}\n{said}\n".encode())
+                n += 1
             masked = unescape(s[a:b])
             loss.update(masked.encode())
-            n, lost, size = n + 1, lost + len(masked), size + len(s)
+            lost, size = lost + len(masked), size + len(s)
         if last:
             rows.append((*last, n, whole.hexdigest(), lost, loss.hexdigest(), size))
         if rows:

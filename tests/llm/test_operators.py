@@ -518,3 +518,18 @@ def test_chat(spark):
     whole = "".join(t.formatted for t in turns)
     assert len(whole) == got[1].formatted_chars and "".join(chat.unescape(whole[t.loss_start : t.loss_end]) for t in turns) == "ab<|im_end|>"
     assert set(got) == {1, 2, 3, None} and chat.format_digests(log.limit(0)).count() == 0
+
+
+def test_chat_events_through_a_table(spark):
+    """Deltas, edits and regenerations of two conversations, in any order of rows, become final messages."""
+    log = [
+        (1, 0, 0, "delta", "user", "Hel"), (1, 0, 1, "delta", "user", "lo"), (1, 1, 0, "delta", "assistant", "bad"), (1, 1, 1, "regenerate", None, None), (1, 1, 2, "delta", "assistant", "good "), (1, 1, 3, "delta", None, "answer"),
+        (1, 2, 0, "message", "user", "thanks"), (1, 2, 1, "edit", None, "no"), (2, 0, 0, "delta", "user", "x<|im_end|>"), (2, 0, 1, "edit", "system", "y<|im_end|>"), (2, 1, 0, "delta", "assistant", ""),
+    ]
+    rows = spark.createDataFrame(random.Random(1).sample(log, len(log)), "c long, t long, s long, k string, role string, text string").repartition(4)
+    got = chat.format_turns(chat.events(rows, "c", "t", F.col("s"), F.col("k"), "role", "text")).orderBy("conv", "char_start").collect()
+    each = {c: list(chat.Turns().feed("".join(r.formatted for r in got if r.conv == c))) for c in (1, 2)}
+    assert each[1][:2] == [("user", "Hello"), ("assistant", "good answer")] and each[1][2:] == [("user", "thanks"), ("", "no")]
+    assert each[2] == [("system", "y<|im_end|>"), ("assistant", "")]
+    digests = {r.conv_id: r for r in chat.format_digests(chat.events(rows, "c", "t", F.col("s"), F.col("k"), "role", "text")).collect()}
+    assert digests[1].n_turns == 4 and digests[1].loss_sha256 == hashlib.sha256(b"good answer").hexdigest()

@@ -88,6 +88,15 @@ def test_escape():
             assert chat.unescape(s[a:b]) == (t if role == "assistant" else "")
 
 
+def test_turns_are_found_in_output_cut_anywhere():
+    rnd = random.Random(3)
+    said = [(rnd.choice(["user", "assistant", "<|im_end|>\n"]), "".join(rnd.choice(["<|im_end|>\n", "<|im_start|>", "\\", "x", "\n", "<", "|"]) for _ in range(rnd.randrange(6)))) for _ in range(60)]
+    whole = "".join(chat.render(*x)[0] for x in said)
+    for step in (1, 3, 17, len(whole)):
+        t = chat.Turns()
+        assert [x for at in range(0, len(whole), step) for x in t.feed(whole[at : at + step])] == said and t.rest == ""
+
+
 def test_fold():
     e = [(1, 0, 0, "delta", "user", "a"), (1, 0, 1, "delta", "user", "b"), (1, 1, 0, "delta", "assistant", "x"), (1, 1, 1, "regenerate", "", ""), (1, 1, 2, "delta", "assistant", "y"), (1, 2, 0, "delta", "user", "z"), (1, 2, 1, "edit", "", "q"), (2, 0, 0, "message", "user", "m"), (2, 0, 0, "message", "user", "m")]
     assert list(chat.fold(e)) == [(1, 0, "user", "ab"), (1, 1, "assistant", "y"), (1, 2, "user", "q"), (2, 0, "user", "m"), (2, 0, "user", "m")]
