@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators.relational import clamp
+from quarry.operators.relational import clamp, small
 
 #: Yuan per dollar.
 CNY = 7.2
@@ -45,7 +45,7 @@ def price_keys(models: DataFrame, table: DataFrame, model: str = "model") -> Dat
     starts = lambda s: F.regexp_count(F.substring(s, F.length("key") + 1, F.lit(1)), F.lit("[-:@/]")) == 1
     begins = lambda s: F.startswith(s, F.col("key")) & starts(s)
     score = F.when(F.col("__name") == F.col("key"), 2_000_000).when(F.col("__alias") == F.col("key"), 1_000_000).when(begins(F.col("__name")) | begins(F.col("__alias")), F.length("key"))
-    met = own.join(F.broadcast(table.select("key")), score.isNotNull() & (F.col("__name") != ""), "left").withColumn("__score", score)
+    met = own.join(small(table.select("key")), score.isNotNull() & (F.col("__name") != ""), "left").withColumn("__score", score)
     return met.groupBy(model).agg(F.max_by("key", F.struct("__score", "key")).alias("key"))
 
 
@@ -57,7 +57,7 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
 def usage(calls: DataFrame, table: DataFrame, total: bool = True) -> DataFrame:
     """G1: calls, tokens and cost in dollars by model, with a row of model null for the total."""
     per = calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
-    keyed = per.join(price_keys(per, table).withColumnRenamed("key", "price_key"), "model", "left").join(F.broadcast(table), F.col("price_key") == F.col("key"), "left")
+    keyed = per.join(price_keys(per, table).withColumnRenamed("key", "price_key"), "model", "left").join(table, F.col("price_key") == F.col("key"), "left")
     raw = F.coalesce(cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out")), F.lit(0.0))
     out = keyed.select("model", "price_key", "calls", "tokens_in", "tokens_out", F.round(F.when(F.col("currency") == "CNY", raw / CNY).otherwise(raw), 6).alias("cost_usd"))
     if total:
@@ -90,7 +90,7 @@ def compare(calls: DataFrame, table: DataFrame, since: str | None = None, keys:
         F.count_if(F.col("blocked").isNotNull()).alias("failures"),
         F.count_if(F.col("fallback") > 0).alias("__fallbacks"),
     )
-    priced = agg.join(price_keys(agg, table).withColumnRenamed("key", "__key"), "model", "left").join(F.broadcast(table), F.col("__key") == F.col("key"), "left")
+    priced = agg.join(price_keys(agg, table).withColumnRenamed("key", "__key"), "model", "left").join(table, F.col("__key") == F.col("key"), "left")
     both = priced.join(top_failure(own, keys), list(keys), "left")
     top = F.coalesce("top_failure", F.when((F.col("failures") > 0) & (F.col("__fallbacks") > 0), "FALLBACK_OR_UNKNOWN"))
     money = F.round(F.coalesce(cost(F.col("sum_in"), F.col("sum_out"), F.col("price_in"), F.col("price_out")) / F.when(F.col("currency") == "CNY", CNY).otherwise(1.0), F.lit(0.0)), 6)
@@ -195,6 +195,6 @@ def layered(layers: Sequence[DataFrame], bounds: DataFrame | None = None, key: s
     for i, layer in enumerate(layers):
         own = layer.select(key, F.col(value).cast("double").alias("value"), F.lit(i).alias("layer"))
         if bounds is not None:
-            own = own.join(F.broadcast(bounds), key, "left").where("low is null or value between low and high").select(key, "value", "layer")
+            own = own.join(bounds, key, "left").where("low is null or value between low and high").select(key, "value", "layer")
         out = own if out is None else out.unionByName(own)
     return out.where("value is not null").groupBy(key).agg(F.max_by("value", "layer").alias("value"), F.max("layer").alias("layer"))

@@ -32,13 +32,16 @@ PARAMETER = r"([A-Za-z一-鿿]{1,12}\s*[:：]?\s*\d+(?:\.\d+)?\s*(?:ms|s|GB|TB|M
 
 def near_amount(c: Column, keyword: str, money: str = MONEY, window: int = 20) -> Column:
     """Does any occurrence of the keyword have an amount within `window` characters? Exact: the text around each occurrence is cut out and searched."""
+    if not keyword:
+        return F.lit(False)
     parts = F.split(c, f"\\Q{keyword}\\E")
-    n = len(keyword)
+    # beyond so many parts, even if all are empty, the keywords between them fill the window
+    m = window // len(keyword) + 1
     tail = lambda s: F.substring(s, F.greatest(F.length(s) - window + 1, F.lit(1)), F.lit(window))
-    # before the i-th occurrence all earlier text counts, so keywords among it are put back
-    joined = lambda i, j: F.array_join(F.slice(parts, i, j), keyword)
-    around = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(tail(joined(F.lit(1), i)), F.lit(keyword), F.substring(joined(i + 1, F.size(parts)), 1, window)))
-    return (F.size(parts) > 1) & F.exists(around, lambda s: s.rlike(money)) & F.lit(n > 0)
+    joined = lambda i, n: F.array_join(F.slice(parts, i, n), keyword)
+    first = lambda i: F.greatest(i - m, F.lit(1))
+    around = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(tail(joined(first(i), i - first(i) + 1)), F.lit(keyword), F.substring(joined(i + 1, F.lit(m + 1)), 1, window)))
+    return (F.size(parts) > 1) & F.exists(around, lambda s: s.rlike(money))
 
 
 def digit_density(c: Column, units: str = UNITS) -> Column:

@@ -318,7 +318,7 @@ def generation_status(binding: Column, expired: Column, conflict: Column, disqua
 def token_limits(df: DataFrame, caps: DataFrame, kind: str = "section_type", tokens: str = "tokens", default: int = 2000, hard: float = 1.5) -> DataFrame:
     """over the type's cap is a warning, over `hard` times it is cut."""
     cap = F.coalesce("cap", F.lit(default))
-    return df.join(F.broadcast(caps), kind, "left").withColumn("limit_status", F.when(F.col(tokens) > cap * hard, "TRUNCATE").when(F.col(tokens) > cap, "WARN").otherwise("OK"))
+    return df.join(caps, kind, "left").withColumn("limit_status", F.when(F.col(tokens) > cap * hard, "TRUNCATE").when(F.col(tokens) > cap, "WARN").otherwise("OK"))
 
 
 def lock_scorecard(df: DataFrame, project: str, requested: str, approved: str, locked: str) -> DataFrame:

@@ -45,9 +45,10 @@ def sections(blocks: DataFrame, key: Sequence[str], order: str = "block_no", anc
     return n.select(*[c for c in kept.columns], F.format_string("S%03d", "__s").alias("section_id"), F.concat(kind, F.format_string("%03d", F.row_number().over(each))).alias("block_id"), F.min(number).over(in_section).alias("page_start"), F.max(number).over(in_section).alias("page_end"))
 
 
-def sectionize(df: DataFrame, key: str, text: str = "text", anchor: str = tx.ANCHOR, preamble: str = "preamble", whole: str = "whole text", most: int = 50_000) -> DataFrame:
+def sectionize(df: DataFrame, key: str, text: str = "text", anchor: str = tx.ANCHOR, preamble: str = "preamble") -> DataFrame:
     """(key, section_no, anchor, title, content): breaks are numbered headings and Markdown headings of level 1 and 2; lines before
-    the first are the preamble; sections without content are dropped, and a text without sections is one, cut at `most` characters."""
+    the first are the preamble; sections without content are dropped. A text with any line that is not blank has a section, so none needs to
+    be taken whole; a null or blank one has none."""
     lines = df.select(key, F.posexplode(F.split(tx.text(text), "\n")).alias("line_no", "line"))
     stripped = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
     marks = F.length(F.regexp_extract(stripped, r"^(#{1,6})\s+\S", 1))
@@ -60,8 +61,7 @@ def sectionize(df: DataFrame, key: str, text: str = "text", anchor: str = tx.ANC
     joined = grouped.groupBy(key, "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("content"), F.first("o", ignorenulls=True).alias("o"))
     body = F.regexp_replace("content", r"^\s+|\s+$", "")
     found = joined.select(key, "n", F.coalesce("o.anchor", F.lit(preamble)).alias("anchor"), F.coalesce("o.title", F.lit(preamble)).alias("title"), body.alias("content")).where("content <> ''")
-    numbered_rows = found.select(key, (F.row_number().over(W.partitionBy(key).orderBy("n")) - 1).alias("section_no"), "anchor", "title", "content")
-    return numbered_rows if most is None else numbered_rows.withColumn("content", F.when(F.col("anchor") == whole, F.substring("content", 1, most)).otherwise(F.col("content")))
+    return found.select(key, (F.row_number().over(W.partitionBy(key).orderBy("n")) - 1).alias("section_no"), "anchor", "title", "content")
 
 
 def table_islands(df: DataFrame, key: str, text: str = "text", least: int = 2) -> DataFrame:

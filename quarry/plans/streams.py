@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.views import table
+from quarry.session import shared_folder
 from quarry.streaming import streams as ss
 
 Q: dict = {}
@@ -15,11 +15,12 @@ SQL: dict[str, str] = {}
 
 
 def finish(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a streaming plan over all input there is; the result is a table of this session."""
-    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a streaming plan over all input there is; the result is a table in the shared folder, written anew by each batch (mode complete) or added to."""
+    at = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, n: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/rows")
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: sessions of each user, with a gap of six hours."""
-    out = ss.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "6 hours")
+    out = finish(ss.sessions(ss.read_events(spark, sf_dir, "events.parquet"), "user_id", "6 hours"), "complete")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 

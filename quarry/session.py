@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +24,12 @@ def get_spark(app: str = "quarry", cpus: int | str = "*", shuffle_partitions: in
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where it is unset, a folder of our own on a single machine, and an error on a cluster."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="quarry-")

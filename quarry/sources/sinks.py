@@ -30,7 +30,7 @@ def point_id(doc: Column, chunk: Column) -> Column:
 def upserted(base: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """The rows of both, the latest by key."""
     both = base.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(version)))).where("__n = 1").drop("__n")
+    return both.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(version), F.xxhash64(*both.columns)))).where("__n = 1").drop("__n")
 
 
 def markdown_table(rows: Column) -> Column:
