@@ -208,8 +208,13 @@ def hybrid_rrf(spark, d):
     return rt.fuse([dense, sparse], 20).withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score", "rank")
 
 
+def sparse_search_hits(spark, d):
+    """Each item's best 24 documents."""
+    return rt.sparse_search(_items(spark, d), docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), 24)
+
+
 def _hits(spark, d):
-    hits = rt.sparse_search(_items(spark, d), docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), 24)
+    hits = sparse_search_hits(spark, d)
     return hits.join(_items(spark, d), "query_id").join(docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", (F.col("n_chars") % 101).alias("quality")), "chunk_id")
 
 
