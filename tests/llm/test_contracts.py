@@ -63,3 +63,15 @@ def test_pipeline(spark):
             seen.add(k)
         assert (kept["substring_dedup"][d].text or "").split() == [x for x, g in zip(w, gone, strict=True) if not g]
     assert set(kept["best_fit"]) == {d for d, r in kept["substring_dedup"].items() if (r.text or "").split()}
+
+
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
+    text = lambda n, k: " ".join(f"{n}{i}" for i in range(k))
+    rows = [(1, text("a", 40)), (1, text("b", 40)), (1, text("b", 40)), (None, text("c", 40)), (None, text("c", 40)), (None, text("d", 40)), (2, text("a", 40)), (3, text("e", 40)), (4, None), (None, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df, SF).collect()
+    assert sorted(r.text or "" for r in got) == sorted([text("a", 40), text("b", 40), text("c", 40), text("d", 40), text("e", 40), "", ""])
+    left = corpus_pipeline.substring_dedup(spark, spark.createDataFrame(got, df.schema), SF).collect()
+    assert sum(len((r.text or "").split()) for r in left) == 200
+    assert corpus_pipeline.best_fit(spark, spark.createDataFrame(left, df.schema), SF).where("doc_id is null").count() == 2
+    assert sum(r.doc_id is None for r in corpus_pipeline.quality(spark, df, SF).collect()) >= 0
