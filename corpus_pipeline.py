@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in four stages.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and works on all that the stage before kept. The first three return the
-columns of documents; the last returns the pieces and where they are packed. Rows without an id are dropped by the first stage;
-of rows that repeat an id, near-dedup keeps one.
+columns of documents; the last returns the pieces and where they are packed. Rows without an id, and rows that repeat one, are judged
+like any other: near-dedup tells them apart by their texts, and drops only equal and nearly equal ones.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import settle, small_batches
+from quarry.llm.common import drop, settle, small_batches
 from quarry.llm.packing import pack, pieces
 from quarry.llm.quality import classify
 from quarry.llm.simhash import near_groups
@@ -23,16 +23,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier does not reject."""
     small_batches(spark)
-    return classify(docs.where("doc_id is not null"), keep=COLUMNS[1:]).where("not rejected").select(*COLUMNS)
+    return classify(docs, keep=COLUMNS[1:]).where("not rejected").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near copies; texts without words are alone."""
-    gone = near_groups(docs).where("group_id <> doc_id").select("doc_id").distinct()
-    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone.unionByName(twice), "doc_id", "left_anti")
-    again = docs.join(twice.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(again).select(*COLUMNS)
+    """Keeps one document, that of the smallest id, of each group of near copies; texts without words are alone. Rows whose id is null or not their own go by a hash of id and text."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__d"), F.lit(True).alias("__odd"))
+    both = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    hashed = F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(2**63)))  # below all ids
+    keyed = both.select(F.when(F.col("__odd"), hashed).otherwise(F.col("doc_id")).alias("__key"), "__odd", *COLUMNS)
+    gone = near_groups(keyed, doc_id="__key").where("group_id <> doc_id").select(F.col("doc_id").alias("__key")).distinct()
+    kept = keyed.join(gone, "__key", "left_anti")
+    again = kept.where("__odd").dropDuplicates(["__key"])
+    return kept.where("__odd is null").unionByName(again).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        last, docs = docs, settle(stage(spark, docs, sf_dir), name)
+        drop(last)  # nothing is left to compute of it
     return STAGES[-1][1](spark, docs, sf_dir)
