@@ -78,11 +78,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_digests(events(rows.unionByName(more), "conv_id", "turn", F.lit(0), F.lit("message"), "role", "text"))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.fim import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents")).withColumn("restored", restored())
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op3_licenses, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op3_licenses, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat, op12_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
     from quarry.llm import sql
 
-    return {"op1_substring": sql.op1(), "op3_licenses": sql.op3(), "op6_urls": sql.op6(), "op7_vafile": sql.OP7, "op10_chat": sql.OP10}
+    return {"op1_substring": sql.op1(), "op3_licenses": sql.op3(), "op6_urls": sql.op6(), "op7_vafile": sql.OP7, "op10_chat": sql.OP10, "op12_fim": sql.OP12}
