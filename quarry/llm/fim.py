@@ -148,8 +148,10 @@ def fill_in_middle(df: DataFrame, plain: int = 10, spm: int = 20, seed: str = "1
 
 
 def restored(output: str = "output", form: str = "form", sentinels: tuple[str, ...] = SENTINELS) -> Column:
-    """The exact text, from output and form alone: parts hold no sentinel, so the marks cut the output into them."""
-    quote = lambda s: "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    part = F.split(F.col(output), "|".join(map(quote, sentinels)), -1)
-    at = lambda i: F.element_at(part, i)
-    return F.when(F.col(form) == "plain", F.col(output)).when(F.col(form) == "psm", F.concat(at(2), at(4), at(3))).otherwise(F.concat(at(3), at(4), at(2)))
+    """The exact text, from output and form alone: parts hold no sentinel, so each mark stands once and cuts the output."""
+    o, (p, s, m) = F.col(output), sentinels
+    cut = lambda c, mark, side: F.substring_index(c, mark, side)
+    middle = cut(o, m, -1)
+    psm = F.concat(cut(cut(o, s, 1), p, -1), middle, cut(cut(o, s, -1), m, 1))
+    spm = F.concat(cut(cut(o, p, -1), m, 1), middle, cut(cut(o, p, 1), s, -1))
+    return F.when(F.col(form) == "plain", o).when(F.col(form) == "psm", psm).otherwise(spm)
