@@ -85,11 +85,18 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.repair import damage, repair_report
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(rows, damage(rows))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op3_licenses, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat, op12_fim)}
+    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op3_licenses, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat, op12_fim, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
     from quarry.llm import sql
 
-    return {"op1_substring": sql.op1(), "op3_licenses": sql.op3(), "op6_urls": sql.op6(), "op7_vafile": sql.OP7, "op10_chat": sql.OP10, "op12_fim": sql.OP12}
+    return {"op1_substring": sql.op1(), "op3_licenses": sql.op3(), "op6_urls": sql.op6(), "op7_vafile": sql.OP7, "op10_chat": sql.OP10, "op12_fim": sql.OP12, "op13_repair": sql.OP13}

@@ -76,3 +76,27 @@ OP12 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coal
  f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
+#: Costs-to-go from the last turn to the first, then the walk; crc32 by a table of 256 sums.
+OP13 = """WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)) x),
+ raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM conversations),
+ k AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 20 AS c FROM raw CROSS JOIN tab),
+ h AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT * FROM k WHERE c <> 0 UNION ALL SELECT * FROM k WHERE c = 3) x),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS ini, regexp_replace(text, '[ \\x09-\\x0D]+$', '') AS bare FROM h),
+ f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o), g AS (SELECT *, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS m, fault IN ('blank', 'duplicate') AS must, lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM f),
+ z AS (SELECT DISTINCT conv_id, n FROM g),
+ back AS (SELECT conv_id, n + 1 AS i, [0, 4, 2, 0] AS c FROM z UNION ALL
+ SELECT conv_id, i, [least(b[1], 2 + least(b[3], 2 + b[4])), least(b[2], 2 + least(b[3], 2 + b[4])), least(b[3], 2 + b[4]), least(b[4], 2 + b[3])] FROM (SELECT g.conv_id, g.i, CASE WHEN must THEN list_transform(c, lambda x: x + 3) ELSE
+ [least(3 + c[1], 2 + m + c[3], CASE ini WHEN 's' THEN m + c[2] WHEN 'u' THEN m + c[3] ELSE 1000000000 END), least(3 + c[2], 2 + m + c[3], CASE ini WHEN 'u' THEN m + c[3] ELSE 1000000000 END), least(3 + c[3], 2 + m + c[4], CASE ini WHEN 'a' THEN m + c[4] ELSE 1000000000 END), least(3 + c[4], 2 + m + c[3], CASE ini WHEN 'u' THEN m + c[3] ELSE 1000000000 END)] END AS b FROM back JOIN g ON g.conv_id = back.conv_id AND g.i = back.i - 1) y),
+ costs AS (SELECT * FROM back),
+ w AS (SELECT conv_id, CAST(1 AS BIGINT) AS i, 0 AS s, '' AS audit, CAST(NULL AS VARCHAR) AS said, n FROM z UNION ALL
+ SELECT conv_id, CASE e WHEN 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN kept ELSE nxt END, audit || e,
+ CASE e WHEN 'D' THEN said ELSE coalesce(said || chr(10), '') || CASE e WHEN 'K' THEN role WHEN 'I' THEN gives ELSE gives END || ':' || CASE e WHEN 'I' THEN '' ELSE text END END, n
+ FROM (SELECT *, CASE WHEN i <= n AND 3 + d[s + 1] = c[s + 1] THEN 'D' WHEN 2 + c[nxt + 1] = c[s + 1] THEN 'I' WHEN NOT must AND kept IS NOT NULL AND m + d[kept + 1] = c[s + 1] THEN 'K' ELSE 'R' END AS e
+ FROM (SELECT w.*, CASE WHEN s = 2 THEN 3 ELSE 2 END AS nxt, CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END AS gives, CASE WHEN ini = 's' AND s = 0 THEN 1 WHEN ini = 'u' AND s IN (0, 1, 3) THEN 2 WHEN ini = 'a' AND s = 2 THEN 3 END AS kept, role, text, must, m, b.c AS c, a.c AS d
+ FROM w JOIN costs b ON b.conv_id = w.conv_id AND b.i = w.i LEFT JOIN costs a ON a.conv_id = w.conv_id AND a.i = w.i + 1 LEFT JOIN g ON g.conv_id = w.conv_id AND g.i = w.i WHERE w.i <= w.n OR b.c[w.s + 1] > 0) x) y),
+ done AS (SELECT conv_id, audit, said FROM w WHERE i = n + 1 AND [0, 4, 2, 0][s + 1] = 0),
+ t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (after IS NOT NULL AND ini || after NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(costs.c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON c.conv_id = t.conv_id LEFT JOIN done ON c.conv_id = done.conv_id LEFT JOIN costs ON c.conv_id = costs.conv_id AND costs.i = 1"""
