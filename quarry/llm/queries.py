@@ -78,6 +78,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_digests(events(rows.unionByName(more), "conv_id", "turn", F.lit(0), F.lit("message"), "role", "text"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.jaccard import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.fim import fill_in_middle, restored
 
@@ -93,7 +99,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op3_licenses, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat, op12_fim, op13_repair)}
+    return {f.__name__: f for f in (op1_substring, op2_sentencepiece, op3_licenses, op4_simhash, op5_media, op6_urls, op7_vafile, op8_packing, op9_quality, op10_chat, op11_jaccard, op12_fim, op13_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

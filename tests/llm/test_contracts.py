@@ -20,7 +20,7 @@ def duck():
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(lq.oracle_sql()))
