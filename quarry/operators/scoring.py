@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry import lexicon as lx
 from quarry.functions import text as tx
+from quarry.operators.fuzzy import best_team
 from quarry.operators.retrieval import expiry
 from quarry.operators.relational import latest
 
@@ -120,32 +121,6 @@ def candidates(pool: DataFrame, roles: DataFrame, project: str = "project_id") -
     return met.where((F.coalesce("months", F.lit(0)) >= F.coalesce("min_months", F.lit(0))) & ~(F.col("no_active") & (F.coalesce("active", F.lit(0)) > 0))).select(project, "slot", "role", "asset_id", F.coalesce("match_score", F.lit(0.0)).alias("score"))
 
 
-def assign(slots: list[int], options: dict[int, list[tuple[float, int]]]) -> dict[int, tuple[int, float]]:
-    """The team of most filled slots, then highest score, where a slot with a free candidate is never left empty (slots in order; ties to earlier candidates).
-
-    Best-first search over candidates sorted by score, with bounds on slots and score still reachable.
-    """
-    best: tuple[int, float, dict] = (-1, -1.0, {})
-    top = [max((s for s, _ in options.get(i, [])), default=0.0) for i in slots]
-    rest = [sum(top[k:]) for k in range(len(slots) + 1)]
-
-    def go(k: int, used: frozenset, team: dict, score: float) -> None:
-        nonlocal best
-        if (len(team) + len(slots) - k, score + rest[k]) <= best[:2]:
-            return
-        if k == len(slots):
-            best = (len(team), score, dict(team))
-            return
-        free = [(s, a) for s, a in options.get(slots[k], []) if a not in used]
-        for s, a in free:
-            go(k + 1, used | {a}, team | {slots[k]: (a, s)}, score + s)
-        if not free:
-            go(k + 1, used, team, score)
-
-    go(0, frozenset(), {}, 0.0)
-    return best[2]
-
-
 def team(found: DataFrame, roles: DataFrame, project: str = "project_id") -> DataFrame:
     """(project, slot, role, asset_id, score), asset_id null for roles that stay open. A project's slots and people are few; projects are the parallelism."""
     options = found.groupBy(project, "slot").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("asset_id").cast("long").alias("asset_id")))).alias("options"))
@@ -154,7 +129,7 @@ def team(found: DataFrame, roles: DataFrame, project: str = "project_id") -> Dat
     def solve(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("slot")
         given = {int(s): [(-o["o"], o["asset_id"]) for o in x] if x is not None else [] for s, x in zip(b["slot"], b["options"], strict=True)}
-        got = assign([int(s) for s in b["slot"]], given)
+        got = best_team([int(s) for s in b["slot"]], given)
         return pd.DataFrame({project: b[project], "slot": b["slot"], "role": b["role"], "asset_id": pd.array([got.get(int(s), (None,))[0] for s in b["slot"]], dtype="Int64"), "score": [got[int(s)][1] if int(s) in got else 0.0 for s in b["slot"]]})
 
     kinds = dict(roles.dtypes)
@@ -183,35 +158,6 @@ def stale_chapters(addenda: DataFrame, chapters: DataFrame, impacted: str = "imp
     return latest(chapters, [chapter], [F.desc(version)]).join(hit, chapter, "left").select("*", F.coalesce("__hit", F.lit(False)).alias("stale")).drop("__hit")
 
 
-def partial_ratio(needle: str, text: str) -> float:
-    """100 times the best similarity 2 M / (|a| + |b|) of the shorter string with an equally long window of the longer one (M: matching characters in order)."""
-    from difflib import SequenceMatcher
-
-    a, b = (needle, text) if len(needle) <= len(text) else (text, needle)
-    if not a:
-        return 0.0
-    m, best = SequenceMatcher(None, b, a, autojunk=False), 0.0
-    for block in m.get_matching_blocks():
-        start = max(0, block.a - block.b)
-        best = max(best, SequenceMatcher(None, b[start : start + len(a)], a, autojunk=False).ratio())
-    return 100 * best
-
-
-def unsupported(said: DataFrame, evidence: DataFrame, key: str, sentence: str = "content", text: str = "text", threshold: float = 88.0, least: int = 8) -> DataFrame:
-    """sentences of at least `least` characters that no evidence text of their key contains, or nearly (partial_ratio)."""
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)])
-
-    own = said.where(F.length(sentence) >= least).select(key, sentence, tx.squeezed(sentence).alias("__s")).distinct()
-    pool = evidence.select(key, tx.squeezed(text).alias("__e"))
-    # the cheap test first; only what no evidence contains goes to Python
-    plain = own.join(pool, key, "left").groupBy(key, sentence, "__s").agg(F.coalesce(F.bool_or(F.contains("__e", F.col("__s"))), F.lit(False)).alias("hit")).where("not hit")
-    near = plain.join(pool, key).withColumn("r", ratio("__s", "__e")).groupBy(key, sentence).agg(F.max("r").alias("r"))
-    return plain.join(near, [key, sentence], "left").where(F.coalesce("r", F.lit(0.0)) < threshold).select(key, sentence)
-
-
 def gates(df: DataFrame, least: float = 0.95) -> DataFrame:
     """status and reason from evidence_count, unsupported_count, mapped, total and must."""
     share = F.when(F.col("total") > 0, F.col("mapped") / F.col("total")).otherwise(0.0)

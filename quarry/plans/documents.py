@@ -11,6 +11,7 @@ from quarry.functions import text as tx
 from quarry.operators import chunking as ch
 from quarry.operators import extract as ex
 from quarry.operators import flows
+from quarry.operators import fuzzy as fz
 from quarry.operators import guard as gd
 from quarry.operators import retrieval as rt
 from quarry.operators import scoring as sc
@@ -398,10 +399,10 @@ def coverage_estimate(spark, d):
 
 @query()
 def fuzzy_gate(spark, d):
-    """sentences of benchmark items that no candidate document holds, or nearly."""
+    """sentences of benchmark items that none of the item's 24 hits holds, or nearly."""
     said = ex.sentences(table(spark, d, "benchmark"), "item_id", least=8).select("item_id", "content")
-    ev = _hits(spark, d).where("rank <= 3").select(F.col("query_id").alias("item_id"), "text")
-    return sc.unsupported(said, ev, "item_id")
+    ev = _hits(spark, d).select(F.col("query_id").alias("item_id"), "text")
+    return fz.unsupported(said, ev, "item_id")
 
 
 @query("""SELECT conv_id, string_agg(role || ':' || CAST(length(text) AS VARCHAR), ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id""")

@@ -40,40 +40,6 @@ def test_redline_and_readiness(spark):
     assert sorted(tuple(r) for r in sc.duration_findings(d, "k").collect()) == [(1, "MISMATCH"), (2, "INVALID_DATE"), (3, "REVERSED")]
 
 
-def test_assign_is_best():
-    rnd = random.Random(1)
-    for _ in range(100):
-        slots = list(range(rnd.randrange(1, 4)))
-        options = {s: sorted({(round(rnd.random(), 2), a) for a in rnd.sample(range(5), rnd.randrange(0, 4))}, reverse=True) for s in slots}
-
-        def teams(k, used):
-            if k == len(slots):
-                yield (0, 0.0)
-                return
-            free = [(s, a) for s, a in options[k] if a not in used]
-            for s, a in free:
-                for n, t in teams(k + 1, used | {a}):
-                    yield n + 1, t + s
-            if not free:
-                yield from teams(k + 1, used)
-
-        best = max(teams(0, frozenset()))
-        got = sc.assign(slots, options)
-        assert (len(got), round(sum(s for _, s in got.values()), 6)) == (best[0], round(best[1], 6))
-
-
-def test_partial_ratio():
-    assert sc.partial_ratio("abcdefgh", "xx abcdefgh yy") == 100
-    assert sc.partial_ratio("abcdefgh", "xx abcdxfgh yy") == 87.5
-    assert sc.partial_ratio("", "x") == 0
-
-
-def test_unsupported(spark):
-    said = spark.createDataFrame([(1, "the transformer is tested"), (1, "this is nowhere at all")], "k int, content string")
-    ev = spark.createDataFrame([(1, "note: The transformer is  tested daily")], "k int, text string")
-    assert [tuple(r) for r in sc.unsupported(said, ev, "k").collect()] == [(1, "this is nowhere at all")]
-
-
 def test_votes_triage_gates(spark):
     r = spark.createDataFrame([("k", 0, "PASS", 50.0, 0.9, ["a"]), ("k", 1, "fail", 90.0, 0.5, ["b", "a"]), ("m", 0, "", 1.0, 0.1, [])], "k string, idx int, status string, quality double, coverage double, issues array<string>")
     got = {x.k: (x.status, x.best, x.issues) for x in sc.vote(r, "k").collect()}
