@@ -30,22 +30,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import components, drop, settle
-from quarry.llm.simhash import shingles, words
+from quarry.llm.simhash import words
 
 #: Most frequent shingles that come last in the order; longest multi-match; members up to which a list is one cell; members of a cell.
 LATE, MOST, SMALL, CELL = 100_000, 4, 32, 2048
+#: Parities of the wide sketch, of sets of more than NARROW tokens; parities that may differ for a pair to be tried early (unlike texts: some 128).
+WIDE, NARROW, NEAR = 2048, 500, 100
 #: Needed documents up to which their ids are broadcast (some 15 MB).
 FEW = 200_000
 #: Postings that cost as much as the verification of a pair, and of a hundred shingles of it.
 PAIR, HUNDRED = 8, 4
 
 
+class Hashes(dict):
+    """XXH64 of words; it lives as long as a batch."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None, k: int, known: Hashes) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted: sums of its words' hashes times odd numbers, one for each place, mixed. Fewer words than k are one shingle."""
+    own = words(text or "")
+    if not own:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+    odd = _mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    if len(w) < k:
+        return _mixed(np.array([(w * odd[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))], np.uint64))
+    total = np.zeros(len(w) - k + 1, np.uint64)
+    for j in range(k):
+        total += w[j : len(w) - k + 1 + j] * odd[j]
+    return np.unique(_mixed(total))
+
+
+def _parities(x: np.ndarray, bits: int) -> bytes:
+    """For each of so many classes of tokens, whether an odd number of the set is in it."""
+    return np.packbits((np.bincount((x >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _prefix(x: np.ndarray, size: int, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first tokens of a sorted set in the order of all: by hash, and the late ones after all others by their places."""
+    early: list[np.ndarray] = []
+    late: list[tuple[np.ndarray, np.ndarray]] = []
+    at, found, step = 0, 0, 2 * size + 16
+    while at < len(x) and found < size:
+        part = x[at : at + step]
+        i = np.minimum(np.searchsorted(last, part), len(last) - 1)
+        is_late = last[i] == part
+        early.append(part[~is_late])
+        late.append((part[is_late], place[i[is_late]]))
+        at, found, step = at + step, found + len(early[-1]), 4 * step
+    head = np.concatenate(early)[:size] if early else x[:0]
+    if len(head) < size and late:
+        token, order = (np.concatenate(c) for c in zip(*late, strict=True))
+        head = np.concatenate([head, token[np.argsort(order)]])[:size]
+    return head
+
+
 def _counts(df: DataFrame, k: int, text: str) -> DataFrame:
     """(token, count) of shingles that several documents of a batch have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [np.unique(shingles(words(t.as_py() or ""), k)) for t in b.column(0)]
+            known = Hashes()
+            each = [shingle_set(t.as_py(), k, known) for t in b.column(0)]
             token, n = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
 
@@ -57,6 +113,8 @@ def _late(df: DataFrame, k: int, text: str) -> tuple[np.ndarray, np.ndarray]:
     found = _counts(df, k, text).orderBy(F.desc("n"), "token").limit(LATE).collect()  # bounded: 100,000 numbers
     token = np.array([r.token for r in found], np.int64).view(np.uint64)
     order = np.argsort(token)
+    if not len(token):  # one that no text has
+        return np.zeros(1, np.uint64), np.zeros(1, np.int64)
     return token[order], len(token) - order
 
 
@@ -66,30 +124,27 @@ def _least(n: np.ndarray | int, percent: int):
 
 
 def _rows(df: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, hi and lo (a name of the set), n, sketch (256 parities) and prefix of every row."""
+    """doc_id, hi and lo (a name of the set), n, sketch (256 parities), wide (more of them, for large sets) and prefix of every row."""
     late = df.sparkSession.sparkContext.broadcast(_late(df, k, text))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, place = late.value
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[] for _ in range(6)]
+            known = Hashes()
             for t in b.column(1):
-                x = np.unique(shingles(words(t.as_py() or ""), k))
+                x = shingle_set(t.as_py(), k, known)
                 n = len(x)
                 name = xxhash.xxh3_128_digest(x.tobytes())
-                parity = np.packbits((np.bincount((x >> np.uint64(20) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
-                at = np.minimum(np.searchsorted(last, x), max(0, len(last) - 1))
-                own = np.where(last[at] == x, place[at], 0) if len(last) else np.zeros(n, np.int64)
-                head = x[own == 0][: n - _least(n, percent) + MOST]
-                if len(head) < n - _least(n, percent) + MOST:
-                    head = np.concatenate([head, x[own > 0][np.argsort(own[own > 0])]])[: n - _least(n, percent) + MOST]
-                for c, v in zip(cols, (int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), n, parity, head.view(np.int64)), strict=True):
+                head = _prefix(x, n - _least(n, percent) + MOST, last, place).view(np.int64)
+                wide = _parities(x, WIDE) if n > NARROW else None
+                for c, v in zip(cols, (int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), n, _parities(x, 256), wide, head), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "hi", "lo", "n", "sketch", "prefix"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "hi", "lo", "n", "sketch", "wide", "prefix"])
 
     one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return one.mapInArrow(read, "doc_id long, hi long, lo long, n long, sketch binary, prefix array<long>")
+    return one.mapInArrow(read, "doc_id long, hi long, lo long, n long, sketch binary, wide binary, prefix array<long>")
 
 
 def _postings(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -129,6 +184,11 @@ def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def allowed(both: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that similar sets of together so many may have apart: shared >= percent * (both - shared) / 100."""
+    return both - 2 * -(-percent * both // (100 + percent))
+
+
 class Members:
     """The members of cells as arrays, in order of cell and size."""
 
@@ -139,14 +199,14 @@ class Members:
         self.node, self.root, self.need, self.level, self.side = (t.column(c).to_numpy()[order] for c in ("node", "root", "need", "level", "side"))
         self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)[order]
 
-    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def fits(self, i: np.ndarray, j: np.ndarray, most: int = 256) -> np.ndarray:
         """May these pairs be links that are not known? The parities that differ are at most the tokens that one of two sets has."""
         a, b = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
         ok = (self.cell[i] == self.cell[j]) & (self.root[i] != self.root[j]) & (100 * a >= self.percent * b)
         at = np.flatnonzero(ok)
         apart = np.bitwise_count(self.sketch[i[at]] ^ self.sketch[j[at]]).sum(axis=1, dtype=np.int64)
-        both = self.n[i[at]] + self.n[j[at]]  # shared >= percent * (both - shared) / 100
-        ok[at] = apart <= both - 2 * -(-self.percent * both // (100 + self.percent))
+        both = self.n[i[at]] + self.n[j[at]]
+        ok[at] = apart <= np.minimum(most, allowed(both, self.percent))
         return ok
 
     def pairs(self, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -160,7 +220,7 @@ def _few(m: Members) -> list[tuple[np.ndarray, np.ndarray]]:
     every, out = np.arange(len(m.cell)), []
     start = np.searchsorted(m.cell, m.cell)
     for i, j in ((every[:-1], every[1:]), (every[:-2], every[2:]), (start, every)):
-        ok = m.fits(i, j)
+        ok = m.fits(i, j, NEAR)
         out.append((i[ok], j[ok]))
     return out
 
@@ -216,7 +276,8 @@ def _sets(df: DataFrame, nodes: DataFrame, need: DataFrame, k: int, doc_id: str,
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [np.unique(shingles(words(t.as_py() or ""), k)).tobytes() for t in b.column(0)]
+            known = Hashes()
+            each = [shingle_set(t.as_py(), k, known).tobytes() for t in b.column(0)]
             names = [xxhash.xxh3_128_digest(x) for x in each]
             hi, lo = (pa.array([int.from_bytes(x[s], "big", signed=True) for x in names], pa.int64()) for s in (slice(0, 8), slice(8, 16)))
             yield pa.RecordBatch.from_arrays([hi, lo, pa.array(each, pa.binary())], ["hi", "lo", "hashes"])
@@ -225,6 +286,22 @@ def _sets(df: DataFrame, nodes: DataFrame, need: DataFrame, k: int, doc_id: str,
     return made.join(fit(want.select("node", "hi", "lo")), ["hi", "lo"]).select("node", "hashes").dropDuplicates(["node"])
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide sketches do not exclude them."""
+    own = lambda to: nodes.select(F.col("node").alias(to), F.struct("n", "wide").alias(f"w{to}"))
+
+    @F.arrow_udf("boolean")
+    def fit(x: pa.Array, y: pa.Array) -> pa.Array:
+        none = bytes(WIDE // 8)
+        p, q = (np.frombuffer(b"".join(v or none for v in c.field("wide").to_pylist()), np.uint64).reshape(len(c), -1) for c in (x, y))
+        both = x.field("n").to_numpy() + y.field("n").to_numpy()
+        return pa.array(np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= allowed(both, percent))
+
+    met = pairs.join(own("a"), "a").join(own("b"), "b")
+    large = F.col("wa.wide").isNotNull() & F.col("wb.wide").isNotNull()
+    return met.where(~large | fit("wa", "wb")).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar, in whole sets: 100 * shared >= percent * all."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
@@ -266,7 +343,7 @@ def _cells(postings: DataFrame) -> DataFrame:
 def similar_groups(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links, itself included) of every row."""
     rows = settle(_rows(df, k, percent, doc_id, text), "rows")
-    first = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    first = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
     nodes = settle(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
     postings, chosen = _postings(nodes, percent)
     traits = settle(nodes.select("node", "n", "sketch").join(chosen, "node"), "traits")
@@ -289,11 +366,12 @@ def similar_groups(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "
             cells = few(rooted(), "m") if turn == "few" else _cells(settle(rooted().drop("m"), "mixed"))
         met = _candidates(cells.join(traits.select("node", "n", "sketch", "need"), "node"), percent, turn == "all")
         enough = met.groupBy("a", "b", "need").agg(F.count("*").alias("shared")).where("shared >= need") if turn == "all" else met.select("a", "b").distinct()
-        pairs = settle(enough.select("a", "b"), "pairs")
+        may = settle(enough.select("a", "b"), "met")
+        pairs = settle(_possible(may, nodes, percent), "pairs")
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = settle(_sets(df, nodes, need, k, doc_id, text), "sets")
         fit = settle(_similar(pairs, sets, percent), "fit")
-        drop(sets, pairs)
+        drop(sets, pairs, may)
         if fit.isEmpty():
             continue
         found = fit if found is None else found.unionByName(fit)
