@@ -2,19 +2,22 @@
 
 A block of queries has a bounded number of them, so it is collected and broadcast; the rows stay where they are. A task scores its rows
 against the block with matrix products and keeps each query's k best, so that what is shuffled is k rows a query and task, however
-many rows share a term or direction with a query.
+many rows share a term or direction with a query. Of several blocks one is at hand at a time: its hits are written to the shared
+folder before the next is collected, and the rows are made once, so neither the plan nor the driver grows with the queries.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import shared_folder
+
 #: Decimal places to which scores are compared: sums in another order differ beyond.
 PLACES = 12
 
@@ -45,7 +48,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int, query: str, key: str, pr
     """(query, key, score): some k or more rows of each query among which its k best are.
 
     prepare makes of a block of query rows what a task scores with: a function of a record batch of `rows` (key first) that gives the
-    matrix of scores, a row per query. At most 2 * per_block queries are broadcast together.
+    matrix of scores, a row per query. At most some 2 * per_block queries are broadcast together.
     """
     blocks = max(1, -(-queries.count() // per_block))
     if blocks > 1:  # a hash deals about per_block to each
@@ -53,8 +56,15 @@ def search(queries: DataFrame, rows: DataFrame, k: int, query: str, key: str, pr
     kind = rows.select(key).schema[0].dataType.simpleString()
     schema = f"{query} {queries.select(query).schema[0].dataType.simpleString()}, {key} {kind}, score double"
 
+    spark, at = rows.sparkSession, ""
+    rows = rows.where(F.col(key).isNotNull())
+    if blocks > 1:
+        at = f"{shared_folder(spark)}/quarry-blocks-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{at}/rows")
+        rows = spark.read.parquet(f"{at}/rows")
+
     def one(block: list) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+        shared = spark.sparkContext.broadcast([tuple(r) for r in block])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, score = [r[0] for r in shared.value], prepare(shared.value)
@@ -68,10 +78,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int, query: str, key: str, pr
                 asked = pa.array([names[i] for i in best.q.tolist()])
                 yield pa.RecordBatch.from_arrays([asked, pa.array(best.key.tolist(), like), pa.array(best.score)], [query, key, "score"])
 
-        return rows.where(F.col(key).isNotNull()).mapInArrow(scan, schema)
+        return rows.mapInArrow(scan, schema)
 
-    found = [one((queries if blocks == 1 else queries.where(F.col("__b") == i).drop("__b")).collect()) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
+    if blocks == 1:
+        return one(queries.collect())
+    for i in range(blocks):
+        one(queries.where(F.col("__b") == i).drop("__b").collect()).write.mode("append").parquet(f"{at}/hits")
+    return spark.read.schema(schema).parquet(f"{at}/hits")
 
 
 def cosines(block: list) -> Callable:

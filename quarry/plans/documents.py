@@ -15,13 +15,14 @@ from quarry.operators import fuzzy as fz
 from quarry.operators import guard as gd
 from quarry.operators import retrieval as rt
 from quarry.operators import scoring as sc
+from quarry.operators import sparse_index as si
 from quarry.operators import structure as sx
 from quarry.plans.views import table, typed
 
 Q: dict = {}
 SQL: dict[str, str] = {}
 #: Columns whose type in SQL differs from the query's.
-TYPES: dict[str, dict[str, str]] = {"paragraph_blocks": {"block_no": "INTEGER", "chars": "INTEGER", "char_start": "BIGINT"}, "anchor_carry": {"block_no": "INTEGER"}, "section_assembly": {"first_block": "INTEGER"}, "table_islands": {"table_no": "INTEGER", "first_line": "INTEGER"}, "token_counts": {"tokens": "INTEGER"}, "token_slices": {"slice_no": "INTEGER"}, "top_keywords": {"rank": "INTEGER"}, "sparse_topk": {"rank": "INTEGER"}, "dense_topk": {"rank": "INTEGER"}, "hybrid_rrf": {"rank": "INTEGER"}, "lexical_rerank": {"rank": "INTEGER"}, "merge_coverage": {"position": "INTEGER"}, "risk_scan": {"start": "INTEGER"}, "digit_density": {"numbers": "INTEGER", "tokens": "INTEGER"}}
+TYPES: dict[str, dict[str, str]] = {"paragraph_blocks": {"block_no": "INTEGER", "chars": "INTEGER", "char_start": "BIGINT"}, "anchor_carry": {"block_no": "INTEGER"}, "section_assembly": {"first_block": "INTEGER"}, "table_islands": {"table_no": "INTEGER", "first_line": "INTEGER"}, "token_counts": {"tokens": "INTEGER"}, "token_slices": {"slice_no": "INTEGER"}, "top_keywords": {"rank": "INTEGER"}, "sparse_topk": {"rank": "INTEGER"}, "indexed_topk": {"rank": "INTEGER"}, "dense_topk": {"rank": "INTEGER"}, "hybrid_rrf": {"rank": "INTEGER"}, "lexical_rerank": {"rank": "INTEGER"}, "merge_coverage": {"position": "INTEGER"}, "risk_scan": {"start": "INTEGER"}, "digit_density": {"numbers": "INTEGER", "tokens": "INTEGER"}}
 
 
 def query(sql: str | None = None):
@@ -184,6 +185,14 @@ def sparse_topk(spark, d):
     return hits.withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score", "rank")
 
 
+@query(f"WITH {_SPARSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sp WHERE rank <= 10")
+def indexed_topk(spark, d):
+    """C2, C6 over a stored index with block maxima: what sparse_topk gives."""
+    index = si.build(docs(spark, d).withColumnRenamed("doc_id", "chunk_id"))
+    hits = si.top_k(rt.sparse_vectors(_items(spark, d), "query_id", "query"), index, 10)
+    return hits.withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score", "rank")
+
+
 _DENSE = """de AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))) AS score FROM embeddings q CROSS JOIN embeddings v WHERE __ASKED__),
  dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM de)"""
 
