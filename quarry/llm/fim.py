@@ -131,8 +131,11 @@ def _udf(sentinels: tuple[str, ...]):
 def fill_in_middle(df: DataFrame, plain: int = 10, spm: int = 20, seed: str = "1", sentinels: tuple[str, ...] = SENTINELS, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n (units), form (plain, psm or spm), prefix_chars, middle_chars (null if plain), output, and the columns to keep.
 
-    plain: percent of texts left as they are; spm: percent of the others with the suffix first.
+    plain: percent of texts left as they are; spm: percent of the others with the suffix first. A sentinel's first character may stand nowhere
+    else in a sentinel, so that text and marks together make no other mark.
     """
+    if any(c in s[1:] for c in {s[:1] for s in sentinels} for s in sentinels) or "" in sentinels or len(set(sentinels)) < 3:
+        raise ValueError("sentinels must differ, and the first character of one may stand nowhere else in them")
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 256)
     group = lambda i: F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("long")
     own = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"), h.alias("__h"), *keep)

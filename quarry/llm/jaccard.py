@@ -21,7 +21,7 @@ columns of df are not read, so no name clashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, drop, settle
-from quarry.llm.simhash import words
+from quarry.llm.common import components, drop, settle, words
 
 #: Most frequent shingles that come last in the order; longest multi-match; members up to which a list is one cell; members of a cell.
 LATE, MOST, SMALL, CELL = 100_000, 4, 32, 2048
@@ -95,26 +94,20 @@ def _prefix(x: np.ndarray, size: int, last: np.ndarray, place: np.ndarray) -> np
     return head
 
 
-def _counts(df: DataFrame, k: int, text: str) -> DataFrame:
-    """(token, count) of shingles that several documents of a batch have."""
+def _late(df: DataFrame, sets: Callable[[pa.RecordBatch], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that come last, sorted, and their places among each other (from 1, by frequency): those that several sets of a batch have, counted over all batches."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = Hashes()
-            each = [shingle_set(t.as_py(), k, known) for t in b.column(0)]
-            token, n = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets(b)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
 
-    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def _late(df: DataFrame, k: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens that come last, sorted, and their places among each other (from 1, by frequency)."""
-    found = _counts(df, k, text).orderBy(F.desc("n"), "token").limit(LATE).collect()  # bounded: 100,000 numbers
+    counts = df.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "token").limit(LATE).collect()  # bounded: 100,000 numbers
+    if not found:  # one that no set has
+        return np.zeros(1, np.uint64), np.zeros(1, np.int64)
     token = np.array([r.token for r in found], np.int64).view(np.uint64)
     order = np.argsort(token)
-    if not len(token):  # one that no text has
-        return np.zeros(1, np.uint64), np.zeros(1, np.int64)
     return token[order], len(token) - order
 
 
@@ -123,28 +116,38 @@ def _least(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
+def _described(x: np.ndarray, percent: int, last: np.ndarray, place: np.ndarray) -> tuple:
+    """Of a sorted set: n, sketch, wide (for large sets) and prefix."""
+    n = len(x)
+    return n, _parities(x, 256), _parities(x, WIDE) if n > NARROW else None, _prefix(x, n - _least(n, percent) + MOST, last, place).view(np.int64)
+
+
+DESCRIBED = ("n", "sketch", "wide", "prefix")
+DESCRIBED_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+DESCRIBED_SCHEMA = "n long, sketch binary, wide binary, prefix array<long>"
+
+
 def _rows(df: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, hi and lo (a name of the set), n, sketch (256 parities), wide (more of them, for large sets) and prefix of every row."""
-    late = df.sparkSession.sparkContext.broadcast(_late(df, k, text))
+
+    def sets(b: pa.RecordBatch) -> list[np.ndarray]:
+        known = Hashes()
+        return [shingle_set(t.as_py(), k, known) for t in b.column(1)]
+
+    one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    late = df.sparkSession.sparkContext.broadcast(_late(one, sets))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, place = late.value
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            known = Hashes()
-            for t in b.column(1):
-                x = shingle_set(t.as_py(), k, known)
-                n = len(x)
+            rows = []
+            for x in sets(b):
                 name = xxhash.xxh3_128_digest(x.tobytes())
-                head = _prefix(x, n - _least(n, percent) + MOST, last, place).view(np.int64)
-                wide = _parities(x, WIDE) if n > NARROW else None
-                for c, v in zip(cols, (int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), n, _parities(x, 256), wide, head), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "hi", "lo", "n", "sketch", "wide", "prefix"])
+                rows.append((int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), *_described(x, percent, *late.value)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), *DESCRIBED_KINDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "hi", "lo", *DESCRIBED])
 
-    one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return one.mapInArrow(read, "doc_id long, hi long, lo long, n long, sketch binary, wide binary, prefix array<long>")
+    return one.mapInArrow(read, f"doc_id long, hi long, lo long, {DESCRIBED_SCHEMA}")
 
 
 def _postings(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -302,7 +305,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.where(~large | fit("wa", "wb")).select("a", "b")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
     """The pairs that are similar, in whole sets: 100 * shared >= percent * all."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
@@ -311,7 +314,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for t in batches:
             ok = []
             for x, y in zip(t.column("x"), t.column("y"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                p, q = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -340,14 +343,13 @@ def _cells(postings: DataFrame) -> DataFrame:
     return dealt.select(*[c for c in postings.columns if c != "token"], F.inline(places))
 
 
-def similar_groups(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links, itself included) of every row."""
-    rows = settle(_rows(df, k, percent, doc_id, text), "rows")
-    first = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
-    nodes = settle(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
+def links(nodes: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame], found: DataFrame | None = None, roots: DataFrame | None = None, turns: tuple[str, ...] = ("favourite", "few", "all"), kind: str = "<u8") -> tuple[DataFrame | None, DataFrame | None]:
+    """Pairs (a, b) of similar nodes, which connect all that such pairs connect, and the components (node, root) they make; found and roots: what is known before.
+
+    nodes: node, n, sketch, wide, prefix; sets_of gives (node, hashes) of the nodes it is given.
+    """
     postings, chosen = _postings(nodes, percent)
     traits = settle(nodes.select("node", "n", "sketch").join(chosen, "node"), "traits")
-    found = roots = None
 
     def rooted() -> DataFrame:
         """Postings of lists that hold different components, with the list's length."""
@@ -359,7 +361,7 @@ def similar_groups(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "
         """A long list goes in blocks by hash: rows are few then, and what they miss the last round finds."""
         return df.withColumns({"cell": F.xxhash64("token", F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col(size), F.lit(1)) / CELL))), "side": F.lit(2)}).drop("token", size)
 
-    for turn in ("favourite", "few", "all"):
+    for turn in turns:
         if turn == "favourite":
             cells = few(traits.select(F.col("favourite").alias("token"), "others", "node").withColumns({"level": F.lit(1), "root": F.col("node")}), "others")
         else:
@@ -369,13 +371,38 @@ def similar_groups(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "
         may = settle(enough.select("a", "b"), "met")
         pairs = settle(_possible(may, nodes, percent), "pairs")
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = settle(_sets(df, nodes, need, k, doc_id, text), "sets")
-        fit = settle(_similar(pairs, sets, percent), "fit")
+        sets = settle(sets_of(need), "sets")
+        fit = settle(_similar(pairs, sets, percent, kind), "fit")
         drop(sets, pairs, may)
         if fit.isEmpty():
             continue
         found = fit if found is None else found.unionByName(fit)
         roots = components(found).select("node", "root")
+    return found, roots
+
+
+def described(sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """What links() takes of sets (node, hashes: sorted numbers of that kind)."""
+
+    def read_sets(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), kind).astype(np.uint64) for x in b.column(1)]
+
+    late = sets.sparkSession.sparkContext.broadcast(_late(sets.select("node", "hashes"), read_sets))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(zip(*(_described(x, percent, *late.value) for x in read_sets(b)), strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, DESCRIBED_KINDS, strict=True)]], ["node", *DESCRIBED])
+
+    return sets.select("node", "hashes").mapInArrow(read, f"node long, {DESCRIBED_SCHEMA}")
+
+
+def similar_groups(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable by links, itself included) of every row."""
+    rows = settle(_rows(df, k, percent, doc_id, text), "rows")
+    first = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
+    nodes = settle(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    _, roots = links(nodes, percent, lambda need: _sets(df, nodes, need, k, doc_id, text))
     tied = nodes.select("node", "hi", "lo", "rep")
     tied = tied.withColumn("root", F.col("node")) if roots is None else tied.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -14,28 +14,22 @@ ids only has a null component; repeated rows and ties link as equal fingerprints
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, drop, settle
+from quarry.llm.common import components, drop, settle, words
+from quarry.llm.jaccard import described, links as prefix_links
 
 WIDTHS = (13, 13, 13, 13, 12)
 #: Fingerprints under one key beyond which the key is cut up.
 LARGE = 4096
 
 
-def words(text: str) -> list[bytes]:
-    """Runs of bytes other than ASCII white space, A-Z lower-cased (bytes.lower and bytes.split know ASCII only)."""
-    return text.encode().lower().split()
-
-
 def shingles(own: list[bytes], k: int) -> np.ndarray:
     """XXH64 (seed 42) of each k consecutive words joined by spaces, as unsigned integers; of all words if there are fewer; none without words."""
     if not own:
@@ -207,12 +201,10 @@ def near_duplicates(df: DataFrame, k: int = 3, most: int = 3, doc_id: str = "doc
 PART, PARTS, LOOSE = 5, 32, 26
 #: Members of a part's group up to which all pairs are tried at once.
 SMALL = 24
-#: Bytes of the sets of larger groups' members that are compared with each other, or with those of another block, at once.
-BLOCK = 2_000_000
 
 
 def sketches(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (of all distinct shingles), whole (a 64-bit name of the set), hashes (the set, 32 bits each, sorted) and parts of every row with words.
+    """doc_id, fp (of all distinct shingles), whole (a 128-bit name of the set), hashes (the set, 32 bits each, sorted) and parts of every row with words.
 
     Shingles are dealt by hash over 2^f and 2^(f+1) parts (small sets: 2^(f+2), too), f such that a part has about PART of them, and a
     part's SimHash is indexed. Two sets of similarity 0.8 share a fineness and, but for one pair in many thousands, an equal part.
@@ -236,12 +228,12 @@ def sketches(df: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "tex
                     sim = majority(x[order][: ends[-1]], np.diff(np.append(cuts, ends[-1])).tolist())
                     # the key says which fineness and part
                     keys += [((sim * np.uint64(0x9E3779B97F4A7C15)) ^ (own[cuts] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(f))).view(np.int64)]
-                rows.append((doc, int(majority(x, [len(x)]).view(np.int64)[0]), xxhash.xxh64_intdigest(x.tobytes()) - 2**63, np.unique((x >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes(), np.concatenate(keys)))
+                rows.append((doc, int(majority(x, [len(x)]).view(np.int64)[0]), xxhash.xxh3_128_digest(x.tobytes()), np.unique((x >> np.uint64(32)).astype(np.uint32)).astype("<u4").tobytes(), np.concatenate(keys)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "fp", "whole", "hashes", "parts"])
 
-    return one.mapInArrow(sketch, "doc_id long, fp long, whole long, hashes binary, parts array<long>")
+    return one.mapInArrow(sketch, "doc_id long, fp long, whole binary, hashes binary, parts array<long>")
 
 
 def _candidates(index: DataFrame) -> DataFrame:
@@ -249,7 +241,7 @@ def _candidates(index: DataFrame) -> DataFrame:
 
     Pairs a, b of ids that meet under a key and whose whole fingerprints pass the chain's budgets for LOOSE bits: all of them in groups
     of up to SMALL; in larger ones each with the first and with the one before it in order of fingerprints. And the members of these
-    larger groups, with b null, for the next round.
+    larger groups, with b null.
     """
     near = index.repartition("key").sortWithinPartitions("key", "doc_id")
 
@@ -302,81 +294,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(judge, "a long, b long")
 
 
-def _cross(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids, of sets at least that similar, that connect all roots such pairs connect: of side 0 with side 1, or with each other if there is no side 1."""
-    doc, side = t.column("doc_id").to_numpy(), t.column("side").to_numpy()
-    each = [np.frombuffer(x, "<u4") for x in t.column("hashes").to_pylist()]
-    size = np.array([len(x) for x in each])
-    ends = np.cumsum(size)
-    starts = ends - size
-    ids = np.unique(np.concatenate(each), return_inverse=True)[1]
-    root = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
-    mark, found = np.zeros(ids.max() + 1, np.int32), []
-    for p in np.flatnonzero(side == 0).tolist():
-        other = root != root[p]
-        other &= side == 1 if side.any() else np.arange(len(doc)) > p
-        if not other.any():
-            continue
-        mark[ids[starts[p] : ends[p]]] = 1
-        both = np.add.reduceat(mark[ids], starts)
-        mark[ids[starts[p] : ends[p]]] = 0
-        hit = np.flatnonzero(other & (both >= similarity * (size + size[p] - both)))
-        if len(hit):
-            met, first = np.unique(root[hit], return_index=True)
-            found += [(doc[p], doc[q]) for q in hit[first]]
-            root[np.isin(root, met)] = root[p]
-    a, b = np.array(found, np.int64).reshape(-1, 2).T
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _crossings(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of crowd (key, doc_id, root) and sets (doc_id, hashes): pairs (a, b) at least that similar, which connect all roots that such pairs under one key connect.
-
-    No pair of different roots is left out but by size: members are dealt into bands of sizes, of which similar sets have the same or
-    neighbouring ones, and in a band by hash into blocks of about BLOCK bytes. Each block meets itself and those of its band and of the next.
-    """
-    width = math.log(1.0001 / max(similarity, 0.01))  # a little wide: rounding must not part a pair by two bands
-    sized = sets.select("doc_id", F.octet_length("hashes").alias("bytes"), F.floor(F.log(F.octet_length("hashes") / 4) / width).alias("band"))
-    own = settle(crowd.join(sized, "doc_id"), "crowd")
-    bands = own.groupBy("key", "band").agg(F.ceil(F.sum("bytes") / BLOCK).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").drop("lo", "hi")
-    count = lambda step: F.try_element_at("n", F.col("band") + step)
-    dealt = own.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("doc_id"), count(0)))
-    at, one = F.col("at"), lambda band, step, i, j, side: F.struct(F.concat_ws("|", "key", band, F.lit(step), i, j).alias("cell"), side.cast("int").alias("side"))
-    to = lambda step, f: F.coalesce(F.transform(F.sequence(F.lit(0).cast("long"), count(step) - 1), f), F.array())
-    same = to(0, lambda j: one(F.col("band"), 0, F.least(at, j), F.greatest(at, j), at > j))
-    ahead = to(1, lambda j: one(F.col("band"), 1, at, j, F.lit(0)))
-    back = to(-1, lambda j: one(F.col("band") - 1, 1, j, at, F.lit(1)))
-    cells = dealt.select("doc_id", "root", F.inline(F.concat(same, ahead, back)))
-    # cells whose members have one root have nothing to test
-    some = cells.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    full = cells.join(some, "cell", "left_semi").join(sets, "doc_id").select("cell", "doc_id", "root", "side", "hashes")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in _and_end(batches):
-            runs = [] if b is None else pc.run_end_encode(b.column("cell"))
-            names, ends = ([None], [0]) if b is None else (runs.values.to_pylist(), runs.run_ends.to_pylist())
-            start = 0
-            for name, end in zip(names, ends, strict=True):
-                if name != now and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _cross(pa.Table.from_batches(held), similarity)], ["a", "b"])
-                    held = []
-                if b is not None:
-                    held.append(b.slice(start, end - start))
-                now, start = name, end
-
-    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long")
-
-
-def near_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, group_id): group_id is the smallest id of the row's group, its own if it is alone; rows without words have none.
 
     Groups are connected by pairs whose sets of k-word shingles have at least that Jaccard similarity. Equal sets are one node.
     Candidates share the SimHash of a part and pass the pigeonring chain; each is then checked exactly. In a part's group of over
-    SMALL documents each is first tried with the group's first and with its neighbour in order of fingerprints; then, for up to
-    `rounds` rounds and while new links appear, so is one document of each component that the group still holds. These rounds only
-    save work: at last all members of such a group that are still in different components are compared, without the chain.
+    SMALL documents each is tried with the group's first and with its neighbour in order of fingerprints; members of such groups that are in
+    different components after that are joined exactly, by adaptive prefixes of their sets, so a part that unlike documents share costs no more
+    than the rare shingles they share.
     """
     own = settle(sketches(df, k, doc_id, text), "sketches")
     # settled apart from the join below, so that a hot set's side of it can be split
@@ -385,37 +310,21 @@ def near_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, rounds: int
     one = own.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     index = one.select("doc_id", "fp", F.explode(F.array_distinct("parts")).alias("key"))
     sets = own.select("doc_id", "hashes")
-    found = roots = large = crowd = None
-    for r in range(rounds):
-        if r:
-            # one document of each component so far, under the keys of any of its members
-            own_root = large.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            index = own_root.groupBy("key", "root").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("key", "m.doc_id", "m.fp")
-        met = settle(_candidates(index), "met")
-        large = met.where("b is null").select("key", F.col("a").alias("doc_id"), "fp")
-        crowd = large if crowd is None else crowd
-        pairs = settle(met.where("a <> b").select("a", "b").distinct(), "pairs")
-        need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        few_sets = settle(sets.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-        fit = settle(_similar(pairs, few_sets, similarity), "fit")
-        drop(few_sets, pairs)
-        found = fit if found is None else found.unionByName(fit)
-        if r and fit.isEmpty():
-            break
-        roots = components(found)
-    # near copies share most keys, so a few of these connect what the others then need not compare
-    few = F.pmod(F.xxhash64("key"), F.lit(16)) == 0
-    for part in (few, ~few):
-        left = crowd.where(part).select("key", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        left = settle(left.join(mixed, "key", "left_semi"), "left")
-        if left.isEmpty():
-            continue
-        few_sets = settle(sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-        fit = settle(_crossings(left, few_sets, similarity), "fit")
-        drop(few_sets, left)
-        if not fit.isEmpty():
-            found = found.unionByName(fit)
-            roots = components(found)
+    met = settle(_candidates(index), "met")
+    crowd = met.where("b is null").select("key", F.col("a").alias("doc_id"))
+    pairs = settle(met.where("a <> b").select("a", "b").distinct(), "pairs")
+    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    few_sets = settle(sets.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    found = settle(_similar(pairs, few_sets, similarity), "fit")
+    drop(few_sets, pairs)
+    roots = components(found)
+    # members of large groups that are in different components still: all their links, by exact prefixes of their sets
+    left = crowd.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = settle(left.join(mixed, "key", "left_semi").select("doc_id").distinct(), "left")
+    if not rest.isEmpty():
+        crowd_sets = settle(sets.join(rest, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "hashes"), "sets")
+        nodes = settle(described(crowd_sets, round(100 * similarity), "<u4"), "nodes")
+        _, roots = prefix_links(nodes, round(100 * similarity), lambda need: crowd_sets.join(need, "node"), found, roots, ("few", "all"), "<u4")
     group = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return group.select("doc_id", F.coalesce("root", "rep").alias("group_id"))

@@ -75,3 +75,11 @@ def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
     assert sum(len((r.text or "").split()) for r in left) == 200
     assert corpus_pipeline.best_fit(spark, spark.createDataFrame(left, df.schema), SF).where("doc_id is null").count() == 2
     assert sum(r.doc_id is None for r in corpus_pipeline.quality(spark, df, SF).collect()) >= 0
+
+
+def test_pipeline_takes_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    more = docs.selectExpr("*", "1 as __d", "true as __odd", "2 as __key", "3 as __text", "'x' as k_text", "'y' as votes", "4 as score", "5 as root")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        a, b = (sorted(map(str, stage(spark, d, SF).collect())) for d in (docs, more))
+        assert a == b, name

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import queries as lq
-from quarry.llm import chat, licenses, media, packing, quality, simhash, substring, tokens, urls, vafile
+from quarry.llm import chat, jaccard, licenses, media, packing, quality, simhash, substring, tokens, urls, vafile
 from quarry.llm.common import components
 
 
@@ -192,11 +192,33 @@ def test_near_groups_around_one_original(spark, monkeypatch):
     assert len(near) == 393 and sum(like(sets[i], sets[j]) for i in near[:100] for j in near[:100] if i < j) < 200
     want = {i: min(near) if i in near else i for i in range(400)}
     df = spark.createDataFrame(list(enumerate(docs)), EMPTY).repartition(3)
-    for block in (2_000_000, 30_000):
-        monkeypatch.setattr(simhash, "BLOCK", block)
+    for small, cell in ((32, 2048), (2, 20)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        monkeypatch.setattr(jaccard, "CELL", cell)
         assert {r.doc_id: r.group_id for r in simhash.near_groups(df).collect()} == want
 
 
+def test_near_groups_recall(spark):
+    """At sf0.1, of all pairs of different texts at a similarity of 0.8 or more (by an exact prefix join) nine in ten or more are in one group, and equal texts always."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: frozenset(simhash.shingles(simhash.words(r.text or ""), 5).tolist()) for r in rows}
+    first, held, pairs = {}, {}, []
+    for doc in sorted(sets):
+        s = sets[doc]
+        if not s or first.setdefault(s, doc) != doc:
+            continue
+        tokens = sorted(s)[: len(s) - -(-len(s) * 8 // 10) + 1]
+        for other in {d for t in tokens for d in held.get(t, ())}:
+            both = len(s & sets[other])
+            if 10 * both >= 8 * (len(s) + len(sets[other]) - both):
+                pairs.append((other, doc))
+        for t in tokens:
+            held.setdefault(t, []).append(doc)
+    group = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(rows).repartition(8)).collect()}
+    assert len(pairs) >= 40 and sum(group[a] == group[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(group[d] == group[first[s]] for d, s in sets.items() if s)
+
+
 MIT = """Permission is hereby granted, free of charge, to any
   person obtaining a copy of this software and
   associated documentation files (the "Software"), to deal"""
