@@ -23,11 +23,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier does not reject."""
     small_batches(spark)
-    return classify(docs, keep=COLUMNS[1:]).where("not rejected").select(*COLUMNS)
+    return classify(docs.select(*COLUMNS), keep=COLUMNS[1:]).where("not rejected").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near copies; texts without words are alone. Rows whose id is null or not their own go by a hash of id and text."""
+    docs = docs.select(*COLUMNS)  # other columns may have names of ours
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__d"), F.lit(True).alias("__odd"))
     both = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     hashed = F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(2**63)))  # below all ids
