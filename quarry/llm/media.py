@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,12 +128,14 @@ def laces(data: bytes, at: int, end: int, flags: int) -> list[tuple[int, int]]:
             at += k
             sizes.append(v if not i else sizes[-1] + v - (top >> 1))
     else:
+        if (end - at) % n:
+            raise ValueError("laces of unequal size")
         sizes = [(end - at) // n] * (n - 1)
     out = []
     for size in sizes:
         out.append((at, at + size))
         at += size
-    if at > end or min(sizes, default=0) < 0 or kind == 4 and (end - out[0][0]) % n:
+    if at > end or min(sizes, default=0) < 0:
         raise ValueError("laces beyond the block")
     return [*out, (at, end)]
 
@@ -142,7 +144,7 @@ NUMBERS = {NUMBER: "number", KIND: "kind", EACH: "each", CHANNELS: "channels", D
 
 
 def demux(data: bytes) -> dict:
-    """tracks: number to {codec, rate, depth, …}; packets: (track, ms, keyframe, start, end) in file order; cues: (ms, track, cluster's byte); error: why reading broke off, or None."""
+    """tracks: number to {codec, rate, depth, …}; packets: (track, ms, keyframe, start, end) in file order; cues: (ms, track, cluster's byte); error: what is wrong first, or None. A broken block loses its own frames only; a broken element ends the reading."""
     out: dict = {"tracks": {}, "packets": [], "cues": [], "error": None}
     state = {"scale": 1_000_000, "time": 0, "segment": 0}
 
@@ -153,6 +155,8 @@ def demux(data: bytes) -> dict:
 
     def block(a: int, b: int, key: bool | None, lasts: int | None = None) -> None:
         track, k, _ = _number(data, a)
+        if a + k + 3 + bool(data[a + k + 2] & 6) > b:
+            raise ValueError("block without a head")
         (delta,) = struct.unpack_from(">h", data, a + k)
         flags = data[a + k + 2]
         own = laces(data, a + k + 3, b, flags)
@@ -167,6 +171,12 @@ def demux(data: bytes) -> dict:
             if x == BLOCK:
                 block(s, e, all(y != REFERS for y, *_ in own), lasts[0] if lasts else None)
 
+    def tried(read: Callable, *args) -> None:
+        try:
+            read(*args)
+        except (ValueError, IndexError, struct.error) as e:
+            out["error"] = out["error"] or str(e) or "broken block"
+
     def walk(at: int, end: int, of: dict, depth: int = 0) -> None:
         if depth > DEEPEST:
             raise ValueError("nested too deeply")
@@ -180,13 +190,13 @@ def demux(data: bytes) -> dict:
                 walk(a, b, own, depth + 1)
                 out["cues"].append((own.get("ms", 0), own.get("track", 0), own.get("cluster", 0) + state["segment"]))
             elif x == GROUP:
-                group(a, b)
+                tried(group, a, b)
             elif x in MASTERS:
                 if x == SEGMENT:
                     state["segment"] = a
                 walk(a, b, of, depth + 1)
             elif x == SIMPLE:
-                block(a, b, None)
+                tried(block, a, b, None)
             elif x == TIME:
                 state["time"] = whole(a, b)
             elif x == SCALE:
@@ -203,7 +213,7 @@ def demux(data: bytes) -> dict:
             raise ValueError("no EBML header")
         walk(0, len(data), {})
     except (ValueError, IndexError, struct.error) as e:
-        out["error"] = str(e)
+        out["error"] = out["error"] or str(e)
     return out
 
 
@@ -240,7 +250,7 @@ def encode_media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
 
 def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """What a column of Matroska files holds: payload (the packets' bytes in order) as its size, digest and tail checksum, the file's size and digest, and features of the samples."""
+    """What a column of Matroska files holds: payload (the packets' bytes in order) as its size, digest and tail checksum, the file's size and digest, and features of the samples. Where the file is broken there is an error and no payload."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
     types = ["long", "string", "long", "long", "string", "string", "string"]
     one = df.select(*keep, F.col(media).alias("__media"))
@@ -253,6 +263,9 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
                 data = m.as_py() or b""
                 got = demux(data)
                 payload = b"".join([data[s:e] for _, _, _, s, e in got["packets"]])
+                if got["error"]:
+                    rows.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, got["error"]))
+                    continue
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(np.frombuffer(payload, np.uint8), len(got["packets"]), len(got["cues"])), got["error"]))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             kinds = {"long": pa.int64(), "string": pa.string()}

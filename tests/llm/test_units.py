@@ -79,6 +79,31 @@ def test_frame_times():
         assert got["error"] is None and [p[1:3] for p in got["packets"]] == [(105.0 + i * step, key) for i in range(3)]
 
 
+def test_laces_of_any_kind_and_number():
+    """Blocks of one to five frames in every lacing are read, with the blocks around them; a broken block between loses its own frames only."""
+    rnd = random.Random(11)
+    head = lambda flags: b"\x81" + struct.pack(">h", 0) + bytes([flags])
+    file = lambda blocks: media.element(media.EBML, b"") + media.element(media.SEGMENT, media.element(media.CLUSTER, media.uint(media.TIME, 1) + b"".join(media.element(media.SIMPLE, b) for b in blocks)))
+    read = lambda data: [data[s:e] for *_, s, e in media.demux(data)["packets"]]
+    for _ in range(300):
+        n, kind = rnd.randrange(1, 6), rnd.choice([2, 4, 6])
+        frames = [rnd.randbytes(rnd.randrange(0, 700)) for _ in range(n)]
+        if kind == 4:
+            frames = [rnd.randbytes(len(frames[0])) for _ in range(n)]
+        sizes = b""
+        if kind == 2:
+            sizes = b"".join(b"\xff" * (len(f) // 255) + bytes([len(f) % 255]) for f in frames[:-1])
+        elif kind == 6 and n > 1:
+            sizes = media.vint(len(frames[0])) + b"".join(struct.pack(">H", 0x4000 + 0x1FFF + len(b) - len(a)) for a, b in zip(frames, frames[1:-1], strict=False))
+        block = head(0x80 | kind) + bytes([n - 1]) + sizes + b"".join(frames)
+        around = [head(0x80) + b"before", head(0x80) + b"after"]
+        data = file([around[0], block, around[1]])
+        assert media.demux(data)["error"] is None and read(data) == [b"before", *frames, b"after"]
+        bad = rnd.choice([head(0x84) + b"\x02" + b"xxxx", head(0x82) + b"\x01\xff", head(0x82) + b"\x01\x09abc", head(0x86) + b"\x02\x88", head(0x86), b"\x81", b""])
+        data = file([around[0], bad, block, around[1]])
+        assert media.demux(data)["error"] and read(data) == [b"before", *frames, b"after"]
+
+
 def test_escape():
     for t in ("", "\\", "<|im_end|>", "\\<|", "<<||", "a\\nb", "<\\|x", "line\nline"):
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
