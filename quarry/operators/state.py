@@ -42,13 +42,37 @@ def _folded(df: DataFrame, key: Sequence[str], order: Sequence[str], fields: Seq
     return near.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in (*key, *order)] + [f"`{m[0]}` {m[1]}" for m in made]))
 
 
+def spend(left: int | None, a: int | None) -> tuple[int | None, bool | None]:
+    """H1: what is left after a request, and whether it is accepted."""
+    ok = None if left is None or a is None else a <= left
+    return (left - a if ok else left), ok
+
+
+def hit(state: tuple, at: int | None, micros: int) -> tuple:
+    """H3 from the first hit: (start, number, hits) of the window after a request at that microsecond."""
+    start, w, n = state
+    if start is None or (at is not None and at >= start + micros):
+        start, w, n = at, w + 1, 0
+    return start, w, n + 1
+
+
+def step_outcome(done: bool, tries: int | None, past_gate: bool, red: bool | None, ok: bool | None, retries: int) -> str:
+    """H5: what comes of a step that is done already or not, was tried so often (None: not a known step), and is past the gate or not."""
+    if done:
+        return "skipped"
+    if red and past_gate:
+        return "blocked"
+    if tries is not None and tries >= retries:
+        return "max_retries"
+    return "success" if ok else "failed"
+
+
 def budget(df: DataFrame, key: str, order: Sequence[str], amount: str, total: Column) -> DataFrame:
     """H1: (key, order, amount, accepted, remaining): a request is accepted if it fits what is left; rejected ones use nothing."""
     own = df.withColumn("__amount", F.col(amount).cast("long")).withColumn("__total", total.cast("long"))
 
     def step(left: int | None, a: int | None):
-        ok = None if left is None or a is None else a <= left
-        left = left - a if ok else left
+        left, ok = spend(left, a)
         return left, (a, ok, left)
 
     made = [(amount, "bigint", pa.int64()), ("accepted", "boolean", pa.bool_()), ("remaining", "bigint", pa.int64())]
@@ -75,10 +99,8 @@ def first_hit_windows(df: DataFrame, key: str, ts: str = "ts", order: Sequence[s
     own = df.withColumn("__s", F.unix_micros(F.col(ts).cast("timestamp")))
 
     def step(state: tuple, at: int | None):
-        start, w, n = state
-        if start is None or (at is not None and at >= start + seconds * 1_000_000):
-            start, w, n = at, w + 1, 0
-        return (start, w, n + 1), (w, n + 1)
+        state = hit(state, at, seconds * 1_000_000)
+        return state, state[1:]
 
     made = [("window_no", "int", pa.int32()), ("n", "int", pa.int32())]
     return _folded(own, [key], [ts, *order], ["__s"], lambda k: (None, 0, 0), step, made).withColumn("allowed", F.col("n") <= limit)
@@ -102,14 +124,7 @@ def step_machine(events: DataFrame, key: str, order: str, steps: Sequence[str],
 
     def fold(state: tuple, name: str | None, ok: bool | None, red: bool | None):
         done, tries = state
-        if name in done:
-            outcome = "skipped"
-        elif red and name is not None and place.get(name, -1) > place.get(gate, -1):
-            outcome = "blocked"
-        elif tries.get(name, -1) >= retries:
-            outcome = "max_retries"
-        else:
-            outcome = "success" if ok else "failed"
+        outcome = step_outcome(name in done, tries.get(name), name is not None and place.get(name, -1) > place.get(gate, -1), red, ok, retries)
         if outcome == "success" and name is not None:
             done.add(name)
         if outcome == "failed" and name in tries:
@@ -122,13 +137,13 @@ def step_machine(events: DataFrame, key: str, order: str, steps: Sequence[str],
 
 
 def latest_status(events: DataFrame, key: Sequence[str], ts: str, status: str) -> DataFrame:
-    """Each key's last status and how often it was retried."""
-    return events.groupBy(*key).agg(F.max_by(status, ts).alias(status), F.count_if(F.col(status) == "RETRY").alias("retries"))
+    """Each key's last status (of equal times the largest) and how often it was retried."""
+    return events.groupBy(*key).agg(F.max_by(status, F.struct(ts, status)).alias(status), F.count_if(F.col(status) == "RETRY").alias("retries"))
 
 
 def cache_state(entries: DataFrame, as_of: Column, size: int = 4096, key: str = "cache_key", expires: str = "expires_at", written: str = "ts", drop_prefix: str | None = None) -> DataFrame:
-    """H7: the entries a cache holds: each key's last write, not expired or invalidated, of these the `size` that expire last."""
-    last = entries.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(written)))).where("__n = 1").drop("__n").where(F.col(expires) > as_of)
+    """H7: the entries a cache holds: each key's last write (of equal times that which expires last), not expired or invalidated, of these the `size` that expire last."""
+    last = entries.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(written), F.desc(expires)))).where("__n = 1").drop("__n").where(F.col(expires) > as_of)
     if drop_prefix:
         last = last.where(~F.startswith(key, F.lit(drop_prefix)))
     return last.orderBy(F.desc(expires), F.asc(key)).limit(size)
