@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators.relational import clamp, small
+from quarry.operators.relational import clamp
 
 #: Yuan per dollar.
 CNY = 7.2
@@ -39,14 +39,23 @@ def prices(spark: SparkSession, rows: Sequence[tuple] = PRICES) -> DataFrame:
 
 
 def price_keys(models: DataFrame, table: DataFrame, model: str = "model") -> DataFrame:
-    """Model and key: the model's name, else its last path segment, else the longest key that either starts with and that - : @ or / follows; null if none."""
+    """Model and key: the model's name, else its last path segment, else the longest key that either starts with and that - : @ or / follows; null if none.
+
+    A name gives the few texts that its key may be: itself, its last segment and what stands before each separator; these and the keys meet in a hash join.
+    """
     name = F.lower(F.trim(F.col(model)))
     own = models.select(model).distinct().withColumns({"__name": name, "__alias": F.element_at(F.split(name, "/"), -1)})
-    starts = lambda s: F.regexp_count(F.substring(s, F.length("key") + 1, F.lit(1)), F.lit("[-:@/]")) == 1
-    begins = lambda s: F.startswith(s, F.col("key")) & starts(s)
-    score = F.when(F.col("__name") == F.col("key"), 2_000_000).when(F.col("__alias") == F.col("key"), 1_000_000).when(begins(F.col("__name")) | begins(F.col("__alias")), F.length("key"))
-    met = own.join(small(table.select("key")), score.isNotNull() & (F.col("__name") != ""), "left").withColumn("__score", score)
-    return met.groupBy(model).agg(F.max_by("key", F.struct("__score", "key")).alias("key"))
+    whole = lambda c, score: F.struct(F.col(c).alias("key"), F.lit(score).alias("score"))
+
+    def before(c: str) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)).isin("-", ":", "@", "/"))
+        return F.when(F.length(c) > 0, F.transform(at, lambda i: F.struct(F.substr(c, F.lit(1), i - 1).alias("key"), (i - 1).alias("score"))))
+
+    none = F.array().cast("array<struct<key:string,score:int>>")
+    may = F.concat(F.array(whole("__name", 2_000_000), whole("__alias", 1_000_000)), F.coalesce(before("__name"), none), F.coalesce(before("__alias"), none))
+    asked = own.where("__name <> ''").select(model, F.inline(may))
+    met = asked.join(table.select("key").distinct(), "key").groupBy(model).agg(F.max_by("key", F.struct("score", "key")).alias("key"))
+    return own.select(model).join(met.withColumnRenamed(model, "__m"), F.col(model).eqNullSafe(F.col("__m")), "left").drop("__m")
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -46,13 +46,6 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint, once it is known to have `most` rows at the most; for lexicons that are joined by other than equality."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} rows: too many to broadcast")
-    return F.broadcast(df)
-
-
 def valid_assets(df: DataFrame, kinds: Sequence[str], as_of: str, kind: str = "doc_type", until: str = "valid_to", more: Column | None = None) -> DataFrame:
     """Kinds still valid after as_of, the longest valid first."""
     out = df.where(F.col(kind).isin(list(kinds)) & (F.col(until) > F.lit(as_of).cast("date")))

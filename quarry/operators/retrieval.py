@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry import lexicon as lx
 from quarry.functions import text as tx
 from quarry.operators import blocks
-from quarry.operators.relational import small
+from quarry.operators.terms import find
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -177,8 +177,9 @@ def search(queries: DataFrame, chunks: DataFrame, as_of: str, k: int = 5, pool:
 
 
 def expand(queries: DataFrame, synonyms: DataFrame, query: str = "query") -> DataFrame:
-    """C17: the query followed by the sorted aliases (term, alias) of terms it contains, as far as it does not have them. The synonym table is a lexicon, and broadcast."""
-    met = queries.select(query).distinct().join(small(synonyms), F.contains(F.col(query), F.col("term")) & ~F.contains(F.col(query), F.col("alias")))
+    """C17: the query followed by the sorted aliases (term, alias) of terms it contains, as far as it does not have them. Terms are found in one pass (see terms.find)."""
+    said = find(queries.select(query).distinct().withColumn("__q", F.col(query)), synonyms, "__q", keep=(query,)).select(query, "term").distinct()
+    met = said.join(synonyms.select("term", "alias"), "term").where(~F.contains(F.col(query), F.col("alias")))
     more = met.groupBy(query).agg(F.array_join(F.array_sort(F.collect_set("alias")), " ").alias("__more"))
     return queries.join(more, query, "left").withColumn("expanded", F.concat_ws(" ", query, "__more")).drop("__more")
 

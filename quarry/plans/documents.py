@@ -17,6 +17,7 @@ from quarry.operators import retrieval as rt
 from quarry.operators import scoring as sc
 from quarry.operators import sparse_index as si
 from quarry.operators import structure as sx
+from quarry.operators import terms as tm
 from quarry.plans.views import table, typed
 
 Q: dict = {}
@@ -85,6 +86,13 @@ def sectionize(spark, d):
     return sx.sectionize(docs(spark, d), "doc_id").select("doc_id", "section_no", "anchor", "title", F.length("content").alias("chars"))
 
 
+@query("""WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM benchmark) SELECT doc_id, term, strpos(text, term) - 1 AS first_at FROM documents JOIN l ON contains(text, term)""")
+def lexicon_terms(spark, d):
+    """The longer words of benchmark items as a lexicon; where each stands first in each document, within words too."""
+    lexicon = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term"))
+    return tm.find(docs(spark, d), lexicon, keep=("doc_id",)).groupBy("doc_id", "term").agg(F.min("at").cast("long").alias("first_at"))
+
+
 @query(f"SELECT doc_id, len(regexp_extract_all(text, {W})) AS tokens FROM documents")
 def token_counts(spark, d):
     """B19, C1."""
