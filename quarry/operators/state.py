@@ -203,9 +203,13 @@ def first_success(attempts: DataFrame, key: str, place: str = "place", ok: str =
     return made.groupBy(key).agg(F.count("*").alias("attempts"), F.max("__at").alias("used"))
 
 
-def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
-    """Seconds before a retry, doubling (a caller adds jitter)."""
-    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, jitter: Column | None = None) -> Column:
+    """Seconds before a retry, doubling up to a bound; with jitter (what tells tries apart, such as key and attempt), whole seconds from none to these, the same for the same one."""
+    wait = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+    if jitter is None:
+        return wait
+    draw = F.conv(F.substring(F.md5(jitter.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(draw, F.floor(wait).cast("long") + 1).cast("double")
 
 
 def pipeline_status(steps: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
