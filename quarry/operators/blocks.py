@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.session import shared_folder
@@ -87,6 +88,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int, query: str, key: str, pr
     return spark.read.schema(schema).parquet(f"{at}/hits")
 
 
+def best_of(hits: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """Each query's k best hits by score, with their rank; ties to the smaller key."""
+    order = W.partitionBy(query).orderBy(F.desc(F.round("score", PLACES)), F.asc(key))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def cosines(block: list) -> Callable:
     """For search(): query rows (id, vector), rows (key, vector); vectors of other lengths count as padded with zeros."""
     width = max([len(r[1]) for r in block], default=1) or 1

@@ -18,6 +18,7 @@ from quarry.operators import scoring as sc
 from quarry.operators import sparse_index as si
 from quarry.operators import structure as sx
 from quarry.operators import terms as tm
+from quarry.operators import vector_index as vi
 from quarry.plans.views import table, typed
 
 Q: dict = {}
@@ -226,6 +227,14 @@ def hybrid_rrf(spark, d):
     return rt.fuse([dense, sparse], 20).withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score", "rank")
 
 
+@query()
+def approximate_topk(spark, d):
+    """C5 by an approximate index over every vector; dense_topk is the exact one."""
+    v = _vectors(spark, d)
+    hits = vi.top_k(v.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), vi.build(v), 10)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def sparse_search_hits(spark, d):
     """Each item's best 24 documents."""
     return rt.sparse_search(_items(spark, d), docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), 24)
