@@ -5,6 +5,7 @@ Each takes DataFrames of many documents, so one plan serves a whole batch; rows
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -98,12 +99,22 @@ def retrieve_parts(requirements: DataFrame, chunks: DataFrame, key: str, text: s
 def reuse(work: DataFrame, keys: Sequence[str], make: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
     """What `make` gives for work, by keys (such as outline, section, gate), from the table at `path` where it is stored already; what was missing is made and added.
 
-    A key is made once however often work repeats it; a run that stops before its write leaves nothing, and is made anew.
+    A key is made once however often work repeats it; a run that stops before its write leaves nothing, and is made anew. Rows carry the
+    run that made them: where two runs at once made a key, all read the rows of the same one of them. Keys may be null.
     """
     spark = work.sparkSession
     one = work.dropDuplicates(list(keys))
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        one = one.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-    make(one).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(work.select(*keys).distinct(), list(keys), "left_semi")
+        one = _meet(one, spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+    make(one).withColumn("__run", F.lit(uuid.uuid4().hex)).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    first = stored.groupBy(*keys).agg(F.min("__run").alias("__first"))
+    return _meet(_meet(stored, first, keys, "inner").where("__run = __first").drop("__run", "__first"), work.select(*keys).distinct(), keys, "left_semi")
+
+
+def _meet(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join in which null keys are equal; a's key columns stay."""
+    other = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [a[k].eqNullSafe(other[f"__{k}"]) for k in keys]
+    return a.join(other, on, how).drop(*[f"__{k}" for k in keys])

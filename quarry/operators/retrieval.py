@@ -116,11 +116,15 @@ def relevance(query: Column, text: Column) -> Column:
     return F.when((q != "") & F.contains(t, q), 1.0).otherwise(F.greatest(overlap, both))
 
 
-def rerank(hits: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", asked: str = "query", text: str = "text", quality: str = "quality") -> DataFrame:
+def lexical_score(asked: str, text: str, quality: str) -> Column:
     """.55 score + .40 relevance + .05 quality in percent."""
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(quality).cast("double"), F.lit(0.0)) / 100))
-    new = F.col("score") * 0.55 + relevance(F.col(asked), F.col(text)) * 0.40 + share * 0.05
-    return top_k(hits.drop("rank").withColumn("score", new), [query], [F.desc(F.round("score", 9)), F.asc(key)], k)
+    return F.col("score") * 0.55 + relevance(F.col(asked), F.col(text)) * 0.40 + share * 0.05
+
+
+def rerank(hits: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", asked: str = "query", text: str = "text", quality: str = "quality") -> DataFrame:
+    """By lexical_score."""
+    return top_k(hits.drop("rank").withColumn("score", lexical_score(asked, text, quality)), [query], [F.desc(F.round("score", 9)), F.asc(key)], k)
 
 
 # Numbers with units, and model names.

@@ -183,5 +183,9 @@ def stage(df: DataFrame, path: str) -> str:
 
 
 def promote(spark: SparkSession, staged: str, confirmed: DataFrame, target: str, key: str) -> None:
-    """The confirmed rows of a staging table are added to the target."""
-    spark.read.parquet(staged).join(confirmed.select(key).distinct(), key, "left_semi").write.mode("append").parquet(target)
+    """The confirmed rows of a staging table are added to the target, but for keys that it has: a second run, or one after a failure, adds nothing twice."""
+    rows = spark.read.parquet(staged).join(confirmed.select(key).distinct(), key, "left_semi")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        rows = rows.join(spark.read.parquet(target).select(key).distinct(), key, "left_anti")
+    rows.write.mode("append").parquet(target)
