@@ -138,9 +138,8 @@ def _scored(found: DataFrame, file: DataFrame, queries: DataFrame) -> DataFrame:
     return both.select("q", "key", "query_id", "vec_id", score.alias("score"))
 
 
-def _block_top(file: DataFrame, queries: DataFrame, block: list, grid: Grid, k: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The k best of a block of queries, and the tables of which each row read an exact vector."""
-    found = settle(bounded(file, block, grid, k), "bounded")
+def _best(file: DataFrame, queries: DataFrame, found: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The k best of every query of found (q, key, lower, upper), and the tables of which each row read an exact vector: two passes over them altogether."""
     by = W.partitionBy("q")
     certain = found.withColumn("n", F.row_number().over(by.orderBy(F.desc("lower")))).where(F.col("n") == k).select("q", F.col("lower").alias("least"))
     may = found.join(certain, "q", "left").where("least is null or upper >= least").drop("least")
@@ -157,18 +156,17 @@ def _block_top(file: DataFrame, queries: DataFrame, block: list, grid: Grid, k:
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", per_block: int = PER_BLOCK, reads: list | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of floor(scale * x) vectors for each row where queries (a condition on vec_id) holds, against all rows.
 
-    Queries are taken in blocks of about per_block, each a scan of the cells. reads, if given, gets the number of exact vectors read.
+    Queries are taken in blocks of about per_block, each a scan of the cells whose survivors are written; exact vectors are read
+    when those of all blocks are known. reads, if given, gets the number of exact vectors that survivors read.
     """
     file, asked, grid = approximation_file(vectors, queries, k, scale, vec_id, embedding)
     blocks = max(1, -(-asked.count() // per_block))
-    path = None
+    path = f"{scratch(file.sparkSession)}/quarry-bounded-{file.settled_at.rsplit('-', 1)[-1]}"
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()  # about per_block rows
-        best, read = _block_top(file, asked, block, grid, k)
-        if reads is not None:
-            reads.extend(t.count() for t in read)
-        if blocks == 1:
-            return best
-        path = path or f"{scratch(file.sparkSession)}/quarry-best-{file.settled_at.rsplit('-', 1)[-1]}"
-        best.write.mode("append").parquet(path)
-    return file.sparkSession.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
+        bounded(file, block, grid, k).write.mode("append").parquet(path)
+    found = file.sparkSession.read.schema("q long, key long, lower double, upper double").parquet(path)
+    best, read = _best(file, asked, found, k)
+    if reads is not None:
+        reads.extend(t.count() for t in read)
+    return best

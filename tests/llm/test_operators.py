@@ -378,6 +378,16 @@ def test_vafile_reads_few_exact_vectors(spark):
     assert sum(reads) < 0.01 * n_queries * len(ids)
 
 
+def test_vafile_reads_exact_vectors_twice_whatever_the_blocks(spark, monkeypatch):
+    """Each pass over exact vectors is counted: two for one block of queries, and two for a dozen."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(150)], "vec_id long, embedding array<double>")
+    passes, scored = [], vafile._scored
+    monkeypatch.setattr(vafile, "_scored", lambda *a: passes.append(1) or scored(*a))
+    got = [sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 3 == 0, per_block=per).collect()) for per in (1000, 4)]
+    assert got[0] == got[1] and len(passes) == 4
+
+
 def by_hand(path, size):
     """A document's pieces by a plain call of the tokenizers library: (piece, start, length, crc32)."""
     from tokenizers import Tokenizer
