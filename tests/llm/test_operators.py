@@ -523,6 +523,89 @@ def test_quality(spark):
     assert quality.classify(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_quality_by_plain_python(spark):
+    """Votes, posteriors and scores of every document of sf0.001, recomputed with loops over dictionaries."""
+    import collections
+    import re
+
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+
+    def vote(x, good, bad):
+        if good < bad:
+            return "g" if x <= good else "b" if x >= bad else "-"
+        return "g" if x >= good else "b" if x <= bad else "-"
+
+    def said(t):
+        b = t.encode()
+        w, n = b.split(), max(1, len(b.split()))
+        up, low, num = (len(re.findall(p, b)) for p in (rb"[A-Z]", rb"[a-z]", rb"[0-9]"))
+        wide = sum(x >= 128 for x in b)
+        inked = max(1, sum(x not in b" \t\n\x0b\x0c\r" for x in b))
+        lines = [x for x in b.split(b"\n") if x]
+        return "".join((
+            vote(up / max(1, up + low), 0.2, 0.5), vote(len(re.findall(rb"([^\w\s\x80-\xff])\1", b)) / n, 0.02, 0.2), vote(sum(x == b"|" for x in w) / n, 0.01, 0.1),
+            vote(sum(x in quality.STOP for x in b.lower().split()) / n, 0.15, 0.04) if n >= 20 else "-", vote((inked - up - low - num - wide) / inked, 0.1, 0.16) if n >= 8 else "-",
+            vote(1 - len(set(lines)) / len(lines), 0.05, 0.3) if len(lines) >= 4 else "-", vote(sum(x == y for x, y in zip(w, w[1:], strict=False)) / n, 0.02, 0.1) if len(w) >= 2 else "-",
+        ))
+
+    votes = {d: said(t) for d, t in docs}
+    times = collections.Counter(votes.values())
+    post = {}
+    for v in times:
+        p = [(1 if "b" not in v else 0) + 0.01] + [(c == "b") + 0.01 for c in v]
+        post[v] = [x / sum(p) for x in p]
+    for _ in range(100):
+        total = sum(times.values())
+        prior = [(sum(times[v] * post[v][k] for v in times) + 0.01) / (total + 0.08) for k in range(8)]
+        rate = [[(sum(times[v] * post[v][k] for v in times if v[j] == "g") + 0.01) / (sum(times[v] * post[v][k] for v in times if v[j] != "-") + 0.02) for j in range(7)] for k in range(8)]
+        for v in times:
+            p = [prior[k] * math.prod(rate[k][j] if c == "g" else 1 - rate[k][j] for j, c in enumerate(v) if c != "-") for k in range(8)]
+            post[v] = [x / sum(p) for x in p]
+
+    # the sample is every different row, in order of its hash
+    rows = spark.createDataFrame(docs, EMPTY).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "doc_id").collect()
+    text, order = dict(docs), sorted(rows, key=lambda r: r.h)
+    slot = lambda w, seed: xxhash.xxh64_intdigest(w, seed) % 65535 + 1
+    shape = lambda w: re.sub(r"(?s)(.)\1+", r"\1\1", re.sub("[^\x00-\x7f]", "x", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", w)))))
+
+    def features(t):
+        own, w = collections.Counter(), t.split()
+        for x in w:
+            own[slot(x.lower(), 1)] += 1
+            own[slot(shape(x), 2)] += 1
+        same = sum(x == y for x, y in zip(w, w[1:], strict=False))
+        if same:
+            own[0] += same
+        return own
+
+    made = [features(text[r.doc_id]) for r in order]
+    goal = [post[votes[r.doc_id]][0] for r in order]
+    mean = sum(goal) / len(goal)
+    weight, grads = collections.defaultdict(float), collections.defaultdict(lambda: 1e-3)
+    b, gb, rng = math.log((mean + 1e-3) / (1 - mean + 1e-3)), 1e-3, np.random.default_rng(7)
+    for _ in range(8):
+        for i in rng.permutation(len(made)):
+            own = dict(sorted(made[i].items(), key=lambda x: x[0] * 0x9E3779B97F4A7C15 % 2**64)[:2048])
+            if not own:
+                continue
+            scale = 2 / sum(own.values())
+            d = 1 / (1 + math.exp(-(b + sum(weight[f] * n * scale for f, n in own.items())))) - goal[i]
+            for f, n in own.items():
+                g = d * n * scale + 1e-6 * weight[f]
+                grads[f] += g * g
+                weight[f] -= 0.4 * g / math.sqrt(grads[f])
+            gb += d * d
+            b -= 0.1 * d / math.sqrt(gb)
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(docs, EMPTY)).collect()}
+    assert {d: r.votes for d, r in got.items()} == votes
+    for d, t in docs:
+        own = features(t)
+        x = sum(weight[f] * n for f, n in own.items()) * 2 / max(1, sum(own.values()))
+        p = 1 / (1 + math.exp(-(b + x)))
+        assert abs(got[d].posterior - post[votes[d]][0]) < 1e-9 and abs(got[d].score - p) < 2e-4
+        assert got[d].rejected == (not own or got[d].score < 0.5) or abs(p - 0.5) < 1e-3
+
+
 def test_quality_sample_of_a_huge_table(spark):
     """The share of a table of 1e11 rows is not zero, null ids are not all or none, and repeated rows are one."""
     rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("__text"))
