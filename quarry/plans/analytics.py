@@ -60,14 +60,14 @@ def top_failure(spark, d):
     return an.top_failure(calls(spark, d))
 
 
-@query(f"""WITH {CALLS}, {_PRICES}, {_KEYED}, recent AS (SELECT * FROM calls WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND user_id < 70), a AS ({_COMPARE.format(calls='recent')}), b AS ({_COMPARE.format(calls='calls')})
+@query(f"""WITH {CALLS}, {_PRICES}, {_KEYED}, recent AS (SELECT * FROM calls WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'), a AS ({_COMPARE.format(calls='recent')}), b AS ({_COMPARE.format(calls='calls')})
  SELECT coalesce(a.model, b.model) AS model, coalesce(a.purpose, b.purpose) AS purpose, coalesce(a.calls, 0) AS current_calls, coalesce(b.calls, 0) AS baseline_calls, coalesce(a.success_rate, 0) AS current_success_rate, coalesce(b.success_rate, 0) AS baseline_success_rate, round(coalesce(a.success_rate, 0) - coalesce(b.success_rate, 0), 4) AS delta_success_rate,
  coalesce(a.avg_latency, 0) AS current_avg_latency, coalesce(b.avg_latency, 0) AS baseline_avg_latency, round(coalesce(a.avg_latency, 0) - coalesce(b.avg_latency, 0), 2) AS delta_avg_latency, coalesce(a.cost_usd, 0) AS current_cost_usd, coalesce(b.cost_usd, 0) AS baseline_cost_usd, round(coalesce(a.cost_usd, 0) - coalesce(b.cost_usd, 0), 6) AS delta_cost_usd, a.top_failure AS current_top_failure, b.top_failure AS baseline_top_failure
  FROM a FULL OUTER JOIN b ON a.model = b.model AND a.purpose = b.purpose ORDER BY current_calls DESC, baseline_calls DESC, 1, 2 LIMIT 50""")
 def window_compare(spark, d):
     """G4."""
     c, p = calls(spark, d), an.prices(spark)
-    return an.window_compare(an.compare(c.where("user_id < 70"), p, "2024-01-24 00:00:00"), an.compare(c, p))
+    return an.window_compare(an.compare(c, p, "2024-01-24 00:00:00"), an.compare(c, p))
 
 
 @query(f"""WITH {QUALITY} SELECT d.source, count(DISTINCT d.doc_id) AS docs, count(c.quality) AS chunks, round(coalesce(avg(c.quality), 0), 2) AS avg_quality, count(*) FILTER (c.quality < 60) AS low, round(CASE WHEN count(c.quality) > 0 THEN count(*) FILTER (c.quality < 60) / count(c.quality) ELSE 0 END, 4) AS low_rate
