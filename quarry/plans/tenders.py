@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import text as tx
 from quarry.operators import extract as ex
 from quarry.operators import guard as gd
 from quarry.operators import relational as rl
