@@ -33,8 +33,11 @@ from quarry.llm.common import components, drop, settle, words
 
 #: Most frequent shingles that come last in the order; longest multi-match; members up to which a list is one cell; members of a cell.
 LATE, MOST, SMALL, CELL = 100_000, 4, 32, 2048
-#: Parities of the wide sketch, of sets of more than NARROW tokens; parities that may differ for a pair to be tried early (unlike texts: some 128).
-WIDE, NARROW, NEAR = 2048, 500, 100
+#: Parities of the fine sketch, by which the last round compares, and of the wide one, of sets of more than NARROW tokens; of 256 parities
+#: those that may differ for a pair to be tried early (unlike texts: some 128).
+FINE, WIDE, NARROW, NEAR = 1024, 2048, 500, 100
+#: Routes that the cells of large lists of the same first member are dealt over.
+PARTS = 8
 #: Needed documents up to which their ids are broadcast (some 15 MB).
 FEW = 200_000
 #: Postings that cost as much as the verification of a pair, and of a hundred shingles of it.
@@ -117,18 +120,18 @@ def _least(n: np.ndarray | int, percent: int):
 
 
 def _described(x: np.ndarray, percent: int, last: np.ndarray, place: np.ndarray) -> tuple:
-    """Of a sorted set: n, sketch, wide (for large sets) and prefix."""
+    """Of a sorted set: n, sketch, fine, wide (for large sets) and prefix."""
     n = len(x)
-    return n, _parities(x, 256), _parities(x, WIDE) if n > NARROW else None, _prefix(x, n - _least(n, percent) + MOST, last, place).view(np.int64)
+    return n, _parities(x, 256), _parities(x, FINE), _parities(x, WIDE) if n > NARROW else None, _prefix(x, n - _least(n, percent) + MOST, last, place).view(np.int64)
 
 
-DESCRIBED = ("n", "sketch", "wide", "prefix")
-DESCRIBED_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-DESCRIBED_SCHEMA = "n long, sketch binary, wide binary, prefix array<long>"
+DESCRIBED = ("n", "sketch", "fine", "wide", "prefix")
+DESCRIBED_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+DESCRIBED_SCHEMA = "n long, sketch binary, fine binary, wide binary, prefix array<long>"
 
 
 def _rows(df: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, hi and lo (a name of the set), n, sketch (256 parities), wide (more of them, for large sets) and prefix of every row."""
+    """doc_id, hi and lo (a name of the set), n, sketch (256 parities), fine (more of them), wide (more still, for large sets) and prefix of every row."""
 
     def sets(b: pa.RecordBatch) -> list[np.ndarray]:
         known = Hashes()
@@ -143,7 +146,7 @@ def _rows(df: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFr
             for x in sets(b):
                 name = xxhash.xxh3_128_digest(x.tobytes())
                 rows.append((int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), *_described(x, percent, *late.value)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+            cols = list(zip(*rows, strict=True)) or [()] * (2 + len(DESCRIBED))
             kinds = (pa.int64(), pa.int64(), *DESCRIBED_KINDS)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "hi", "lo", *DESCRIBED])
 
@@ -170,16 +173,16 @@ def _postings(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of complete cells; batches are sorted by cell."""
+    """Tables of complete routes, and so of complete cells; batches are sorted by route."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        cell = b.column("cell").to_numpy()
-        if held and cell[-1] == held[0].column("cell")[0].as_py():
-            held.append(b)  # one cell still goes on
+        route = b.column("route").to_numpy()
+        if held and route[-1] == held[0].column("route")[0].as_py():
+            held.append(b)  # one route still goes on
             continue
-        done = int(np.searchsorted(cell, cell[-1]))
+        done = int(np.searchsorted(route, route[-1]))
         if held or done:
             yield pa.Table.from_batches([*held, b.slice(0, done)])
         held = [b.slice(done)]
@@ -200,22 +203,28 @@ class Members:
         order = np.lexsort((t.column("lead").to_numpy(), n, cell))
         self.percent, self.cell, self.n = percent, cell[order], n[order]
         self.node, self.root, self.need, self.level, self.side = (t.column(c).to_numpy()[order] for c in ("node", "root", "need", "level", "side"))
-        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)[order]
+        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)[order]
+        self.folded = np.bitwise_xor.reduce(self.sketch.reshape(len(n), -1, 4), axis=1)  # 256 parities: every class is one of the finer ones together
 
-    def fits(self, i: np.ndarray, j: np.ndarray, most: int = 256) -> np.ndarray:
-        """May these pairs be links that are not known? The parities that differ are at most the tokens that one of two sets has."""
+    def fits(self, i: np.ndarray, j: np.ndarray, most: int | None = None) -> np.ndarray:
+        """May these pairs be links that are not known? The parities that differ are at most the tokens that one of two sets has; most: of 256 parities."""
         a, b = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
         ok = (self.cell[i] == self.cell[j]) & (self.root[i] != self.root[j]) & (100 * a >= self.percent * b)
-        at = np.flatnonzero(ok)
-        apart = np.bitwise_count(self.sketch[i[at]] ^ self.sketch[j[at]]).sum(axis=1, dtype=np.int64)
-        both = self.n[i[at]] + self.n[j[at]]
-        ok[at] = apart <= np.minimum(most, allowed(both, self.percent))
+        for sketch in (self.folded, self.sketch)[: self.sketch.shape[1] // 4]:
+            at = np.flatnonzero(ok)
+            apart = np.bitwise_count(sketch[i[at]] ^ sketch[j[at]]).sum(axis=1, dtype=np.int64)
+            may = allowed(self.n[i[at]] + self.n[j[at]], self.percent)
+            ok[at] = apart <= (may if most is None else np.minimum(most, may))
         return ok
 
     def pairs(self, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        a, b = np.minimum(self.node[i], self.node[j]), np.maximum(self.node[i], self.node[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(self.need[i], self.need[j]).astype(np.int32))], ["a", "b", "need"])
+        a, b, need = np.minimum(self.node[i], self.node[j]), np.maximum(self.node[i], self.node[j]), np.minimum(self.need[i], self.need[j]).astype(np.int32)
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        first = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0))[: len(a)])
+        shared = np.diff(first, append=len(a)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[first], b[first], need[first], shared)], ["a", "b", "need", "shared"])
 
 
 def _few(m: Members) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -258,7 +267,7 @@ def _all(m: Members) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _candidates(cells: DataFrame, percent: int, full: bool) -> DataFrame:
-    """Pairs (a, b, need) of nodes in the same cell: a few for each, or all. cells: cell, node, root, n, sketch, need, level, side."""
+    """Pairs (a, b, need) of nodes in the same cell, and in how many cells of a route: a few for each, or all. cells: route, cell, node, root, n, sketch, need, level, side."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _complete(batches):
@@ -266,7 +275,7 @@ def _candidates(cells: DataFrame, percent: int, full: bool) -> DataFrame:
             yield m.pairs(_all(m) if full else _few(m))
 
     lead = F.xxhash64("sketch").alias("lead")
-    return cells.select("*", lead).repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long, need int")
+    return cells.select("*", lead).repartition("route").sortWithinPartitions("route").mapInArrow(meet, "a long, b long, need int, shared int")
 
 
 def _sets(df: DataFrame, nodes: DataFrame, need: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
@@ -327,12 +336,16 @@ def _cells(postings: DataFrame) -> DataFrame:
 
     The members of a list's largest component (side 0) are dealt once, by hash, over cells of about CELL, and meet all others (side 1) in
     each; the others meet each other in cells of two blocks (side 0 and 1) or of one (side 2).
+
+    Near copies meet in many lists. Cells of lists whose member of least hash is the same one go one route, where a pair's cells are counted
+    before they are shuffled; large ones go PARTS routes, so that a large group is not one task.
     """
-    own = postings.groupBy("token", "root").agg(F.count("*").alias("c"))
-    lists = own.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"))
+    own = postings.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.xxhash64("node")).alias("first"))
+    lists = own.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.min("first").alias("first"))
     dealt = postings.join(lists, "token").withColumn("big", F.col("root") == F.col("top.root")).withColumn("h", F.xxhash64("node"))
     k, k2 = F.ceil(F.col("top.c") / CELL), F.ceil((F.col("m") - F.col("top.c")) / CELL)
-    one = lambda tag, i, j, side: F.struct(F.xxhash64("token", F.lit(tag), i, j).alias("cell"), side.cast("int").alias("side"))
+    part = lambda tag: F.pmod(F.xxhash64("token"), F.lit(PARTS if tag else 1))
+    one = lambda tag, i, j, side: F.struct(F.xxhash64("first", F.lit(tag), k, k2, i, j, part(tag)).alias("route"), F.xxhash64("token", F.lit(tag), i, j).alias("cell"), side.cast("int").alias("side"))
     zero, mine, other = F.lit(0).cast("long"), F.pmod("h", k), F.pmod("h", k2)
     upto = lambda n: F.sequence(zero, n - 1)
     alone = F.array(one(0, zero, zero, F.lit(2)))
@@ -346,10 +359,10 @@ def _cells(postings: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame], found: DataFrame | None = None, roots: DataFrame | None = None, turns: tuple[str, ...] = ("favourite", "few", "all"), kind: str = "<u8") -> tuple[DataFrame | None, DataFrame | None]:
     """Pairs (a, b) of similar nodes, which connect all that such pairs connect, and the components (node, root) they make; found and roots: what is known before.
 
-    nodes: node, n, sketch, wide, prefix; sets_of gives (node, hashes) of the nodes it is given.
+    nodes: node, n, sketch, fine, wide, prefix; sets_of gives (node, hashes) of the nodes it is given.
     """
     postings, chosen = _postings(nodes, percent)
-    traits = settle(nodes.select("node", "n", "sketch").join(chosen, "node"), "traits")
+    traits = settle(nodes.select("node", "n", "sketch", "fine").join(chosen, "node"), "traits")
 
     def rooted() -> DataFrame:
         """Postings of lists that hold different components, with the list's length."""
@@ -359,15 +372,16 @@ def links(nodes: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFra
 
     def few(df: DataFrame, size: str) -> DataFrame:
         """A long list goes in blocks by hash: rows are few then, and what they miss the last round finds."""
-        return df.withColumns({"cell": F.xxhash64("token", F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col(size), F.lit(1)) / CELL))), "side": F.lit(2)}).drop("token", size)
+        return df.withColumns({"cell": F.xxhash64("token", F.pmod(F.xxhash64("node"), F.ceil(F.greatest(F.col(size), F.lit(1)) / CELL))), "side": F.lit(2)}).withColumn("route", F.col("cell")).drop("token", size)
 
     for turn in turns:
         if turn == "favourite":
             cells = few(traits.select(F.col("favourite").alias("token"), "others", "node").withColumns({"level": F.lit(1), "root": F.col("node")}), "others")
         else:
             cells = few(rooted(), "m") if turn == "few" else _cells(settle(rooted().drop("m"), "mixed"))
-        met = _candidates(cells.join(traits.select("node", "n", "sketch", "need"), "node"), percent, turn == "all")
-        enough = met.groupBy("a", "b", "need").agg(F.count("*").alias("shared")).where("shared >= need") if turn == "all" else met.select("a", "b").distinct()
+        sketch = F.col("fine" if turn == "all" else "sketch").alias("sketch")
+        met = _candidates(cells.join(traits.select("node", "n", sketch, "need"), "node"), percent, turn == "all")
+        enough = met.groupBy("a", "b", "need").agg(F.sum("shared").alias("shared")).where("shared >= need") if turn == "all" else met.select("a", "b").distinct()
         may = settle(enough.select("a", "b"), "met")
         pairs = settle(_possible(may, nodes, percent), "pairs")
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -391,7 +405,7 @@ def described(sets: DataFrame, percent: int, kind: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*(_described(x, percent, *late.value) for x in read_sets(b)), strict=True)) or [()] * 4
+            cols = list(zip(*(_described(x, percent, *late.value) for x in read_sets(b)), strict=True)) or [()] * len(DESCRIBED)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, DESCRIBED_KINDS, strict=True)]], ["node", *DESCRIBED])
 
     return sets.select("node", "hashes").mapInArrow(read, f"node long, {DESCRIBED_SCHEMA}")
@@ -400,7 +414,7 @@ def described(sets: DataFrame, percent: int, kind: str) -> DataFrame:
 def similar_groups(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links, itself included) of every row."""
     rows = settle(_rows(df, k, percent, doc_id, text), "rows")
-    first = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
+    first = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in DESCRIBED[1:]])
     nodes = settle(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
     _, roots = links(nodes, percent, lambda need: _sets(df, nodes, need, k, doc_id, text))
     tied = nodes.select("node", "hi", "lo", "rep")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,29 @@ def test_run_matrices_compose():
         unit = [repair._costs(turns, tuple(0 if i == j else repair.FAR for i in range(4)))[0] for j in range(4)]
         assert repair._costs(turns, end)[0] == tuple(min(unit[j][i] + end[j] for j in range(4)) for i in range(4))
         assert np.all(np.array(repair._costs(turns, end)) >= 0)
+
+
+def test_jaccard_candidates_do_not_grow_with_the_square(spark, monkeypatch):
+    # sets of a group that are somewhat too different: each was a candidate with every other, in all the lists they share
+    token = np.random.default_rng(7).permutation(np.unique(np.random.default_rng(5).integers(0, 2**32, 6000)))
+    rows = [np.concatenate([token[:330], token[400 + 66 * i :][:66]]) for i in range(60)] + [token[5000:5300], token[5020:5300]]
+    sets = spark.createDataFrame([(i, np.sort(x).astype("<u4").tobytes()) for i, x in enumerate(rows)], "node long, hashes binary").coalesce(1)
+    made, candidates = [], jaccard._candidates
+
+    def counted(*args):
+        found = candidates(*args).cache()
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    found, _ = jaccard.links(jaccard.described(sets, 80, "<u4"), 80, lambda need: sets.join(need, "node"), turns=("all",), kind="<u4")
+    assert sorted(map(tuple, found.collect())) == [(60, 61)]
+    assert sum(made) < 62
+
+
+def test_jaccard_counts_a_pair_once_in_a_route():
+    # two near copies in three lists of one route: one row that says so, not three
+    n = 3 * [10, 10]
+    cols = {"cell": [1, 1, 2, 2, 3, 3], "n": n, "lead": 3 * [1, 2], "node": 3 * [7, 8], "root": 3 * [7, 8], "need": 3 * [2, 2], "level": 6 * [1], "side": 6 * [2], "sketch": 6 * [bytes(128)]}
+    m = jaccard.Members(pa.table(cols), 90)
+    assert m.pairs(jaccard._all(m)).to_pylist() == [{"a": 7, "b": 8, "need": 2, "shared": 3}]
