@@ -7,10 +7,10 @@ joined again. Files whose pipeline is not known to have that property are encode
 SentencePiece models (Pieces): the protobuf is parsed here and rebuilt as a tokenizers pipeline: its normaliser, the marker for
 spaces, unigram scores or BPE merges, byte fallback and decoder. No piece of the vocabulary has the marker after another
 character (checked when a model is loaded; else texts are encoded whole), so no token spans a space between two words, and texts
-are cut there. Decoding is the library's, of each text's whole ids; parity compares them with the sentencepiece library's ids of the
-whole text.
+are cut there, and before line ends if no piece of the vocabulary has one. Decoding is the library's, of each text's whole ids;
+parity compares them with the sentencepiece library's ids of the whole text.
 
-Words of over LONG letters are encoded each time, so the cache is bounded in bytes, too. Texts of any length and content are encoded:
+Words of over LONG bytes are encoded each time, so the cache is bounded in bytes, too. Texts of any length and content are encoded:
 a text of millions of spaces or of one letter is one word.
 """
 
@@ -24,25 +24,143 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import process_cache
 
-#: Words in each of the cache's two generations, and letters of the longest one kept.
-CACHED, LONG = 250_000, 64
+#: Words that the cache holds before it begins anew, and bytes of the longest one kept (a key has 16).
+CACHED, LONG = 2_000_000, 15
 #: Characters encoded together.
 TOGETHER = 2_000_000
+_ROOM = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
+
+
+class Known:
+    """Ids of words of at most LONG bytes, looked up many at once: an open hash table in arrays.
+
+    A key is a word's bytes and, in the last byte, its length (and 16 if it stands inside a longer word), so words of equal keys are equal.
+    """
+
+    def __init__(self, size: int = CACHED):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self._n, self._used = 1, 0  # place 0 is nobody's: its key has a length that no word has
+        self._low, self._high = np.zeros(1024, np.uint64), np.full(1024, 2**64 - 1, np.uint64)
+        self._start, self._count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._ids, self._slots = np.zeros(4096, "<u4"), np.zeros(1 << 12, np.int32)
+
+    def __iter__(self) -> Iterator[str]:
+        for low, high in zip(self._low[1 : self._n].tolist(), self._high[1 : self._n].tolist(), strict=True):
+            yield (low.to_bytes(8, "little") + high.to_bytes(8, "little"))[: high >> 56 & 15].decode()
+
+    def __setitem__(self, word: str, ids: bytes) -> None:
+        raw = word.encode()
+        if len(raw) > LONG:
+            raise ValueError("a word too long to be kept")
+        low, high = self._keys(np.frombuffer(raw + bytes(16), np.uint8), np.zeros(1, np.int64), np.array([len(raw)]), np.zeros(1, bool))
+        at, own = self._find(low, high)[0], np.frombuffer(ids, "<u4")
+        if at:
+            self._start[at], self._count[at] = self._store(own), len(own)
+        else:
+            self._add(low, high, own, np.array([len(own)]))
+
+    @staticmethod
+    def _keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        low, high = eight[starts] & _ROOM[np.minimum(sizes, 8)], eight[starts + 8] & _ROOM[np.maximum(sizes - 8, 0)]
+        return low, high | (sizes + 16 * inside).astype(np.uint64) << np.uint64(56)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(65 - len(self._slots).bit_length())).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Each key's place, or 0."""
+        at = self._slot(low, high)
+        place = self._slots[at]
+        left = np.flatnonzero(((self._low[place] != low) | (self._high[place] != high)) & (place != 0))
+        while len(left):
+            at[left] = now = at[left] + 1 & len(self._slots) - 1
+            place[left] = p = self._slots[now]
+            left = left[((self._low[p] != low[left]) | (self._high[p] != high[left])) & (p != 0)]
+        return place
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Where ids begin, behind all others."""
+        at, end = self._used, self._used + len(ids)
+        if end > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(end, "<u4")])
+        self._ids[at:end] = ids
+        self._used = end
+        return at
+
+    def _append(self, low: np.ndarray | int, high: np.ndarray | int, ids: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+        n, end = self._n, self._n + len(counts)
+        if end > len(self._low):
+            self._low, self._high, self._start, self._count = (np.concatenate([x, np.zeros(end, x.dtype)]) for x in (self._low, self._high, self._start, self._count))
+        self._low[n:end], self._high[n:end], self._count[n:end] = low, high, counts
+        self._start[n:end] = self._store(ids) + np.cumsum(counts) - counts
+        return n, end
+
+    def _add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> int:
+        """The place of the first of these new words; the others follow."""
+        n, self._n = self._append(low, high, ids, counts)
+        first = n
+        if 2 * self._n > len(self._slots):
+            self._slots, first = np.zeros(1 << (4 * self._n).bit_length(), np.int32), 1
+        left = np.arange(first, self._n, dtype=np.int32)
+        at = self._slot(self._low[left], self._high[left])
+        while len(left):
+            free = self._slots[at] == 0
+            self._slots[at[free]] = left[free]
+            more = self._slots[at] != left
+            left, at = left[more], at[more] + 1 & len(self._slots) - 1
+        return n
+
+    def ids(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray, bounds: np.ndarray, encode: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+        """The ids of texts in little-endian unsigned 32-bit integers.
+
+        A word is raw[start:end]; text i has the words bounds[i] to bounds[i + 1]. encode gives the ids of words not kept, and how many each has.
+        """
+        data, sizes = np.frombuffer(raw + bytes(16), np.uint8), ends - starts
+        text = lambda some: [raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+        low, high = self._keys(data, starts, np.minimum(sizes, LONG), inside)
+        place = self._find(low, high).astype(np.int64)
+        long = sizes > LONG
+        if len(new := np.flatnonzero((place == 0) & ~long)):
+            new = new[np.lexsort((low[new], high[new]))]
+            other = np.concatenate([[True], (low[new][1:] != low[new][:-1]) | (high[new][1:] != high[new][:-1])])
+            some = new[other]
+            place[new] = self._add(low[some], high[some], *encode(text(some), inside[some])) + np.cumsum(other) - 1
+        used = self._used
+        if len(some := np.flatnonzero(long)):
+            at: dict = {}
+            place[some] = [at.setdefault(k, len(at)) for k in zip(text(some), inside[some].tolist(), strict=True)]
+            place[some] += self._append(0, 0, *encode([w for w, _ in at], np.array([x for _, x in at], bool)))[0]  # until the next words come
+        counts = self._count[place]
+        after = np.cumsum(counts)
+        total = int(after[-1]) if len(after) else 0
+        out = self._ids[np.repeat(self._start[place] - (after - counts), counts) + np.arange(total)].tobytes()
+        self._used = used
+        if self._n > self.size:
+            self.clear()
+        cut = (4 * np.concatenate([[0], after])[bounds]).tolist()
+        return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 class Cache(dict):
     """Keeps what was used lately: when the young generation is full it becomes the old one, whose items return when used."""
 
-    def __init__(self, size: int = CACHED):
+    def __init__(self, size: int):
         super().__init__()
         self.size, self.old = size, {}
 
@@ -232,7 +350,7 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 def rebuild(m: dict):
     """The model as a tokenizers.Tokenizer."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     unk = m["pieces"][m["unk"]][0]
     if m["type"] == UNIGRAM:
@@ -249,7 +367,7 @@ def rebuild(m: dict):
     t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     if separable(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m["prefix"] else [])])
+    t.decoder = decoder(m)
     own = [AddedToken(p, normalized=False) for p, _, kind in m["pieces"] if kind == OWN]
     if own:
         t.add_tokens(own)
@@ -257,6 +375,14 @@ def rebuild(m: dict):
     return t
 
 
+def decoder(m: dict, late: bool = False):
+    """late: markers become spaces in the whole text, not in each piece."""
+    from tokenizers import decoders
+
+    mark, joined = [decoders.Replace(MARK, " ")], [decoders.ByteFallback(), decoders.Fuse()]
+    return decoders.Sequence([*(joined + mark if late else mark + joined), *([decoders.Strip(" ", 1, 0)] if m["prefix"] else [])])
+
+
 def separable(m: dict) -> bool:
     return not any(MARK in p.lstrip(MARK) for p, _, _ in m["pieces"])
 
@@ -275,8 +401,15 @@ class Pieces:
         self._threads = threads
         # texts can be cut before single spaces if the normaliser does nothing across them and every word starts alike
         self._cut = separable(self.model) and not self.model["charsmap"] and self.model["prefix"] and not any(k == OWN for *_, k in self.model["pieces"])
-        self._heads = frozenset(i for i, (p, *_) in enumerate(self.model["pieces"]) if p.startswith(MARK))
-        self._known = Cache()
+        self._heads = np.array([p.startswith(MARK) for p, *_ in self.model["pieces"]])
+        # a line end in no piece is a byte by itself, so texts can be cut before it, too
+        pieces = {p for p, _, k in self.model["pieces"] if k != UNUSED}
+        self._lines = self.model["byte_fallback"] and {MARK, "<0x0A>"} <= pieces and not any("\n" in p for p in pieces)
+        self._mark = next((i for i, (p, *_) in enumerate(self.model["pieces"]) if p == MARK), None)
+        self._known = Known()
+        # the marker may be replaced at last, in the whole text, unless it can come from bytes
+        self._decoders = [self.tokenizer.decoder, decoder(self.model, late=True)]
+        self._e2 = next((i for i, (p, *_) in enumerate(self.model["pieces"]) if p == "<0xE2>"), None)
 
     @classmethod
     def of(cls, data: bytes, threads: int = 2) -> Pieces:
@@ -290,36 +423,55 @@ class Pieces:
         plain = [self._cut and bool(t) and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
         odd = [t for t, p in zip(texts, plain, strict=True) if not p]
         whole = iter([_little(e.ids) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)])
-        words = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = list(self._known.knows(set(chain.from_iterable(words))))
-        gc.disable()  # these lists hold no cycles, and are many
-        try:
-            self._known.update(zip(new, self._each(new), strict=True))
-        finally:
-            gc.enable()
-        out = [b"".join(map(self._known.__getitem__, own)) if p else next(whole) for p, own in zip(plain, words, strict=True)]
-        self._known.forget_long(new)
-        self._known.turn()
-        return out
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of each word by itself. A thousand are encoded as one text; a word's first piece begins with the marker, and no other does."""
+        held = [t.encode() if p else b"" for t, p in zip(texts, plain, strict=True)]
+        # every text ends with a space
+        raw, after = b" ".join([*held, b""]), np.cumsum([len(h) + 1 for h in held], dtype=np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        ends = np.flatnonzero(data == 32)
+        starts, inside = np.append(0, ends[:-1] + 1).astype(np.int64), np.zeros(len(ends), bool)
+        if self._lines and len(cut := np.setdiff1d(np.flatnonzero(data == 10), starts, assume_unique=True)):
+            order = np.argsort(np.concatenate([starts, cut]), kind="stable")
+            starts, inside, ends = np.concatenate([starts, cut])[order], np.concatenate([inside, np.ones(len(cut), bool)])[order], np.sort(np.concatenate([ends, cut]))
+        # a text that is not plain is one empty word here
+        keep = ends > starts
+        starts, ends, inside = starts[keep], ends[keep], inside[keep]
+        found = self._known.ids(raw, starts, ends, inside, np.append(0, np.searchsorted(starts, after)), self._new)
+        return [f if p else next(whole) for p, f in zip(plain, found, strict=True)]
+
+    def _new(self, words: list[str], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word by itself. A thousand are encoded as one text; a word's first piece begins with the marker, and no other does. What stands inside a word has none: the marker is a piece by itself before a line end, and goes."""
         lists = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        out: list[bytes] = []
+        found, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for own, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
-            ids = _little(e.ids)
-            at = [*(4 * i for i, k in enumerate(e.ids) if k in self._heads), len(ids)]
-            if len(at) != len(own) + 1:
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self._heads[ids])
+            if len(at) != len(own) or at[0]:
                 raise ValueError("words and pieces that begin one differ in number")
-            out += [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-        return out
+            found.append(ids)
+            counts.append(np.diff(at, append=len(ids)))
+        ids, n = np.concatenate(found), np.concatenate(counts)
+        heads = (np.cumsum(n) - n)[inside]
+        if (ids[heads] != (self._mark or 0)).any():
+            raise ValueError("a marker that is no piece by itself")
+        return np.delete(ids, heads), n - inside
+
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The library's decoding of each text's ids."""
+        lists = [_listed(i) for i in ids]
+        late = [self._e2 not in x for x in lists]
+        out = []
+        for how, d in enumerate(self._decoders):
+            self.tokenizer.decoder = d
+            out.append(iter(self.tokenizer.decode_batch([x for x, k in zip(lists, late, strict=True) if k == how], skip_special_tokens=False)))
+        self.tokenizer.decoder = self._decoders[0]
+        return [next(out[k]) for k in late]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
         """Each text's ids, what those decode to, and whether the library that the model was made for gives the same ids for the whole text."""
         out = []
         for part in groups(texts, TOGETHER // 8):
             ids = self.ids(part)
-            back = self.tokenizer.decode_batch([_listed(i) for i in ids], skip_special_tokens=False)
+            back = self.decode(ids)
             want = self.original.encode(part, num_threads=self._threads)
             out += [(i, b, i == _little(w)) for i, b, w in zip(ids, back, want, strict=True)]
         return out
@@ -351,8 +503,6 @@ def sentencepieces(df: DataFrame, model: str, threads: int = 2, doc_id: str = "d
     schema = "doc_id long, n_tokens int, " + "ids array<int>, " * with_ids + "ids_crc32 long, decoded string, parity boolean"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         p = Pieces.of(shared.value, threads)
         for b in batches:
             at = 0

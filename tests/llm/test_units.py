@@ -2,8 +2,11 @@
 
 import random
 import struct
+import time
+import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quarry.llm import chat, media, packing, quality, simhash, substring, tokens, vafile
@@ -316,3 +319,69 @@ def test_bpe_model_is_rebuilt():
         got = m.encode(texts)
         assert [np.frombuffer(i, "<u4").tolist() for i, _, _ in got] == m.original.encode(texts) and all(x for *_, x in got)
         assert [b for _, b, _ in got] == [m.original.decode(np.frombuffer(i, "<u4").tolist()) for i, _, _ in got]
+
+
+def spent(f):
+    """What f gives, and the CPU seconds it took."""
+    began = time.process_time()
+    got = f()
+    return got, time.process_time() - began
+
+
+def odd_texts(seed, n):
+    parts = ["a", "Z", "the", "é", "ß", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'", "'s", "'ll", "1", "23", ".", ",!", "\x00", "\x1c", "\x7f", "\xa0", "᠎", "²", "×", "½", "א", "東", "☃", "😀", "́", "<|endoftext|>", "<|", "▁", "<0x0A>", "y" * 20]
+    r = random.Random(seed)
+    return ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(n)]
+
+
+def small_documents():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    return [t or "" for t in texts]
+
+
+def test_known_words():
+    k = tokens.Known()
+    words = [f"w{i}" for i in range(30_000)] + ["é" * 7, "x" * 15, "a\0", "a"]
+    raw = "".join(words).encode()
+    ends = np.cumsum([len(w.encode()) for w in words])
+    starts, asked = np.append(0, ends[:-1]), []
+
+    def encode(new, inside):
+        asked.extend(new)
+        return np.array([zlib.crc32(w.encode()) for w in new for _ in range(len(w) % 3)], "<u4"), np.array([len(w) % 3 for w in new], np.int64)
+
+    want = [zlib.crc32(w.encode()).to_bytes(4, "little") * (len(w) % 3) for w in words]
+    for _ in range(2):
+        assert k.ids(raw, starts, ends, np.zeros(len(words), bool), np.arange(len(words) + 1), encode) == want
+    assert sorted(asked) == sorted(words) == sorted(k)
+    k["w7"] = b"\1\0\0\0" * 5
+    assert k.ids(b"w7w7", np.array([0, 2]), np.array([2, 4]), np.zeros(2, bool), np.array([0, 0, 2]), encode) == [b"", b"\1\0\0\0" * 10]
+    k.ids(b"w7", np.array([0]), np.array([2]), np.array([True]), np.array([0, 1]), encode)
+    assert asked[len(words) :] == ["w7"]  # inside another word it is a word of its own
+    with pytest.raises(ValueError):
+        k["x" * 16] = b""
+
+
+def test_pieces_known_words_cost_little():
+    p = pytest.importorskip("public_tokenizers")
+    m, texts = tokens.Pieces(open(p.path("piece_bpe_32k.model"), "rb").read(), 1), small_documents()
+    want, whole = spent(lambda: m.original.encode(texts, num_threads=1))
+    first, _ = spent(lambda: m.ids(texts))
+    again, known = spent(lambda: m.ids(texts))
+    assert first == again == [np.array(w, "<u4").tobytes() for w in want]
+    assert known < 0.4 * whole
+
+
+def test_pieces_of_odd_texts():
+    p = pytest.importorskip("public_tokenizers")
+    m = tokens.Pieces(open(p.path("piece_bpe_32k.model"), "rb").read(), 1)
+    assert m._lines
+    for size in (tokens.CACHED, 100):
+        m._known.size = size
+        for seed in range(6):
+            texts = odd_texts(seed, 400)
+            want = m.original.encode(texts)
+            for (ids, back, same), w, t in zip(m.encode(texts), want, texts, strict=True):
+                assert same and ids == np.array(w, "<u4").tobytes() and back == m.tokenizer.decode(w, skip_special_tokens=False), t
+    marks = [next(i for i, (x, *_) in enumerate(m.model["pieces"]) if x == f"<0x{b:02X}>") for b in "▁".encode()]
+    assert m.decode([np.array(marks, "<u4").tobytes()]) == [m.tokenizer.decode(marks, skip_special_tokens=False)] == ["▁"]  # a marker of bytes is no space
