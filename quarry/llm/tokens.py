@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a cache of words.
 
-Byte-level BPE (ByteBPE): the file's own cutting rule never joins what stands before a single space between two other letters with
-what follows, so texts are cut there, each different word is encoded by the library once while it stays in the worker's cache, and
-joined again. Files whose pipeline is not known to have that property are encoded whole.
+Byte-level BPE (ByteBPE): the file's own cutting rule begins a new piece before white space after a letter, after a lone line end, and
+where ASCII letters, digits and other signs meet; texts are cut there, each different word is encoded by the library once while the
+worker's cache (Known) keeps it, and joined again. Files whose pipeline is not known to have that property are encoded whole.
 
 SentencePiece models (Pieces): the protobuf is parsed here and rebuilt as a tokenizers pipeline: its normaliser, the marker for
 spaces, unigram scores or BPE merges, byte fallback and decoder. No piece of the vocabulary has the marker after another
@@ -16,7 +16,6 @@ a text of millions of spaces or of one letter is one word.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -157,34 +156,6 @@ class Known:
         return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
-class Cache(dict):
-    """Keeps what was used lately: when the young generation is full it becomes the old one, whose items return when used."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def __missing__(self, key: str):
-        self[key] = v = self.old[key]
-        return v
-
-    def knows(self, keys: set[str]) -> set[str]:
-        """The keys that are not kept."""
-        return {k for k in keys if k not in self and k not in self.old}
-
-    def forget_long(self, keys: list[str]) -> None:
-        for k in keys:
-            if len(k) > LONG:
-                del self[k]
-
-    def turn(self) -> bool:
-        if len(self) <= self.size:
-            return False
-        self.old = dict(self)
-        self.clear()
-        return True
-
-
 def groups(texts: pa.Array | list[str], size: int = TOGETHER) -> Iterator[list[str]]:
     """Texts (null: empty) in lists of about size characters."""
     held, n = [], 0
@@ -198,16 +169,31 @@ def groups(texts: pa.Array | list[str], size: int = TOGETHER) -> Iterator[list[s
         yield held
 
 
-#: White space, as any of the libraries sees it, besides the space itself.
-_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-_BETWEEN = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
+# Kinds of bytes: spaces, line ends, ASCII letters, digits and signs (no apostrophe, as 's is one piece), others that are no white
+# space; ODD ones may be. Letters of two bytes from U+00C0 on are OTHER: no white space is among them.
+ODD, SPACE, END, LETTER, DIGIT, SIGN, OTHER = range(7)
+_KIND = np.array([SPACE if c == " " else END if c == "\n" else ODD if not "!" <= c <= "~" else LETTER if c.isalpha() else DIGIT if c.isdigit() else OTHER if c == "'" else SIGN for c in map(chr, range(256))], np.uint8)
+#: Is there a cut between two kinds?
+_CUT = np.array([[a >= LETTER and (b in (SPACE, END) or LETTER <= b <= SIGN and a != b and a != OTHER) for b in range(8)] for a in range(7)]).reshape(-1)
+#: Words that the rule leaves in one piece.
+_SINGLE = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n").fullmatch
+
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Does a word begin at this byte of a text in UTF-8? Only where the rule of byte-level BPE, which looks ahead but not back, begins a piece whatever stands around."""
+    kind = _KIND[data]
+    two = np.flatnonzero((data >= 0xC3) & (data <= 0xDF))
+    kind[two] = kind[two + 1] = OTHER
+    begins = np.zeros(len(data), bool)
+    begins[1:] = _CUT[kind[:-1] * np.uint8(8) + kind[1:]]
+    begins[2:] |= (kind[1:-1] == END) & (kind[2:] >= LETTER) & (kind[:-2] >= LETTER)
+    return begins
 
-def between_spaces(text: str) -> list[str]:
-    """text cut at each single space between two letters that are no white space (also at one before or after the whole)."""
-    if "  " not in text and not any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES):
-        return text.split(" ")
-    return _BETWEEN.split(text)
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
 def _parted(ids: bytes, mark: bytes) -> Iterator[bytes]:
@@ -236,7 +222,7 @@ class ByteBPE:
         alone = all(" " not in t["content"] and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in own.get("added_tokens", []))
         self._added = [t["content"] for t in own.get("added_tokens", [])]
         self._cut = plain and alone and model["type"] == "BPE" and not model.get("dropout")
-        self._known = Cache(400_000)
+        self._known, self._model, self._letters = Known(), self._tokenizer.model, _byte_letters()
 
     @classmethod
     def of(cls, spec: str) -> ByteBPE:
@@ -266,21 +252,23 @@ class ByteBPE:
                     out[i] = ids
         return out
 
+    def _new(self, words: list[str], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are one piece go to the library's model at once, others through its pipeline."""
+        single = [_SINGLE(w) is not None for w in words]
+        rest = iter(self._each([w for w, s in zip(words, single, strict=True) if not s]))
+        lists = [[t.id for t in self._model.tokenize(w.encode().decode("latin-1").translate(self._letters))] if s else _listed(next(rest)) for w, s in zip(words, single, strict=True)]
+        return np.array([*chain.from_iterable(lists)], "<u4"), np.array([len(x) for x in lists], np.int64)
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        if not self._cut:
-            return [_little(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        first = [between_spaces(t) for t in texts]
-        heads, rest = [w[0] for w in first], [w[1:] for w in first]
-        gc.disable()  # these lists hold no cycles, and are many
-        try:
-            new = list(self._known.knows(set(chain.from_iterable(rest))))
-            self._known.update(zip(new, self._each([f" {w}" for w in new]), strict=True))
-            out = [h + b"".join(map(self._known.__getitem__, w)) for h, w in zip(self._each(heads), rest, strict=True)]
-        finally:
-            gc.enable()
-        self._known.forget_long(new)
-        self._known.turn()
-        return out
+        whole = [not self._cut or any(a in t for a in self._added) for t in texts]
+        others = iter([_little(e.ids) for e in self._tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False)])
+        held = [b"" if w else t.encode() for t, w in zip(texts, whole, strict=True)]
+        raw, ends = b"".join(held), np.cumsum([len(h) for h in held], dtype=np.int64)
+        begins = np.append(cuts(np.frombuffer(raw, np.uint8)), True)
+        begins[ends] = begins[0] = True
+        starts = np.flatnonzero(begins)
+        found = self._known.ids(raw, starts[:-1], starts[1:], np.zeros(len(starts) - 1, bool), np.append(0, np.searchsorted(starts, ends)), self._new)
+        return [next(others) if w else f for w, f in zip(whole, found, strict=True)]
 
 
 # SentencePiece

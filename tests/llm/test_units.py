@@ -339,6 +339,28 @@ def small_documents():
     return [t or "" for t in texts]
 
 
+def test_byte_bpe_known_words_cost_little():
+    p = pytest.importorskip("public_tokenizers")
+    mine, texts = tokens.ByteBPE(open(p.path("byte_bpe_50k.json"), encoding="utf-8").read()), small_documents()
+    want, whole = spent(lambda: mine._tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    first, _ = spent(lambda: mine.ids(texts))
+    again, known = spent(lambda: mine.ids(texts))
+    assert first == again == [np.array(e.ids, "<u4").tobytes() for e in want]
+    assert known < 0.15 * whole
+
+
+def test_byte_bpe_cuts_only_where_the_rule_does():
+    p = pytest.importorskip("public_tokenizers")
+    mine = tokens.ByteBPE(open(p.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    for size in (tokens.CACHED, 100):  # the smaller cache begins anew after every call
+        mine._known.size = size
+        for seed in range(6):
+            texts = odd_texts(seed, 400)
+            assert mine.ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in mine._tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert mine.ids([]) == []
+    assert tokens.cuts(np.frombuffer("a b.\nc1 'x é\t\n".encode(), np.uint8)).nonzero()[0].tolist() == [1, 3, 4, 5, 6, 7, 10]
+
+
 def test_known_words():
     k = tokens.Known()
     words = [f"w{i}" for i in range(30_000)] + ["é" * 7, "x" * 15, "a\0", "a"]
