@@ -1,15 +1,20 @@
 """Token-bounded chunks (B19-B26): greedy buffers of blocks, tables split under their header, chunk records.
 
-"Start anew when full" cannot be a window: each section's ordered blocks are folded with aggregate(), inside one row.
+"Start anew when full" cannot be a window: each section's ordered blocks are folded with aggregate(), a table's rows with an Arrow-batched
+function, inside one row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry import lexicon as lx
 from quarry.functions import text as tx
 
 # Words of a parameter table's header.
@@ -59,37 +64,64 @@ def greedy_chunks(df: DataFrame, key: Sequence[str], order: str, page: Column, t
 
 def table_header(table: Column | str) -> Column:
     """The first row's cells, if it begins with a pipe."""
-    first = F.trim(F.get(F.split(F.trim(tx.text(table)), "\n"), F.lit(0)))
+    first = F.trim(F.substring_index(F.trim(tx.text(table)), "\n", 1))
     cells = F.filter(F.transform(F.split(F.regexp_replace(first, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
     return F.when(F.startswith(first, F.lit("|")), cells).otherwise(F.array().cast("array<string>"))
 
 
 def is_parameter_table(table: Column | str, words: Sequence[str] = PARAMETER_WORDS) -> Column:
     """B23."""
-    head = F.array_join(table_header(table), "")
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(head, w))
+    return lx.any_of(F.array_join(table_header(table), ""), words)
 
 
 def split_table(table: Column | str, most: int) -> Column:
-    """The table's rows in groups of at most `most` words with the header, which begins each; one row at least in each."""
-    t = F.regexp_replace(tx.text(table), r"^\s+|\s+$", "")
-    lines = F.split(t, "\n")
-    rule = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & F.trim(x).rlike(r"^\|[-:| ]+\|$"), i)), lambda i: i.isNotNull())
-    at = F.get(rule, F.lit(0))
-    head = F.array_join(F.slice(lines, F.lit(1), F.coalesce(at, F.lit(0)) + 1), "\n")
-    rows = F.filter(F.transform(F.slice(lines, F.coalesce(at, F.lit(0)) + 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.trim(x)), lambda x: x != "")
-    budget = F.greatest(F.lit(1), F.lit(most) - tx.word_count(head))
-    # header and budget ride in the accumulator: in the lambda they would be computed anew for every row
-    none = F.array().cast("array<string>")
-    zero = F.struct(none.alias("done"), none.alias("rows"), F.lit(0).alias("n"), head.alias("head"), budget.alias("budget"))
-    out = lambda acc: F.when(F.size(acc.rows) > 0, F.concat(acc.done, F.array(F.concat_ws("\n", acc.head, F.array_join(acc.rows, "\n"))))).otherwise(acc.done)
-    counted = F.transform(rows, lambda r: F.struct(r.alias("r"), tx.word_count(r).alias("n")))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc.n + x.n > acc.budget) & (F.size(acc.rows) > 0)
-        return F.struct(F.when(full, out(acc)).otherwise(acc.done).alias("done"), F.when(full, F.array(x.r)).otherwise(F.concat(acc.rows, F.array(x.r))).alias("rows"), F.when(full, x.n).otherwise(acc.n + x.n).alias("n"), acc.head.alias("head"), acc.budget.alias("budget"))
-
-    return F.when(at.isNull() | (F.size(rows) == 0), F.array(tx.text(table))).otherwise(F.aggregate(counted, zero, step, out))
+    """The table's rows in groups of at most `most` words with the header, which begins each; one row at least in each.
+
+    Which characters beyond ASCII are a word's is asked of Spark's own rule, as Python's tables are of another Unicode version.
+    """
+    t = F.btrim(tx.text(table), F.lit(" \t\n\u000b\f\r"))
+    return F.coalesce(_grouped(most)(t, F.regexp_replace(t, r"[\x00-\x7F]+|[^\p{L}\p{N}]+", "")), F.array(tx.text(table)))
+
+
+def _grouped(most: int):
+
+    # Java's $ stands before a last line end too, of which a line can hold these
+    rule = re.compile("\\|[-:| ]+\\|[\r\u0085\u2028\u2029]?")
+    ascii_word = np.array([chr(i).isalnum() or chr(i) == "_" for i in range(128)] + [False])
+
+    def points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+    @F.pandas_udf("array<string>")
+    def grouped(tables: pd.Series, letters: pd.Series) -> pd.Series:
+        def one(table: str, beyond: str) -> list[str] | None:
+            lines = table.split("\n")
+            at = next((i for i, x in enumerate(lines) if i and rule.fullmatch(x.strip(" "))), None)
+            if at is None:
+                return None
+            said = points(table + "\n")
+            word = ascii_word[np.minimum(said, 128)]
+            if beyond:
+                high = np.flatnonzero(said > 127)
+                word[high] = np.isin(said[high], np.unique(points(beyond)))
+            begins = word.copy()
+            begins[1:] &= ~word[:-1]
+            upto = np.cumsum(begins)[said == ord("\n")]
+            head, budget = "\n".join(lines[: at + 1]), max(1, most - int(upto[at]))
+            rows = [x.strip(" ") for x in lines[at + 1 :]]
+            full = np.array([x != "" for x in rows], bool)
+            rows, total = [x for x in rows if x], upto[at + 1 :][full]
+            out, first = [], 0
+            while first < len(rows):
+                before = total[first - 1] if first else upto[at]
+                last = max(first + 1, int(np.searchsorted(total, before + budget, "right")))
+                out.append("\n".join([head, *rows[first:last]]))
+                first = last
+            return out or None
+
+        return pd.Series([one(*x) for x in zip(tables, letters, strict=True)], dtype=object)
+
+    return grouped
 
 
 def chunk_records(df: DataFrame, doc: str, section: str, kind: Column, index: str, text: str = "text", confidence: Column | None = None, context: Column | None = None) -> DataFrame:

@@ -153,3 +153,37 @@ def test_exceptions(spark):
 def test_lexicon(spark):
     assert one(spark, lx.first_match(F.col("t"), lx.SECTION_TYPES, "其他"), t="施工方案和质量") == "质量保证"
     assert one(spark, lx.all_hits(F.col("t"), ("b", "a")), t="a b") == ["b", "a"]
+
+
+def test_split_table_on_odd_tables(spark):
+    import random
+    import re
+
+    rnd = random.Random(5)
+
+    def want(text, most):
+        lines = text.strip(" \t\n\x0b\f\r").split("\n")
+        at = next((i for i, x in enumerate(lines) if i and re.fullmatch(r"\|[-:| ]+\|\r?", x.strip(" "))), None)
+        rows = [x.strip(" ") for x in lines[at + 1 :] if x.strip(" ")] if at is not None else []
+        head, out, held = "\n".join(lines[: (at or 0) + 1]), [], []
+        n = lambda x: len(re.findall(r"\w+", x))
+        for r in rows:
+            if held and n("\n".join(held)) + n(r) > max(1, most - n(head)):
+                out.append("\n".join([head, *held]))
+                held = []
+            held.append(r)
+        return [*out, "\n".join([head, *held])] if rows else [text]
+
+    cells = ["", "a", "a_b c", "Größe", "容量 型号", "½ 5", "!!", "—", "𝒳y", "e\u0301f", "  x "]
+    data = [(i, "\n".join(["", "| a 参数 | b |", rnd.choice(["| --- | :-: |", "|---|\r", "no rule"]), *["  " * rnd.randrange(2) + "| " + " | ".join(rnd.choice(cells) for _ in range(rnd.randrange(4))) + " |" * rnd.randrange(2) for _ in range(rnd.randrange(12))], rnd.choice(["", "| |", " \t"])])) for i in range(150)]
+    data += [(200, ""), (201, "| a |\n| --- |"), (202, "| a |\n| --- |\n" + "w " * 50 + "\n\n|\n|\nx")]
+    got = {r.i: r.c for r in spark.createDataFrame([*data, (203, None)], "i int, t string").select("i", ch.split_table("t", 7).alias("c")).collect()}
+    assert got == {i: want(t, 7) for i, t in data} | {203: [""]} and max(map(len, got.values())) > 5
+
+
+def test_table_chunks_looks_at_a_table_once(spark):
+    from quarry.plans import documents
+
+    plan = documents.table_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # printed from the top: the look at the header is below the generator, so it is taken for a table, not for each of its chunks
+    assert plan.index("Generate") < plan.index("AS parameters") and plan.count("ArrowEvalPython") == 1
