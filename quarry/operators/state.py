@@ -107,11 +107,12 @@ def first_hit_windows(df: DataFrame, key: str, ts: str = "ts", order: Sequence[s
 
 
 def concurrency(df: DataFrame, key: Sequence[str], start: str, end: str, order: str, limit: int, ttl: int | None = None) -> DataFrame:
-    """H4: how many intervals of the key are open when each begins (itself too), from starts and ends in order; ends come first. With ttl, none lasts longer."""
+    """H4: how many intervals of the key are open when each begins (itself too), from starts and ends in order; ends come first. With ttl, none lasts longer. An end that is null
+    comes last: its interval stays open."""
     stop = F.col(end) if ttl is None else F.least(F.col(end), F.col(start) + F.expr(f"interval {ttl} seconds"))
     ups = df.select(*key, F.col(start).alias("t"), F.lit(1).alias("d"), F.col(order).alias("__id"))
     downs = df.select(*key, stop.alias("t"), F.lit(-1).alias("d"), F.col(order).alias("__id"))
-    w = W.partitionBy(*key).orderBy("t", "d", "__id").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*key).orderBy(F.asc_nulls_last("t"), "d", F.asc_nulls_last("__id")).rowsBetween(W.unboundedPreceding, 0)
     return ups.unionByName(downs).withColumn("open", F.sum("d").over(w)).where("d = 1").select(*key, F.col("__id").alias(order), "open", (F.col("open") <= limit).alias("within"))
 
 

@@ -260,8 +260,8 @@ def rate_limit_windows(spark, d):
 @query("""WITH e AS (SELECT event_id, user_id % 10 AS u, ts AS t0, ts + to_milliseconds(CAST(value * 60000 AS BIGINT)) AS t1 FROM events), p AS (SELECT u, event_id, t0 AS t, 1 AS d FROM e UNION ALL SELECT u, event_id, t1, -1 FROM e)
  SELECT u, event_id, open, open <= 3 AS within FROM (SELECT *, CAST(sum(d) OVER (PARTITION BY u ORDER BY t, d, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open FROM p) x WHERE d = 1""")
 def concurrency(spark, d):
-    """H4."""
-    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("u"), "ts", F.expr("ts + make_dt_interval(0, 0, 0, cast(cast(value * 60000 as bigint) as decimal(18,6)) / 1000)").alias("end"))
+    """H4. An event lasts its value in minutes, to the nearest millisecond: a product just below a whole one is not cut."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("u"), "ts", F.expr("ts + make_dt_interval(0, 0, 0, cast(cast(rint(value * 60000) as bigint) as decimal(18,6)) / 1000)").alias("end"))
     return st.concurrency(e, ["u"], "ts", "end", "event_id", 3)
 
 
