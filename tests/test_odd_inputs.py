@@ -1,6 +1,7 @@
 """Queries give DuckDB's rows on inputs that the small tables have not."""
 
 import datetime
+import random
 
 import pytest
 
@@ -26,3 +27,15 @@ def test_concurrency(spark, tmp_path):
     got, want = both(spark, tmp_path, "events", rows, schema, "concurrency")
     assert got == want and len(want) == 9
     assert (0, 1, 3, True) in got
+
+
+DOCUMENTS = "doc_id long, text string"
+
+
+def test_pii_mask(spark, tmp_path):
+    rnd = random.Random(8)
+    parts = ["a", "b.c", "x@y.com", "@", "_", ".", "-", "%", " ", "é", "m@n.org_", "q@r.co.uk1", "z@w.c", "13812345678", "110101199003070011", "\n", "$1", "A@B.Cd@e.fg"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14)))) for i in range(600)]
+    rows += [(1000, None), (1001, ""), (1002, "a@b.com_x@c.org"), (1003, "tel 13812345678"), (1004, "a" * 200_000 + " " + "x@" + "b" * 200_000)]
+    got, want = both(spark, tmp_path, "documents", rows, DOCUMENTS, "pii_mask")
+    assert got == want and len(want) == 605
