@@ -58,6 +58,24 @@ def test_index_gives_the_best_and_skips(spark, tmp_path):
     assert index.blocks.where("size(postings) > 64 or top <> postings[0].weight").isEmpty()
 
 
+def test_many_spans_and_no_shuffle_of_blocks(spark, tmp_path, monkeypatch):
+    """An index is built without a shuffle and the blocks meet the queries without one; spans sent in several turns give the same."""
+    rnd = random.Random(2)
+    chunks = corpus(rnd, 700)
+    queries = [(i, " ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(5))) for i in range(12)]
+    df = spark.createDataFrame(chunks, CHUNK)
+    made = []
+    write = type(df.write).parquet
+    monkeypatch.setattr(type(df.write), "parquet", lambda self, path, *a, **b: made.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, path, *a, **b))
+    index = si.build(df, path=str(tmp_path / "index"))
+    assert made and not any("Exchange" in p for p in made)
+    asked = rt.sparse_vectors(spark.createDataFrame(queries, ASKED), "query_id", "query").persist()
+    once = si.top_k(asked, index, 5)
+    assert "SortMergeJoin" not in once._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(si, "MOST", 20)
+    assert sorted(map(tuple, si.top_k(asked, index, 5).collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_index_of_nothing(spark, tmp_path):
     none = si.build(spark.createDataFrame([], CHUNK), path=str(tmp_path / "none"))
     asked = rt.sparse_vectors(spark.createDataFrame([(1, "a")], ASKED), "query_id", "query")
